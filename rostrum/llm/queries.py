@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rostrum.llm import sql
 from rostrum.llm.common import table
+from rostrum.llm.decontamination import decontaminate
 from rostrum.llm.ngram_jaccard import ngram_jaccard_join
 
 
@@ -15,10 +16,16 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": sql.NGRAM_JACCARD,
+    "op10_benchmark_decontamination": sql.DECONTAMINATION,
 }

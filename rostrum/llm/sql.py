@@ -27,3 +27,19 @@ select s.doc_id, coalesce(root.class_id, s.doc_id) as class_id, cast(coalesce(si
 from s left join c on s.seq = c.seq and s.n > 0 left join root on root.x = c.rep
 left join size on size.class_id = root.class_id left join deg on deg.x = c.rep
 """
+
+DECONTAMINATION = f"""
+with w as (select doc_id, {_words("text")} as ws from documents),
+i as (select cast(item_id as varchar) as item_id, {_words("text")} as ws from benchmark),
+iw as (select distinct item_id, least(13, len(ws)) as m,
+        unnest(list_transform(range(1, len(ws) - least(13, len(ws)) + 2), lambda s: array_to_string(ws[s:s + least(13, len(ws)) - 1], ' '))) as win
+       from i where len(ws) > 0),
+sizes as (select distinct m from iw),
+dw as (select doc_id, m, unnest(range(1, len(ws) - m + 2)) as s, ws from w, sizes where len(ws) >= m),
+hit as (select d.doc_id, d.s, d.m, iw.item_id from (select doc_id, m, s, array_to_string(ws[s:s + m - 1], ' ') as win from dw) d join iw using (m, win)),
+n as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + m)) as p from hit) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from hit) group by doc_id)
+select w.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from w left join n using (doc_id) left join t using (doc_id)
+"""
