@@ -33,7 +33,7 @@ BITS = 20
 LEAST_DOCS = 4
 LEAST_Z = 4.0
 MOST_FEATURES = 512
-RIDGE = 0.05
+RIDGE = 0.15
 COUNTERFACTUAL = 4.0
 
 #: Terms of one group stand in for each other.
