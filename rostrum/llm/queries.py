@@ -11,6 +11,7 @@ from rostrum.llm import sql
 from rostrum.llm.chat_format import chat_format
 from rostrum.llm.common import table
 from rostrum.llm.decontamination import decontaminate
+from rostrum.llm.mixing import mixture
 from rostrum.llm.ngram_jaccard import ngram_jaccard_join
 from rostrum.llm.token_output import token_output
 from rostrum.llm.toxicity import toxicity
@@ -39,6 +40,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_token_output": op4_token_output,
+    "op7_source_mixing": op7_source_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
