@@ -11,6 +11,7 @@ from rostrum.llm import sql
 from rostrum.llm.chat_format import chat_format
 from rostrum.llm.common import table
 from rostrum.llm.decontamination import decontaminate
+from rostrum.llm.line_dedup import line_dedup
 from rostrum.llm.mixing import mixture
 from rostrum.llm.ngram_jaccard import ngram_jaccard_join
 from rostrum.llm.token_output import token_output
@@ -40,6 +41,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "pages")).drop("text")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_token_output": op4_token_output,
+    "op6_line_dedup": op6_line_dedup,
     "op7_source_mixing": op7_source_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
@@ -64,5 +70,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": sql.NGRAM_JACCARD,
     "op3_chat_formatting": sql.CHAT_FORMAT,
+    "op6_line_dedup": sql.LINE_DEDUP,
     "op10_benchmark_decontamination": sql.DECONTAMINATION,
 }

@@ -55,3 +55,20 @@ select conv_id, count(*) as n_turns,
   cast(sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) as bigint) as formatted_chars
 from t group by conv_id
 """
+
+LINE_DEDUP = r"""
+with l as (select row_number() over () as row, page_id, coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '') as host,
+  list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+    '<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'gis'),
+    '</?(?:p|div|br|li|ul|ol|nav|tr|table|td|th|h[1-6]|article|section|header|footer|title|head|body|html|blockquote|pre|form|aside|main)\b[^>]*>', chr(10), 'gi'),
+    '<[^>]*>', '', 'g'), '[\t\x0B\f\r ]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), ' '), chr(10)), lambda x: x <> '') as lines from pages),
+h as (select host, count(*) as host_pages from l group by host),
+c as (select host, line, count(*) as n from (select distinct row, host, unnest(lines) as line from l) group by 1, 2),
+bad as (select host, line from c join h using (host) where host_pages >= 5 and n > 1 and n > 0.3 * host_pages),
+e as (select row, l.host, u.line, u.pos from l, unnest(lines) with ordinality as u(line, pos)),
+k as (select e.row, string_agg(e.line || chr(10), '' order by e.pos) as text, count(*) as n from e left join bad on bad.host = e.host and bad.line = e.line
+      where bad.line is null group by e.row)
+select page_id, host, host_pages, cast(len(lines) as bigint) as n_lines, cast(len(lines) - coalesce(n, 0) as bigint) as n_dropped,
+       sha256(coalesce(text, '')) as kept_sha256
+from l join h using (host) left join k using (row)
+"""
