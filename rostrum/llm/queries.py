@@ -14,6 +14,7 @@ from rostrum.llm.decontamination import decontaminate
 from rostrum.llm.line_dedup import line_dedup
 from rostrum.llm.mixing import mixture
 from rostrum.llm.ngram_jaccard import ngram_jaccard_join
+from rostrum.llm.quality_rules import quality_rules
 from rostrum.llm.token_output import token_output
 from rostrum.llm.toxicity import toxicity
 
@@ -49,6 +50,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_output": op4_token_output,
     "op6_line_dedup": op6_line_dedup,
     "op7_source_mixing": op7_source_mixing,
+    "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
