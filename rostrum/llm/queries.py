@@ -15,6 +15,7 @@ from rostrum.llm.line_dedup import line_dedup
 from rostrum.llm.mixing import mixture
 from rostrum.llm.ngram_jaccard import ngram_jaccard_join
 from rostrum.llm.quality_rules import quality_rules
+from rostrum.llm.suffix_dedup import suffix_dedup
 from rostrum.llm.token_output import token_output
 from rostrum.llm.toxicity import toxicity
 
@@ -42,6 +43,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "pages")).drop("text")
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_token_output": op4_token_output,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_source_mixing": op7_source_mixing,
     "op8_quality_rules": op8_quality_rules,
