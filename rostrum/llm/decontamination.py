@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from rostrum.llm import wordbytes as wb
 from rostrum.llm.common import cut
@@ -213,15 +214,53 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     return every.select("doc_id", "n_words", "runs", "items").mapInArrow(_merge, f"doc_id long, {shape}")
 
 
+def _judged(found: DataFrame, percent: int) -> DataFrame:
+    """`found` with n_hit and contaminated."""
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign"))
+    hit = F.aggregate("runs", zero, lambda a, x: F.struct((a["n"] + a["sign"] * x).alias("n"), (-a["sign"]).alias("sign")), lambda a: a["n"])
+    return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 5) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (hit words make up `percent` of all, or more)."""
-    found = contamination(docs, benchmark)
-    hit = F.aggregate("runs", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")), lambda a, x: F.struct((a["n"] + a["sign"] * x).alias("n"), (-a["sign"]).alias("sign")), lambda a: a["n"])
-    out = found.select("doc_id", "n_words", hit.alias("n_hit"), "items")
-    return out.select(
+    return _judged(contamination(docs, benchmark), percent).select(
         "doc_id", "n_words", "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"),
+        "contaminated",
     )
 
+
+def with_contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """`docs` and a column `contaminated`, which replaces one of that name."""
+    spark = docs.sparkSession
+    docs = docs.drop("contaminated")
+    compiled = [spark.sparkContext.broadcast(compile_patterns(b)) for b in _blocks(benchmark, block_bytes)]
+    # every pass adds its runs to the row itself, so nothing is shuffled however many passes there are
+    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    now = docs.withColumnsRenamed(names).withColumn("runs", F.array().cast("array<long>"))
+    own = now.schema.fields
+    extra = [StructField("n_words", LongType()), StructField("found", ArrayType(LongType()))]
+    for c in compiled:
+        searched = now.mapInArrow(_row_hits(c), StructType([*own, *extra]))
+        now = searched.withColumn("runs", F.col("found")).drop("found")
+        last = now
+        now = now.drop("n_words")
+    judged = _judged(last, percent)
+    return judged.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns), "contaminated")
+
+
+def _row_hits(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = shared.value
+        for batch in batches:
+            for part in wb.pieces(batch, "text"):
+                w = wb.words(part.column("text"))
+                spans: dict[int, list] = {}
+                for r, s, p in search(w, found):
+                    spans.setdefault(r, []).append((s, s + len(found.words[p])))
+                old = part.column("runs").to_pylist()
+                runs = [merged(spans.get(i, []) + [(x[j], x[j + 1]) for j in range(0, len(x), 2)]) for i, x in enumerate(old)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(w.rows)), pa.array(runs, pa.list_(pa.int64()))], [*part.schema.names, "n_words", "found"])
+
+    return run

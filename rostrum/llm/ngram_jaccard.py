@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from rostrum.llm import wordbytes as wb
 from rostrum.llm.common import cut, small, whole_groups
@@ -211,12 +212,9 @@ def _verify(threshold: float):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:
-    """One row for each row of `docs` (doc_id, text): doc_id, class_id, class_size, n_links, n_grams.
-
-    class_id: smallest doc_id of the documents that links of similarity >= threshold connect; class_size: their number.
-    n_links: other documents at least this similar to the row's own, copies included.
-    """
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, n_grams) of each row, node null without words; and (node, first_doc, copies, class_id, class_size,
+    n_links, leader) of each node, where leader is the node of the class that has its smallest doc_id."""
     bands, rows = choose_bands(threshold, recall)
     texts = docs.select("doc_id", "text")
     signs = cut(texts.mapInArrow(_sketch(bands, rows, n), "doc_id long, node binary, n_grams long, bands array<long>"), "signatures")
@@ -264,17 +262,56 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, reca
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = links.join(parts, "node").join(classes, "node")
-    roots = linked.groupBy("root").agg(F.min("first_doc").alias("class_id"), F.sum("copies").alias("class_size"))
+    order = F.struct(F.col("first_doc").isNull().alias("unknown"), "first_doc", "node")
+    roots = linked.groupBy("root").agg(F.min(order).alias("lead"), F.sum("copies").alias("class_size"))
     info = classes.join(linked.select("node", "links", "root").join(roots, "root"), "node", "left").select(
-        "node",
-        F.coalesce("class_id", "first_doc").alias("class_id"),
+        "node", "first_doc", "copies",
+        F.coalesce("lead.first_doc", "first_doc").alias("class_id"),
         F.coalesce("class_size", "copies").alias("class_size"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("lead.node", "node").alias("leader"),
     )
-    return signs.select("doc_id", "node", "n_grams").join(info, "node", "left").select(
+    return signs.select("doc_id", "node", "n_grams"), info
+
+
+def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:
+    """One row for each row of `docs` (doc_id, text): doc_id, class_id, class_size, n_links, n_grams.
+
+    class_id: smallest doc_id of the documents that links of similarity >= threshold connect; class_size: their number.
+    n_links: other documents at least this similar to the row's own, copies included.
+    """
+    signs, info = near_duplicates(docs, threshold, n, recall)
+    return signs.join(info.drop("first_doc", "copies", "leader"), "node", "left").select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         "n_grams",
     )
+
+
+def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in wb.pieces(batch, "text"):
+            w = wb.words(part.column("text"))
+            node = pa.array(_sequence_keys(w), pa.binary(), mask=np.diff(w.rows) == 0)
+            yield pa.RecordBatch.from_arrays([*part.columns, node], [*part.schema.names, "node"])
+
+
+def keep_one(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:
+    """`docs` with one row of each class: one with its smallest doc_id. Texts without words all stay.
+
+    Only nodes with something to drop are joined to the rows, by the key of the text itself.
+    """
+    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    keyed = docs.withColumnsRenamed(own)
+    keyed = keyed.mapInArrow(_with_node, StructType([*keyed.schema.fields, StructField("node", BinaryType())]))
+    signs, info = near_duplicates(docs, threshold, n, recall)
+    touched = info.where("copies > 1 or node <> leader").select("node", "first_doc", (F.col("node") == F.col("leader")).alias("leads"))
+    same = signs.join(touched.where("leads"), "node").where("doc_id <=> first_doc").groupBy("node").agg((F.count(F.lit(1)) > 1).alias("repeated"))
+    touched = cut(touched.join(same, "node", "left").withColumnRenamed("node", "touched"), "touched")
+    rows = keyed.join(small(touched, BROADCAST_ROWS), F.col("node") == F.col("touched"), "left")
+    rows = rows.where(f"touched is null or (leads and {own['doc_id']} <=> first_doc)")
+    if touched.where("repeated").limit(1).count():
+        rows = rows.where("repeated is null or not repeated").unionByName(rows.where("repeated").dropDuplicates(["node"]))
+    return rows.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))

@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     return fit([np.frombuffer(x, np.uint32) for x in label], np.array([float(v > 0) for v in label.values()]))
 
 
-def _score(shared):
+def _score(shared, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
@@ -174,16 +174,16 @@ def _score(shared):
                 pair = np.unique(row << BITS | f[hit])
                 logit = np.bincount(pair >> BITS, model.weights[pair & ((1 << BITS) - 1)].astype(float), part.num_rows) + model.bias
                 score = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names), pa.array(score)], [*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names), pa.array(score)], [*part.schema.names, name])
 
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of `docs` (text among them) and `score`; a column of that name is replaced."""
-    docs = docs.drop("score")
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """The columns of `docs` (text among them) and the score as column `name`; a column of that name is replaced."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_score(shared), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(_score(shared, name), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
