@@ -72,3 +72,29 @@ select page_id, host, host_pages, cast(len(lines) as bigint) as n_lines, cast(le
        sha256(coalesce(text, '')) as kept_sha256
 from l join h using (host) left join k using (row)
 """
+
+
+def _license_sql() -> str:
+    from rostrum.llm.license_scan import PHRASES, TEMPLATES, split_words
+
+    templates = ", ".join(f"({i}, '{label}', {len(split_words(t))}, [{', '.join(repr(w) for w in sorted(set(split_words(t))))}])" for i, (label, t) in enumerate(TEMPLATES))
+    phrases = ", ".join(f"('{label}', [{', '.join(repr(w) for w in p.split())}])" for p, label in PHRASES.items())
+    return f"""
+with w as (select row_number() over () as row, doc_id, {_words("text")} as ws from documents),
+t(t, label, n, ts) as (values {templates}),
+p(label, ps) as (values {phrases}),
+base as (select row, label, unnest(list_filter(range(0, len(ws)), lambda i: ws[i + 1:i + len(ps)] = ps)) as i
+         from w, p where list_contains(ws, ps[1])),
+b as (select row, count(*) as n_base, min(i) as first_word, max(i) as last_word, list(distinct label) as ls from base group by row),
+k as (select row, t, label, ts, n, unnest(range(0, (len(ws) + n - 1) // n)) as k, ws from w, t where len(ws) > 0),
+m as (select row, label, len(list_intersect(list_distinct(ws[k * n + 1:k * n + 2 * n]), ts)) as o, len(ts) as s from k),
+g as (select row, list(distinct label) as ls, max(o / s) as share from m where o >= ceil(0.8 * s - 1e-9) group by row)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(b.ls), ','), '') as base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(g.ls, [])))), ','), '') as labels,
+  cast(case when n_base > 0 then 1 else coalesce(share, 0) end as double) as score
+from w left join b using (row) left join g using (row)
+"""
+
+
+LICENSE_SCAN = _license_sql()
