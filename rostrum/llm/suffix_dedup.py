@@ -2,11 +2,13 @@
 
 A byte goes if it lies in a `length`-byte string that also starts earlier: in a smaller doc_id, or earlier in the document.
 
+0. A document that repeats an earlier one whole is covered whole; the rest of the work has one of each.
 1. Anchors: in every window of `length` bytes the smallest hash of its GRAM-byte strings (the leftmost of equals) is its
    anchor. Equal windows have equal anchors at the same place, so only windows of anchors that occur twice or more
    can repeat. An anchor's windows start in one interval.
 2. Anchors are shuffled by their hash; those that occur once go. The rest fetch the bytes that their windows span.
-3. The windows (suffixes) of one anchor hash are sorted together: multikey quicksort on 8-byte words down to SHALLOW
+3. The strings of one anchor hash are sorted together, first the whole spans, then the windows (suffixes) of the distinct
+   ones: multikey quicksort on 8-byte words down to SHALLOW
    bytes, then blind tries on the groups that still share a prefix. Neighbours that agree in `length` bytes are one string; its
    first occurrence stays, the others' bytes are covered. Hot anchors (more than HOT occurrences) are sorted in blocks
    first; each block passes on only the first occurrences of its strings.
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.llm import wordbytes as wb
-from rostrum.llm.common import cut, release, whole_groups
+from rostrum.llm.common import cut, release, small, whole_groups
 
 LENGTH = 100
 GRAM = 32
@@ -53,16 +55,18 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return np.cumsum(change)
 
 
-def deep_shallow_sort(words: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+def deep_shallow_sort(words: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int | np.ndarray = LENGTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at `starts` within their `group`, by their first `length` bytes, and numbers of equal strings.
 
-    `words` is `byte_words` of the text; bytes from `length` on are not compared. The order is stable.
+    `words` is `byte_words` of the text; bytes from `length` on (one number, or one for each suffix, the same within a
+    group and `shallow` at least) are not compared. The order is stable.
     Returns (order, number): suffixes order[i] and order[i + 1] are equal strings of one group iff number[i] == number[i + 1].
     """
     order = np.argsort(group, kind="stable")
     rank = _groups(group[order]) if len(order) else np.zeros(0, np.int64)
+    length = np.broadcast_to(np.asarray(length, np.int64), len(starts))
     # shallow: multikey quicksort, a word of 8 bytes at a time, on the groups that are not single yet
-    for depth in range(0, min(shallow, length) // 8 * 8, 8):
+    for depth in range(0, shallow, 8):
         live = _several(rank)
         if not len(live):
             break
@@ -79,15 +83,15 @@ def deep_shallow_sort(words: np.ndarray, starts: np.ndarray, group: np.ndarray,
         new = np.ones(len(pending), bool)
         new[1:] = r[1:] != r[:-1]
         leader = order[pending][new][np.cumsum(new) - 1]
-        shared, less, byte = _branch(words, starts[order[pending]], starts[leader], length)
+        size = length[order[pending]]
+        shared, less, byte = _branch(words, starts[order[pending]], starts[leader], size)
         # in the order of the strings: left branches by depth, the path itself, right branches by falling depth
-        place = np.where(shared == length, length, np.where(less, shared, 2 * length + 1 - shared)).astype(np.int64)
+        place = np.where(less | (shared == size), shared, 2 * size + 1 - shared)
         key = place << 8 | byte
         inner = np.lexsort((key, r))
         order[pending] = order[pending][inner]
-        sorted_place = place[inner]
         order, rank = _refined(order, rank, pending, key[inner])
-        done[pending] = sorted_place == length
+        done[pending] = (place == size)[inner]
         pending = _several(rank)
         pending = pending[~done[pending]]
     return order, rank
@@ -112,18 +116,22 @@ def _refined(order: np.ndarray, rank: np.ndarray, live: np.ndarray, key: np.ndar
     return order, np.cumsum(change)
 
 
-def _branch(words: np.ndarray, at: np.ndarray, path: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _branch(words: np.ndarray, at: np.ndarray, path: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """How many bytes agree with the path, whether the suffix is less there, and its byte at the branch."""
     n = len(at)
-    shared = np.full(n, length)
+    shared = length.copy()
     less = np.zeros(n, bool)
     byte = np.zeros(n, np.int64)
-    open_ = np.arange(n)
-    for depth in range(0, length, 8):
+    open_ = np.flatnonzero(at != path)
+    for depth in range(0, int(length.max()) if n else 0, 8):
+        open_ = open_[length[open_] > depth]
+        if not len(open_):
+            break
         a, b = words[at[open_] + depth], words[path[open_] + depth]
-        if length - depth < 8:
-            cut_off = np.uint64((1 << 64) - (1 << (8 * (8 - (length - depth)))))
-            a, b = a & cut_off, b & cut_off
+        over = np.maximum(depth + 8 - length[open_], 0)
+        if over.any():
+            drop = (8 * over).astype(np.uint64)
+            a, b = a >> drop << drop, b >> drop << drop
         differ = np.flatnonzero(a != b)
         if len(differ):
             x, y, i = a[differ], b[differ], open_[differ]
@@ -137,8 +145,6 @@ def _branch(words: np.ndarray, at: np.ndarray, path: np.ndarray, length: int) ->
             less[i] = x < y
             byte[i] = (x >> (np.uint64(56) - 8 * lead.astype(np.uint64))) & np.uint64(255)
             open_ = np.delete(open_, differ)
-        if not len(open_):
-            break
     return shared, less, byte
 
 
@@ -226,14 +232,27 @@ def _sorted_windows(hot: bool):
         data, offsets = wb.raw(t.column("bytes").combine_chunks() if isinstance(t.column("bytes"), pa.ChunkedArray) else t.column("bytes"))
         h, block, place, first, ids, size = (t.column(k).to_numpy() for k in ("h", "block", "place", "first", "id", "size"))
         before = _document_order(t)
-        count = np.diff(offsets) - LENGTH + 1
-        row = np.repeat(np.arange(len(h)), count)
+        span = np.diff(offsets)
+        words = byte_words(data)
+        # whole contexts first: of equal ones all windows are equal, so only the first is taken apart
+        by_place = np.lexsort((first, before))
+        group = _number(h, block, place - first, span)
+        order, rank = deep_shallow_sort(words, offsets[:-1][by_place], group[by_place], span[by_place])
+        order = by_place[order]
+        copies = order[np.flatnonzero(rank[1:] == rank[:-1]) + 1]
+        single = np.ones(len(h), bool)
+        single[copies] = False
+        apart = np.flatnonzero(single)
+        # an anchor left with one context has nothing to compare
+        left = _number(h[apart], block[apart])
+        apart = apart[np.bincount(left, minlength=1)[left] > 1] if len(apart) else apart
+        count = span[apart] - LENGTH + 1
+        row = np.repeat(apart, count)
         step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         starts = offsets[row] + step
         start = first[row] + step
         # windows of one anchor and one distance from it
         group = _number(h[row], block[row], place[row] - start)
-        words = byte_words(data)
         by_place = np.lexsort((start, before[row]))
         order, rank = deep_shallow_sort(words, starts[by_place], group[by_place])
         order = by_place[order]
@@ -248,10 +267,12 @@ def _sorted_windows(hot: bool):
         tail = np.ones(len(covered), bool)
         tail[:-1] = (row[1:] != row[:-1]) | ~covered[1:]
         hi = np.flatnonzero(covered & tail)
-        out = [pa.array(ids[row[lo]]), pa.array(start[lo]), pa.array(start[hi] + LENGTH), pa.array(np.full(len(lo), -1)), *(pa.nulls(len(lo), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+        runs = [np.concatenate(x) for x in ((ids[row[lo]], ids[copies]), (start[lo], first[copies]), (start[hi] + LENGTH, first[copies] + span[copies]))]
+        out = [*map(pa.array, runs), *(pa.nulls(len(runs[0]), k) for k in (*[pa.int64()] * 6, pa.binary()))]
         yield pa.RecordBatch.from_arrays(out, _WINDOW_NAMES)
         if hot:
-            firsts = np.unique(row[~covered])
+            # what isn't a copy here may still be one of another block's
+            firsts = np.union1d(row[~covered], np.setdiff1d(np.flatnonzero(single), apart))
             keep = firsts[size[firsts] > HOT]
             if len(keep):
                 k = t.take(pa.array(keep)).combine_chunks()
@@ -264,6 +285,8 @@ def _sorted_windows(hot: bool):
 
 _WINDOW_NAMES = ["id", "lo", "hi", "h", "size", "doc_id", "tie", "place", "first", "bytes"]
 _WINDOWS = "id long, lo long, hi long, h long, size long, doc_id long, tie long, place long, first long, bytes binary"
+#: Up to this many ids of whole copies are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 400_000
 #: About this many bytes of contexts are sorted together.
 SORT_BYTES = 1 << 21
 
@@ -331,11 +354,21 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def whole_copies(rows: DataFrame) -> DataFrame:
+    """id and n, the bytes, of documents of LENGTH bytes or more whose whole text an earlier document has; counted by key, never grouped in memory."""
+    keyed = rows.select("id", "doc_id", F.octet_length("text").alias("n"), F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2")).where(F.col("n") >= LENGTH)
+    order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "id")
+    first = keyed.groupBy("n", "k1", "k2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("of")).where("of > 1")
+    return keyed.join(first.drop("of"), ["n", "k1", "k2"]).where(F.col("id") != F.col("first.id")).select("id", "n")
+
+
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary) for each row of `docs` (doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     rows = docs.select("doc_id", text).withColumn("id", F.monotonically_increasing_id())
-    found = rows.mapInArrow(_anchor_rows, "h long, id long, at long")
+    copies = cut(whole_copies(rows), "copies")
+    gone = small(copies.select("id"), BROADCAST_ROWS)
+    found = rows.join(gone, "id", "left_anti").select("id", "text").mapInArrow(_anchor_rows, "h long, id long, at long")
     repeated = found.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("size > 1")
     by_row = cut(repeated.groupBy("id").agg(F.collect_list(F.struct("h", "at", "size")).alias("anchors")), "anchors")
     release(docs.sparkSession)
@@ -348,7 +381,8 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     covered = once.where("lo is not null").select("id", "lo", "hi")
     hot = once.where("lo is null").withColumn("block", F.lit(0).cast("long"))
     twice = _in_groups(hot).mapInArrow(_sorted_windows(False), _WINDOWS).select("id", "lo", "hi")
-    runs = covered.unionByName(twice).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    whole = copies.select("id", F.lit(0).cast("long").alias("lo"), F.col("n").cast("long").alias("hi"))
+    runs = covered.unionByName(twice).unionByName(whole).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     nothing = F.array().cast("array<struct<lo: bigint, hi: bigint>>")
     final = rows.join(runs, "id", "left").select("doc_id", "text", F.coalesce("runs", nothing).alias("runs"))
     return final.mapInArrow(_rewrite, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
