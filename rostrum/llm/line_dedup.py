@@ -6,7 +6,7 @@ pages; a line above `ratio` is boilerplate and is dropped from all the host's pa
 pages keep everything, for there a ratio says nothing.
 
 Lines are counted by host and a 64-bit hash with map-side partial sums, so a line on every page of a large host costs a
-row for each task. A host's boilerplate has at most (lines per page) / ratio entries, whatever the host's size; it is
+row for each task. The lines are made once and kept in the shared folder. A host's boilerplate has at most (lines per page) / ratio entries, whatever the host's size; it is
 joined to the pages as one array, so pages are never exploded and regrouped, and repeated page_ids don't meet.
 
 A null url is the host '' and null html has no lines. Repeated rows are pages of their own. Further columns are ignored. An
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import small
+from rostrum.llm.common import cut, small
 
 RATIO = 0.3
 LEAST_PAGES = 5
@@ -52,7 +52,7 @@ def boilerplate(lines: DataFrame, ratio: float = RATIO, least_pages: int = LEAST
 
 def line_dedup(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, host, host_pages, n_lines, n_dropped, kept_sha256 (of the kept lines, each ended by a line feed) and text, the kept lines."""
-    lines = pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines"))
+    lines = cut(pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines")), "lines")
     joined = lines.join(small(boilerplate(lines.select("host", "lines"), ratio, least_pages), 100_000), "host")
     kept = F.when(F.size("bad") > 0, F.filter("lines", lambda x: ~F.array_contains("bad", F.xxhash64(x)))).otherwise(F.col("lines"))
     joined = joined.withColumn("kept", kept)
