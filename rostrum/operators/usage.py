@@ -23,8 +23,9 @@ def priced(models: DataFrame, price_table: DataFrame) -> DataFrame:
     return models.join(best, "model")
 
 
-def cost(tokens_in: Column, tokens_out: Column) -> Column:
-    return tokens_in / 1e6 * F.col("price_in") + tokens_out / 1e6 * F.col("price_out")
+def micros(tokens_in: Column, tokens_out: Column) -> Column:
+    """Cost in millionths of a dollar: sums of whole numbers where prices are whole, so their order doesn't matter."""
+    return tokens_in * F.col("price_in") + tokens_out * F.col("price_out")
 
 
 def quota(calls: DataFrame, now: Column, hours: int = 1, default_limit: int = PER_HOUR) -> DataFrame:
@@ -49,7 +50,7 @@ def spend(calls: DataFrame, price_table: DataFrame, since: Column) -> DataFrame:
     by_model = calls.where((F.col("ts") >= since) & (F.coalesce("model", F.lit("")) != "")).groupBy("model").agg(
         F.count(F.lit(1)).alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out")
     )
-    return priced(by_model, price_table).select("model", "calls", "tokens_in", "tokens_out", F.round(cost(F.col("tokens_in"), F.col("tokens_out")), 4).alias("cost"))
+    return priced(by_model, price_table).select("model", "calls", "tokens_in", "tokens_out", F.round(micros(F.col("tokens_in"), F.col("tokens_out")) / 1e6, 4).alias("cost"))
 
 
 def requests(comments: Column) -> Column:
@@ -69,13 +70,13 @@ def estimate(comments: DataFrame, units: DataFrame, analysis: DataFrame, price_t
     pulled = comments.groupBy("docket_id").agg(F.count(F.lit(1)).alias("pulled"))
     unit_n = units.groupBy("docket_id").agg(F.count(F.lit(1)).alias("units"))
     done = analysis.join(comments.select("comment_id", "docket_id"), "comment_id").withColumn("model", F.coalesce("model", F.lit("")))
-    done = priced(done, price_table).groupBy("docket_id").agg(F.count(F.lit(1)).alias("analyzed"), F.sum(cost(F.col("tokens_in"), F.col("tokens_out"))).alias("spent"))
+    done = priced(done, price_table).groupBy("docket_id").agg(F.count(F.lit(1)).alias("analyzed"), F.sum(micros(F.col("tokens_in"), F.col("tokens_out"))).alias("spent"))
     joined = pulled.join(unit_n, "docket_id", "left").join(done, "docket_id", "left").join(totals, "docket_id", "left")
     unit, n = F.coalesce("units", F.lit(0)), F.coalesce("analyzed", F.lit(0))
-    each = F.when(n > 0, F.round(F.col("spent") / n, 6))
+    each = F.when(n > 0, F.round(F.col("spent") / n) / 1e6)
     projected = F.round(F.col("total_comments") * unit / F.col("pulled"))
     return joined.select(
-        "docket_id", "pulled", unit.alias("units"), n.alias("analyzed"), F.round(F.coalesce("spent", F.lit(0.0)), 4).alias("spent_analysis"), each.alias("per_unit_cost"),
+        "docket_id", "pulled", unit.alias("units"), n.alias("analyzed"), F.round(F.coalesce("spent", F.lit(0.0)) / 1e6, 4).alias("spent_analysis"), each.alias("per_unit_cost"),
         F.greatest(unit - n, F.lit(0)).alias("units_remaining"), F.round(F.greatest(unit - n, F.lit(0)) * each, 4).alias("cost_to_finish_pulled"),
         projected.cast("long").alias("projected_units"), F.round(1 - unit / F.col("pulled"), 4).alias("collapse_ratio"),
         F.round(projected * each * (1 + LINKAGE_SHARE), 2).alias("projected_total"), requests(F.col("total_comments")).cast("long").alias("api_requests"),

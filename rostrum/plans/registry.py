@@ -414,9 +414,9 @@ def _(spark, d):
 @query(
     "A19_N3_estimate",
     with_ctes("comments dedup analysis", """p as (select docket_id, count(*) as pulled from comments group by 1), u as (select docket_id, count(*) as units from dedup where campaign_id is null or is_exemplar group by 1),
-a as (select docket_id, count(*) as analyzed, sum(tokens_in / 1e6 * case when starts_with(model, 'claude-a') then 3.0 else 2.0 end + tokens_out / 1e6 * case when starts_with(model, 'claude-a') then 15.0 else 8.0 end) as spent from analysis join comments using (comment_id) group by 1),
-x as (select docket_id, pulled, coalesce(units, 0) as units, coalesce(analyzed, 0) as analyzed, spent, case when analyzed > 0 then round(spent / analyzed, 6) end as e, pulled * 3 as total from p left join u using (docket_id) left join a using (docket_id))
-select docket_id, pulled, units, analyzed, round(coalesce(spent, 0.0), 4) as spent_analysis, e as per_unit_cost, greatest(units - analyzed, 0) as units_remaining, round(greatest(units - analyzed, 0) * e, 4) as cost_to_finish_pulled,
+a as (select docket_id, count(*) as analyzed, sum(tokens_in * case when starts_with(model, 'claude-a') then 3e0 else 2e0 end + tokens_out * case when starts_with(model, 'claude-a') then 15e0 else 8e0 end) as spent from analysis join comments using (comment_id) group by 1),
+x as (select docket_id, pulled, coalesce(units, 0) as units, coalesce(analyzed, 0) as analyzed, spent, case when analyzed > 0 then round(spent / analyzed) / 1e6 end as e, pulled * 3 as total from p left join u using (docket_id) left join a using (docket_id))
+select docket_id, pulled, units, analyzed, round(coalesce(spent, 0e0) / 1e6, 4) as spent_analysis, e as per_unit_cost, greatest(units - analyzed, 0) as units_remaining, round(greatest(units - analyzed, 0) * e, 4) as cost_to_finish_pulled,
   cast(round(total * units * 1.0 / pulled) as bigint) as projected_units, round(1 - units * 1.0 / pulled, 4) as collapse_ratio, round(round(total * units * 1.0 / pulled) * e * 1.9, 2) as projected_total,
   cast(total + greatest(1, total // 250) + 3 as bigint) as api_requests from x"""),
 )
