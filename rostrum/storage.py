@@ -31,7 +31,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back, so that a lost executor never replays what made it."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what `cut` wrote for `df`, which isn't read any more."""
+    at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
