@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rostrum.llm.common import frugal
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 _CONTROL = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
@@ -89,7 +91,7 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_turns(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, rendered: each turn in the template; joined by turn they are the formatted conversation."""
-    return conversations.select("conv_id", "turn", "role", "text").mapInArrow(_render, "conv_id long, turn long, rendered string")
+    return conversations.select("conv_id", "turn", "role", "text").mapInArrow(frugal(_render), "conv_id long, turn long, rendered string")
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +133,7 @@ _SHAPE = pa.schema([(c, pa.string() if c.endswith("sha256") else pa.int64()) for
 def read_back(rendered: DataFrame) -> DataFrame:
     """One row for each conversation of `format_turns`: what the parser reads back, as digests."""
     placed = rendered.repartition("conv_id").sortWithinPartitions(F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("rendered"))
-    return placed.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return placed.mapInArrow(frugal(_read_back), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def chat_format(conversations: DataFrame) -> DataFrame:

@@ -1,47 +1,33 @@
-"""Helpers that every operator of this package shares: the shared folder, cut lineage, grouped streams."""
+"""Helpers that every operator of this package shares, besides those of `rostrum.storage`: tables, memory, grouped streams."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
-import tempfile
 import time
-import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from rostrum.storage import cut, new_path, shared_dir, small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where the cluster names none."""
-    own = "rostrum.shared.dir"
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(own, None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="rostrum-")
-        spark.conf.set(own, where)
-    return where.rstrip("/")
-
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """`df` itself if it only reads, selects or filters stored files, so that its rows come in one order whenever it is evaluated; else a written copy."""
 
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+    def plain(plan) -> bool:
+        children = plan.children()
+        kids = [children.apply(i) for i in range(children.size())]
+        return plan.nodeName() in ("Project", "Filter") and all(map(plain, kids)) or plan.nodeName().startswith(("LogicalRelation", "Relation")) and not kids
 
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back, so that a lost executor never replays what made it."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df if plain(df._jdf.queryExecution().optimizedPlan()) else cut(df, label)
 
 
 def release(spark: SparkSession) -> None:
@@ -52,9 +38,18 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """`df` marked for broadcast if it has at most `rows` rows (counted), else as it is: then Spark shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def frugal(run: Callable) -> Callable:
+    """`run`, a function of Arrow batches, giving its worker's freed memory back to the system when it ends."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # there is no malloc_trim outside glibc
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -82,3 +77,6 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator
         last = end
     if held:
         yield pa.Table.from_batches(held)
+
+
+__all__ = ["cut", "frugal", "new_path", "release", "shared_dir", "small", "stored", "table", "whole_groups"]

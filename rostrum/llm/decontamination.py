@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from rostrum.llm import wordbytes as wb
-from rostrum.llm.common import cut
+from rostrum.llm.common import cut, frugal
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
@@ -203,15 +203,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     shape = "n_words long, runs array<long>, items array<string>"
     compiled = [spark.sparkContext.broadcast(compile_patterns(b)) for b in _blocks(benchmark, block_bytes)]
     if len(compiled) == 1:
-        return texts.mapInArrow(_hits(compiled[0]), f"doc_id long, {shape}")
+        return texts.mapInArrow(frugal(_hits(compiled[0])), f"doc_id long, {shape}")
     # rows are numbered once and kept, so that the passes agree on them
     numbered = cut(texts.withColumn("row", F.monotonically_increasing_id()), "documents")
-    passes = [numbered.mapInArrow(_hits(c), f"doc_id long, row long, {shape}") for c in compiled]
+    passes = [numbered.mapInArrow(frugal(_hits(c)), f"doc_id long, row long, {shape}") for c in compiled]
     every = passes[0]
     for p in passes[1:]:
         every = every.unionByName(p)
     every = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("runs").alias("runs"), F.collect_list("items").alias("items"))
-    return every.select("doc_id", "n_words", "runs", "items").mapInArrow(_merge, f"doc_id long, {shape}")
+    return every.select("doc_id", "n_words", "runs", "items").mapInArrow(frugal(_merge), f"doc_id long, {shape}")
 
 
 def _judged(found: DataFrame, percent: int) -> DataFrame:
@@ -242,7 +242,7 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 5,
     own = now.schema.fields
     extra = [StructField("n_words", LongType()), StructField("found", ArrayType(LongType()))]
     for c in compiled:
-        searched = now.mapInArrow(_row_hits(c), StructType([*own, *extra]))
+        searched = now.mapInArrow(frugal(_row_hits(c)), StructType([*own, *extra]))
         now = searched.withColumn("runs", F.col("found")).drop("found")
         last = now
         now = now.drop("n_words")

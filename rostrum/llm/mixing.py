@@ -6,7 +6,8 @@ above: that is min(3 size, level * weight) for one level, found with a running s
 
 A source takes all its documents floor(target / size) times and fits the rest by length: documents are counted by exact
 length, each length gives its share of the rest (rounded down), and a bounded-knapsack dynamic programme over bitsets
-fills what is missing with further documents by length, exactly where that can be done and from below otherwise.
+fills what is missing with further documents by length, exactly where that can be done and from below otherwise; what
+then is missing still is given to second and third copies, or to one document beyond the target if that is nearer.
 Within a length, documents are selected by a seeded hash of doc_id. Groups of one source and length are counted by
 the hash's leading bits first, so that only the bucket in which a quota ends is ranked.
 
@@ -111,9 +112,21 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
     source_size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
     pdf = pdf.sort_values("size", ignore_index=True)
     whole = int(target // source_size) if source_size else 0
-    rest = int(round(target - whole * source_size))
-    more = fit(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), rest)
-    return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "source_size": source_size, "target": target, "whole": whole, "more": more})
+    gap = int(round(target - whole * source_size))
+    lengths, counts = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+    more = np.zeros(len(lengths), np.int64)
+    # one copy more of some documents; where that can't reach the target, a second and third of the shorter ones
+    for _ in range(MOST - whole):
+        got = fit(lengths, counts, gap)
+        more += got
+        gap -= int(lengths @ got)
+        if gap <= 0 or not got.any():
+            break
+    # one document beyond the target, if that is nearer than staying below it
+    over = np.flatnonzero((lengths > gap) & (lengths < 2 * gap) & (more < counts * (MOST - whole)))
+    if gap > 0 and len(over):
+        more[over[0]] += 1
+    return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "source_size": source_size, "target": target, "whole": whole + more // np.maximum(counts, 1), "more": more % np.maximum(counts, 1)})
 
 
 def sized(docs: DataFrame) -> DataFrame:

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from rostrum.llm import wordbytes as wb
-from rostrum.llm.common import cut, small, whole_groups
-from rostrum.llm.components import components
+from rostrum.llm.common import cut, frugal, small, whole_groups
+from rostrum.operators.graph import components
 
 BLOCK = 512
 #: Up to this many candidate ids are broadcast to fetch their texts; more are joined by a shuffle.
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     n_links, leader) of each node, where leader is the node of the class that has its smallest doc_id."""
     bands, rows = choose_bands(threshold, recall)
     texts = docs.select("doc_id", "text")
-    signs = cut(texts.mapInArrow(_sketch(bands, rows, n), "doc_id long, node binary, n_grams long, bands array<long>"), "signatures")
+    signs = cut(texts.mapInArrow(frugal(_sketch(bands, rows, n)), "doc_id long, node binary, n_grams long, bands array<long>"), "signatures")
     classes = signs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"))
     members = signs.where("node is not null").groupBy("node").agg(F.min("bands").alias("bands"))
 
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     )
     source = texts.join(small(chosen.select("doc_id"), BROADCAST_ROWS), texts["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
     # a doc_id may repeat with the same or another text: the node is taken from the text again, and each kept once
-    sets = source.select("text").mapInArrow(_gram_sets(n), "node binary, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))
+    sets = source.select("text").mapInArrow(frugal(_gram_sets(n)), "node binary, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))
     sets = sets.join(chosen.select("node", "copies", "bands"), "node")
     tasks = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "node", F.col("band").cast("long").alias("band"), "bucket", F.col("block").cast("long").alias("block"),
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     found = (
         work.repartition(*keys).sortWithinPartitions(*keys)
         .select(*keys, "block", "node", "copies", "bands", "grams")
-        .mapInArrow(_verify(threshold), "node binary, links long, root binary")
+        .mapInArrow(frugal(_verify(threshold)), "node binary, links long, root binary")
     )
     found = cut(found, "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -305,7 +305,7 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float
     """
     own = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c != "text"}
     keyed = docs.withColumnsRenamed(own)
-    keyed = keyed.mapInArrow(_with_node, StructType([*keyed.schema.fields, StructField("node", BinaryType())]))
+    keyed = keyed.mapInArrow(frugal(_with_node), StructType([*keyed.schema.fields, StructField("node", BinaryType())]))
     signs, info = near_duplicates(docs, threshold, n, recall)
     touched = info.where("copies > 1 or node <> leader").select("node", "first_doc", (F.col("node") == F.col("leader")).alias("leads"))
     same = signs.join(touched.where("leads"), "node").where("doc_id <=> first_doc").groupBy("node").agg((F.count(F.lit(1)) > 1).alias("repeated"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.llm import wordbytes as wb
-from rostrum.llm.common import cut, release, small, whole_groups
+from rostrum.llm.common import cut, frugal, release, small, stored, whole_groups
 
 LENGTH = 100
 GRAM = 32
@@ -365,27 +365,28 @@ def whole_copies(rows: DataFrame) -> DataFrame:
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary) for each row of `docs` (doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    rows = docs.select("doc_id", text).withColumn("id", F.monotonically_increasing_id())
+    # rows are numbered in the order of their files, the same in each of the passes
+    rows = stored(docs.select("doc_id", text), "documents").withColumn("id", F.monotonically_increasing_id())
     copies = cut(whole_copies(rows), "copies")
     gone = small(copies.select("id"), BROADCAST_ROWS)
-    found = rows.join(gone, "id", "left_anti").select("id", "text").mapInArrow(_anchor_rows, "h long, id long, at long")
+    found = rows.join(gone, "id", "left_anti").select("id", "text").mapInArrow(frugal(_anchor_rows), "h long, id long, at long")
     repeated = found.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("size > 1")
     by_row = cut(repeated.groupBy("id").agg(F.collect_list(F.struct("h", "at", "size")).alias("anchors")), "anchors")
     release(docs.sparkSession)
     parts = rows.join(by_row, "id").withColumn("tie", F.xxhash64("text")).select("id", "doc_id", "tie", "text", "anchors")
-    contexts = parts.mapInArrow(_contexts, "h long, size long, doc_id long, tie long, id long, place long, first long, bytes binary")
+    contexts = parts.mapInArrow(frugal(_contexts), "h long, size long, doc_id long, tie long, id long, place long, first long, bytes binary")
     blocks = F.ceil(F.col("size") / HOT)
     contexts = contexts.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("long"))
-    once = cut(_in_groups(contexts).mapInArrow(_sorted_windows(True), _WINDOWS), "windows")
+    once = cut(_in_groups(contexts).mapInArrow(frugal(_sorted_windows(True)), _WINDOWS), "windows")
     release(docs.sparkSession)
     covered = once.where("lo is not null").select("id", "lo", "hi")
     hot = once.where("lo is null").withColumn("block", F.lit(0).cast("long"))
-    twice = _in_groups(hot).mapInArrow(_sorted_windows(False), _WINDOWS).select("id", "lo", "hi")
+    twice = _in_groups(hot).mapInArrow(frugal(_sorted_windows(False)), _WINDOWS).select("id", "lo", "hi")
     whole = copies.select("id", F.lit(0).cast("long").alias("lo"), F.col("n").cast("long").alias("hi"))
     runs = covered.unionByName(twice).unionByName(whole).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     nothing = F.array().cast("array<struct<lo: bigint, hi: bigint>>")
     final = rows.join(runs, "id", "left").select("doc_id", "text", F.coalesce("runs", nothing).alias("runs"))
-    return final.mapInArrow(_rewrite, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return final.mapInArrow(frugal(_rewrite), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def _in_groups(contexts: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rostrum.llm import wordbytes as wb
+from rostrum.llm.common import frugal
 
 FIT_ROWS = 12_000
 BITS = 20
@@ -155,7 +156,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    found = sample(docs, labels, rows).select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_features, "toxic int, features binary").toArrow()
+    found = sample(docs, labels, rows).select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(frugal(_features), "toxic int, features binary").toArrow()
     label: dict[bytes, int] = {}
     for text, toxic in sorted(zip(found.column("features").to_pylist(), found.column("toxic").to_pylist(), strict=True)):
         label[text] = max(toxic, label.get(text, 0))
@@ -183,7 +184,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """The columns of `docs` (text among them) and the score as column `name`; a column of that name is replaced."""
     docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_score(shared, name), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(frugal(_score(shared, name)), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:

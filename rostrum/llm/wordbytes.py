@@ -58,7 +58,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of `batch` with about `most` bytes of `column` each; a longer text comes alone."""
     if not batch.num_rows:
         return
