@@ -6,9 +6,12 @@ counted below MOST_RESPONSES and taken in blocks of that size otherwise. Text si
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from rostrum.operators.graph import components
 from rostrum.storage import cut
@@ -93,3 +96,20 @@ def clusters(weights: DataFrame, ids: DataFrame, cosine: float = CLUSTER_COSINE,
     medoids = scored.groupBy("cluster_id").agg(F.min_by("id", F.struct(-F.col("s"), "id")).alias("medoid"))
     joined = ids.join(numbered.select("id", "cluster_id"), "id", "left").join(medoids, "cluster_id", "left")
     return joined.select("id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), F.coalesce(F.col("id") == F.col("medoid"), F.lit(False)).alias("is_medoid"))
+
+
+def cached_vectors(texts: DataFrame, backend: str, path: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """id, vector of (id, text): vectors are stored by the whole text's hash and the backend, and only new texts are embedded.
+
+    `embed` turns (key, text) into (key, vector).
+    """
+    spark = texts.sparkSession
+    keyed = texts.select("id", "text", F.sha2("text", 256).alias("key"))
+    try:
+        have = spark.read.schema("backend string, key string, vector array<float>").parquet(path).where(F.col("backend") == backend)
+    except AnalysisException:
+        have = spark.createDataFrame([], "backend string, key string, vector array<float>")
+    new = keyed.join(have.select("key"), "key", "left_anti").groupBy("key").agg(F.first("text").alias("text"))
+    made = cut(embed(new).select(F.lit(backend).alias("backend"), "key", F.col("vector").cast("array<float>").alias("vector")), "vectors")
+    made.write.mode("append").parquet(path)
+    return keyed.join(spark.read.schema(made.schema).parquet(path).where(F.col("backend") == backend).drop("backend"), "key").select("id", "vector")

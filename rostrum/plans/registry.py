@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as tx
-from rostrum.operators import campaigns, linkage, metrics, parsing, usage, watch
+from rostrum.operators import campaigns, console, linkage, metrics, parsing, usage, watch
 from rostrum.operators.graph import components
 from rostrum.plans import relations as rel
 from rostrum.plans.relations import with_ctes
@@ -664,6 +664,26 @@ def _(spark, d):
     return watch.closing_soon(_rules(spark, d)[0], F.lit("1998-01-01").cast("date")).withColumn("days_left", F.col("days_left").cast("long"))
 
 
+# console
+
+
+@query("S15_search", "select p_partkey as docket_id, p_name as title from part where contains(lower(p_name), 'a') order by p_size desc, p_partkey limit 25")
+def _(spark, d):
+    part = rel.base(spark, d, "part").select(F.col("p_partkey").alias("docket_id"), F.col("p_name").alias("title"), F.col("p_size").alias("modified"))
+    return console.search(part, "A").select("docket_id", "title")
+
+
+@query("S16_agencies", "select distinct lower(n_name) as slug, n_name as name from nation where n_nationkey % 4 <> 0")
+def _(spark, d):
+    nation = rel.base(spark, d, "nation").select(F.when(F.col("n_nationkey") % 4 != 0, F.lower("n_name")).alias("slug"), F.col("n_name").alias("name"))
+    return console.agencies(nation)
+
+
+@query("N11_comment_detail", with_ctes(_B, "select comment_id, docket_id, coalesce((select count(*) from dedup d where d.docket_id = b.docket_id and d.campaign_id = b.campaign_id and b.campaign_id is not null having count(*) > 0), 1) as campaign_size from base b where comment_id = 2"))
+def _(spark, d):
+    return console.comment_detail(rel.metrics_base(spark, d), rel.dedup(spark, d), 2).select("comment_id", "docket_id", "campaign_size")
+
+
 # the SQL surface
 
 

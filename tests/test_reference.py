@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from rostrum import catalog, fixture, report, schema, settings
 from rostrum.functions import text as tx
-from rostrum.operators import campaigns, extract, graph, linkage, metrics, parsing, textdiff, usage
+from rostrum.operators import campaigns, console, extract, graph, linkage, metrics, parsing, textdiff, usage
 from rostrum.plans import registry
 from rostrum.sources import payloads
 from rostrum.sources.tables import Tables
@@ -266,3 +266,29 @@ def test_entry_and_oracles(spark, sf):
     for name in ("T3_exact_families", "A10_significance_bands", "A14_outcome_grid", "J5_W7_N10_ledger", "A18_N1_quota", "T15_F10_turn_pairs"):
         got = registry.QUERIES[name](spark, sf).count()
         assert got == len(con.sql(registry.ORACLE[name]).fetchall()), name
+
+
+def test_console(spark):
+    ledger = spark.createDataFrame([("d", "c1", 1)], "docket_id string, comment_id string, place long")
+    assert console.export(ledger, "d").count() == 1
+    with pytest.raises(console.NoDocket):
+        console.export(ledger, "")
+    with pytest.raises(console.NotReady):
+        console.export(ledger, "e")
+    runner, seen = console.Runner(), []
+    assert runner.start("a", lambda say: seen.append(runner.start("b", lambda say: None)))
+    runner.wait()
+    assert seen == [False] and list(runner.lines) == ["a: started", "a: done"]
+
+
+def test_vectors_are_embedded_once(spark, tmp_path):
+    calls = []
+
+    def embed(df):
+        calls.append(df.count())
+        return df.select("key", F.array(F.length("text").cast("float")).alias("vector"))
+
+    texts = lambda *x: spark.createDataFrame(list(enumerate(x)), "id long, text string")
+    linkage.cached_vectors(texts("aa", "b", "aa"), "m", f"file://{tmp_path}/v", embed).count()
+    got = linkage.cached_vectors(texts("aa", "b", "cccc"), "m", f"file://{tmp_path}/v", embed).collect()
+    assert calls == [2, 1] and sorted((r.id, r.vector[0]) for r in got) == [(0, 2.0), (1, 1.0), (2, 4.0)]
