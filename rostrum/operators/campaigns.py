@@ -1,8 +1,7 @@
 """Campaigns: exact families, near duplicates, templates with inserts. Every submission keeps its row.
 
-Similarity is exact: shingles become 64-bit hashes, shingles of one document only are dropped, and pairs come from an
-inverted index of the rest, with the size bounds of both similarities in the join, so overlap counts are complete. Work
-runs on one representative for each exact family; a frequent shingle's skew is left to the adaptive skew join.
+Similarity is exact: shingles become 64-bit hashes, candidate pairs come from an inverted index with prefix and size
+filters, and overlaps are counted on whole sets. Work runs on one representative for each exact family.
 """
 
 from __future__ import annotations
@@ -32,18 +31,30 @@ def families(hashed: DataFrame) -> DataFrame:
 
 
 def overlaps(reps: DataFrame) -> DataFrame:
-    """docket_id, x, y, shared, nx, ny for each ordered pair of representatives that share a shingle."""
-    hashed = reps.select("docket_id", "rep_id", F.transform(tx.shingles(tx.tokens(F.col("full_text"))), lambda s: F.xxhash64(s)).alias("s"))
+    """docket_id, x, y, shared, nx, ny of the ordered pairs that may be near or contained.
+
+    Shingles are ordered by how many documents have them, rarest first. Of a pair in which y holds CONTAINED of x (or
+    which is NEAR, which asks for more), one of x's first shingles is among y's first ones, so frequent shingles make no
+    pairs; the overlap of each candidate is then counted on the whole sets.
+    """
+    hashed = cut(reps.select("docket_id", "rep_id", F.transform(tx.shingles(tx.tokens(F.col("full_text"))), lambda s: F.xxhash64(s)).alias("s")), "shingles")
     exploded = hashed.select("docket_id", "rep_id", F.size("s").alias("n"), F.explode("s").alias("shingle"))
-    often = exploded.groupBy("docket_id", "shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1").drop("df")
-    shared = cut(exploded.join(often, ["docket_id", "shingle"]), "shingles")
-    left = shared.select("docket_id", "shingle", F.col("rep_id").alias("x"), F.col("n").alias("nx"))
-    right = shared.select("docket_id", "shingle", F.col("rep_id").alias("y"), F.col("n").alias("ny"))
-    # sizes bound both similarities before pairs are made
+    often = exploded.groupBy("docket_id", "shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = exploded.join(often, ["docket_id", "shingle"])
+    own = Window.partitionBy("docket_id", "rep_id")
+    # a document's shingles that no other has come first of all
+    place = F.row_number().over(own.orderBy("df", "shingle")) + F.col("n") - F.count(F.lit(1)).over(own)
+    ranked = cut(shared.withColumn("place", place).select("docket_id", "shingle", "rep_id", "n", "place"), "ranked")
+    x = ranked.where(F.col("place") <= F.col("n") - F.ceil(CONTAINED * F.col("n")) + 1)
+    y = ranked.where(F.col("place") <= F.col("n") - F.ceil(CONTAINED / SIZE_FACTOR * F.col("n")) + 1)
+    left = x.select("docket_id", "shingle", F.col("rep_id").alias("x"), F.col("n").alias("nx"))
+    right = y.select("docket_id", "shingle", F.col("rep_id").alias("y"), F.col("n").alias("ny"))
     lo, hi = F.least("nx", "ny"), F.greatest("nx", "ny")
     may = (lo >= NEAR * hi) | ((F.col("nx") >= LEAST_SHINGLES) & (F.col("ny") >= LEAST_SHINGLES) & (F.col("ny") <= SIZE_FACTOR * F.col("nx")))
-    pairs = left.join(right, ["docket_id", "shingle"]).where(F.col("x") != F.col("y")).where(may)
-    return pairs.groupBy("docket_id", "x", "y").agg(F.count(F.lit(1)).alias("shared"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    pairs = left.join(right, ["docket_id", "shingle"]).where(F.col("x") != F.col("y")).where(may).select("docket_id", "x", "y", "nx", "ny").distinct()
+    sets = lambda c, name: hashed.select("docket_id", F.col("rep_id").alias(c), F.col("s").alias(name))
+    both = pairs.join(sets("x", "sx"), ["docket_id", "x"]).join(sets("y", "sy"), ["docket_id", "y"])
+    return both.select("docket_id", "x", "y", F.size(F.array_intersect("sx", "sy")).alias("shared"), "nx", "ny")
 
 
 def jaccard_edges(pairs: DataFrame, threshold: float = NEAR) -> DataFrame:
