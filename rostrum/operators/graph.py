@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.storage import cut
+from rostrum.storage import cut, small
+
+#: Up to this many nodes are broadcast with their minima; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -18,11 +21,12 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     state = None
     for _ in range(rounds):
         both = edges.select(F.col("v").alias("n"), F.col("u").alias("m")).unionByName(edges.select(F.col("u").alias("n"), F.col("v").alias("m")))
-        low = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
-        large = both.join(low, "n").where("m > n").select(F.col("m").alias("v"), F.col("low").alias("u"))
-        large = large.where("v <> u").distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("low"))
-        star = large.join(least, "v").select("v", "u", "low")
+        # minima are summed before their shuffle and cut off, so that a hub's part of the joins can be split
+        low = cut(both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low")), "minima")
+        large = both.join(small(low, BROADCAST_ROWS), "n").where("m > n").select(F.col("m").alias("v"), F.col("low").alias("u"))
+        large = cut(large.where("v <> u").distinct(), "edges")
+        least = cut(large.groupBy("v").agg(F.min("u").alias("low")), "minima")
+        star = large.join(small(least, BROADCAST_ROWS), "v").select("v", "u", "low")
         star = star.select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("low").alias("u")), F.struct(F.col("u").alias("v"), F.col("low").alias("u")))).alias("e")).select("e.*")
         edges = cut(star.where("v <> u").distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u")), F.bit_xor(F.xxhash64("u", "v"))).first()
