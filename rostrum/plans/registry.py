@@ -21,7 +21,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 NOW = "2024-01-20 00:00:00"
-PRICES = {"claude-a": (3.0, 15.0), "claude-a-2": (1.0, 5.0), "_default": (2.0, 8.0)}
+PRICES = {"alpha": (3.0, 15.0), "alpha-2": (1.0, 5.0), "_default": (2.0, 8.0)}
 TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9'']+')"
 
 
@@ -396,7 +396,7 @@ def _(spark, d):
 @query(
     "A4_J17_N2_N4_spend",
     with_ctes("api_calls", """select model, calls, tokens_in, tokens_out, round(tokens_in / 1e6 * pi + tokens_out / 1e6 * po, 4) as cost from (
-  select model, count(*) as calls, cast(sum(tokens_in) as bigint) as tokens_in, cast(sum(tokens_out) as bigint) as tokens_out, case when starts_with(model, 'claude-a') then 3.0 else 2.0 end as pi, case when starts_with(model, 'claude-a') then 15.0 else 8.0 end as po
+  select model, count(*) as calls, cast(sum(tokens_in) as bigint) as tokens_in, cast(sum(tokens_out) as bigint) as tokens_out, case when starts_with(model, 'alpha') then 3.0 else 2.0 end as pi, case when starts_with(model, 'alpha') then 15.0 else 8.0 end as po
   from api_calls where coalesce(model, '') <> '' and ts >= timestamp '2024-01-05' group by model)"""),
 )
 def _(spark, d):
@@ -414,7 +414,7 @@ def _(spark, d):
 @query(
     "A19_N3_estimate",
     with_ctes("comments dedup analysis", """p as (select docket_id, count(*) as pulled from comments group by 1), u as (select docket_id, count(*) as units from dedup where campaign_id is null or is_exemplar group by 1),
-a as (select docket_id, count(*) as analyzed, sum(tokens_in * case when starts_with(model, 'claude-a') then 3e0 else 2e0 end + tokens_out * case when starts_with(model, 'claude-a') then 15e0 else 8e0 end) as spent from analysis join comments using (comment_id) group by 1),
+a as (select docket_id, count(*) as analyzed, sum(tokens_in * case when starts_with(model, 'alpha') then 3e0 else 2e0 end + tokens_out * case when starts_with(model, 'alpha') then 15e0 else 8e0 end) as spent from analysis join comments using (comment_id) group by 1),
 x as (select docket_id, pulled, coalesce(units, 0) as units, coalesce(analyzed, 0) as analyzed, spent, case when analyzed > 0 then round(spent / analyzed) / 1e6 end as e, pulled * 3 as total from p left join u using (docket_id) left join a using (docket_id))
 select docket_id, pulled, units, analyzed, round(coalesce(spent, 0e0) / 1e6, 4) as spent_analysis, e as per_unit_cost, greatest(units - analyzed, 0) as units_remaining, round(greatest(units - analyzed, 0) * e, 4) as cost_to_finish_pulled,
   cast(round(total * units * 1.0 / pulled) as bigint) as projected_units, round(1 - units * 1.0 / pulled, 4) as collapse_ratio, round(round(total * units * 1.0 / pulled) * e * 1.9, 2) as projected_total,

@@ -76,7 +76,7 @@ def analysis(spark: SparkSession, d: str) -> DataFrame:
         F.to_json(F.array(_pick(_ARGUMENTS, i), _pick(_ARGUMENTS, i * 7 + 1))).alias("argument_types"),
         F.when(i % 17 == 0, "not json").otherwise(F.to_json(F.array(cited(0), cited(5), F.concat(cited(0), F.lit("(a)"))))).alias("provisions"),
         F.when(i % 5 != 0, F.col("quality") == 1).alias("novel_evidence"),
-        _pick(("claude-a-1", "claude-a-2-x", "other", ""), i).alias("model"),
+        _pick(("alpha-1", "alpha-2-x", "other", ""), i).alias("model"),
         (100 + i % 900).cast("long").alias("tokens_in"), (10 + i % 90).cast("long").alias("tokens_out"),
     )
 
@@ -88,7 +88,7 @@ ANALYSIS = f"""analysis as (select doc_id as comment_id,
   case when doc_id % 17 = 0 then [] else [(1 + doc_id % 9) || '.' || (doc_id * 3 % 30), (1 + (doc_id + 5) % 9) || '.' || ((doc_id * 3 + 5) % 30),
     (1 + doc_id % 9) || '.' || (doc_id * 3 % 30) || '(a)'] end as provisions,
   case when doc_id % 5 <> 0 then quality = 1 end as novel_evidence,
-  {_pick_sql(("claude-a-1", "claude-a-2-x", "other", ""), "doc_id")} as model,
+  {_pick_sql(("alpha-1", "alpha-2-x", "other", ""), "doc_id")} as model,
   cast(100 + doc_id % 900 as bigint) as tokens_in, cast(10 + doc_id % 90 as bigint) as tokens_out from labels)"""
 
 
@@ -147,7 +147,7 @@ def api_calls(spark: SparkSession, d: str) -> DataFrame:
         "ts", F.col("event_type").alias("service"), F.concat(F.lit("/v4/"), F.col("props")).alias("endpoint"),
         F.when(i % 29 == 0, 429).when(i % 31 == 0, 500).otherwise(200).cast("long").alias("status"),
         F.when(i % 3 == 0, 1000 - i % 1000).cast("long").alias("remaining"), F.when(i % 50 == 0, 1000).cast("long").alias("limit_total"),
-        F.when(i % 9 != 0, _pick(("claude-a-1", "claude-a-2-x", "other", ""), F.col("user_id"))).alias("model"),
+        F.when(i % 9 != 0, _pick(("alpha-1", "alpha-2-x", "other", ""), F.col("user_id"))).alias("model"),
         F.floor(F.col("value") * 10).cast("long").alias("tokens_in"), (i % 77).cast("long").alias("tokens_out"),
     )
 
@@ -155,7 +155,7 @@ def api_calls(spark: SparkSession, d: str) -> DataFrame:
 API_CALLS = f"""api_calls as (select ts, event_type as service, '/v4/' || props as endpoint,
   cast(case when event_id % 29 = 0 then 429 when event_id % 31 = 0 then 500 else 200 end as bigint) as status,
   cast(case when event_id % 3 = 0 then 1000 - event_id % 1000 end as bigint) as remaining, cast(case when event_id % 50 = 0 then 1000 end as bigint) as limit_total,
-  case when event_id % 9 <> 0 then {_pick_sql(("claude-a-1", "claude-a-2-x", "other", ""), "user_id")} end as model,
+  case when event_id % 9 <> 0 then {_pick_sql(("alpha-1", "alpha-2-x", "other", ""), "user_id")} end as model,
   cast(floor(value * 10) as bigint) as tokens_in, cast(event_id % 77 as bigint) as tokens_out from events)"""
 
 CTES = {"comments": COMMENTS, "dedup": DEDUP, "analysis": ANALYSIS, "responses": RESPONSES, "docket_documents": DOCUMENTS, "linkage": LINKAGE, "textdiff": TEXTDIFF, "api_calls": API_CALLS}
