@@ -83,11 +83,13 @@ def detect(comments: DataFrame) -> DataFrame:
     member = placed.select("docket_id", "exact_hash", "root").join(named, ["docket_id", "root"])
     joined = hashed.join(member, ["docket_id", "exact_hash"], "left")
     own = F.col("comment_id") == F.col("exemplar_id")
-    split = joined.withColumn("t", F.when(F.col("campaign_id").isNotNull() & ~own, tx.split_template(F.coalesce("exemplar", F.lit("")), F.col("full_text"))))
+    # a UDF sees every row, whatever stands around it: texts that need no comparison are passed as nulls
+    asked = F.col("campaign_id").isNotNull() & ~own
+    split = joined.withColumn("t", tx.split_template(F.when(asked, F.coalesce("exemplar", F.lit(""))), F.when(asked, F.col("full_text"))))
     return split.select(
         "docket_id", "comment_id", "exact_hash", "campaign_id", F.coalesce(own, F.lit(False)).alias("is_exemplar"),
         F.when(F.col("campaign_id").isNull(), 0.0).when(own, 1.0).otherwise(F.col("t.ratio")).alias("template_ratio"),
-        F.nullif(F.col("t.insert"), F.lit("")).alias("insert_text"),
+        F.when(asked, F.nullif(F.col("t.insert"), F.lit(""))).alias("insert_text"),
     )
 
 
