@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from rostrum.storage import cut, new_path, shared_dir, small
+from rostrum.storage import cut, discard, new_path, shared_dir, small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,4 +79,4 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator
         yield pa.Table.from_batches(held)
 
 
-__all__ = ["cut", "frugal", "new_path", "release", "shared_dir", "small", "stored", "table", "whole_groups"]
+__all__ = ["cut", "discard", "frugal", "new_path", "release", "shared_dir", "small", "stored", "table", "whole_groups"]

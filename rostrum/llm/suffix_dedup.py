@@ -6,7 +6,7 @@ A byte goes if it lies in a `length`-byte string that also starts earlier: in a
 1. Anchors: in every window of `length` bytes the smallest hash of its GRAM-byte strings (the leftmost of equals) is its
    anchor. Equal windows have equal anchors at the same place, so only windows of anchors that occur twice or more
    can repeat. An anchor's windows start in one interval.
-2. Anchors are shuffled by their hash; those that occur once go. The rest fetch the bytes that their windows span.
+2. Anchors are counted by their hash; those that occur once go. The rest fetch the bytes that their windows span.
 3. The strings of one anchor hash are sorted together, first the whole spans, then the windows (suffixes) of the distinct
    ones: multikey quicksort on 8-byte words down to SHALLOW
    bytes, then blind tries on the groups that still share a prefix. Neighbours that agree in `length` bytes are one string; its
@@ -26,11 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.llm import wordbytes as wb
-from rostrum.llm.common import cut, frugal, release, small, stored, whole_groups
+from rostrum.llm.common import cut, discard, frugal, release, small, stored, whole_groups
 
 LENGTH = 100
 GRAM = 32
@@ -369,9 +369,12 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     rows = stored(docs.select("doc_id", text), "documents").withColumn("id", F.monotonically_increasing_id())
     copies = cut(whole_copies(rows), "copies")
     gone = small(copies.select("id"), BROADCAST_ROWS)
-    found = rows.join(gone, "id", "left_anti").select("id", "text").mapInArrow(frugal(_anchor_rows), "h long, id long, at long")
-    repeated = found.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("size > 1")
-    by_row = cut(repeated.groupBy("id").agg(F.collect_list(F.struct("h", "at", "size")).alias("anchors")), "anchors")
+    found = cut(rows.join(gone, "id", "left_anti").select("id", "text").mapInArrow(frugal(_anchor_rows), "h long, id long, at long"), "anchors")
+    # counts are summed before the shuffle, and a frequent anchor's partition of the join can be split
+    often = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "often")
+    by_row = cut(found.join(small(often, BROADCAST_ROWS), "h").groupBy("id").agg(F.collect_list(F.struct("h", "at", "size")).alias("anchors")), "repeated")
+    discard(found)
+    discard(often)
     release(docs.sparkSession)
     parts = rows.join(by_row, "id").withColumn("tie", F.xxhash64("text")).select("id", "doc_id", "tie", "text", "anchors")
     contexts = parts.mapInArrow(frugal(_contexts), "h long, size long, doc_id long, tie long, id long, place long, first long, bytes binary")
