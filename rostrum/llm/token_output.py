@@ -5,8 +5,8 @@ writes a shard (see `repair`) for about SHARD_IDS ids, one row of a Parquet tabl
 n_docs, n_ids, doc_ids, data. Spark commits that table, so a lost executor only repeats its own tasks. Reading decodes
 shard by shard; `start` is a running sum over the shards' sizes.
 
-Texts are encoded by chunks, which begin after a blank or where a stop follows an ASCII letter: this tokenizer lower-cases
-and never forms a token across those borders, so the ids of a text are those of its chunks in order; each distinct chunk of a batch, told apart by 128 bits of hash, is encoded once
+Texts are encoded by chunks, which begin after a blank or where a stop follows an ASCII letter: this tokenizer composes
+(NFC), lower-cases and never forms a token across those borders, so the ids of a text are those of its chunks in order; each distinct chunk of a batch, told apart by 128 bits of hash, is encoded once
 and kept for the next batch (at most CACHE of them). A text that holds a special token's opening is encoded whole.
 
 Null or empty texts are the end id alone. Documents of equal doc_id, null first, stand in order of a hash of
@@ -33,9 +33,12 @@ SHARD_IDS = 1_000_000
 CACHE = 800_000
 FRESH = 150_000
 END_ID = 2
-#: The tokenizer lower-cases and drops white space, so both may be done to the bytes before.
+#: The tokenizer drops white space and lower-cases, so both may be done to the bytes before; but it composes first, and
+#: 'h' + U+0331 has a composed form where 'H' + U+0331 has none, so a capital before a byte that isn't ASCII stays as it is.
 PLAIN = wb.LOWER.copy()
 PLAIN[[9, 10, 11, 12, 13]] = 32
+CAPITAL = np.zeros(256, bool)
+CAPITAL[65:91] = True
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = True
 CODES = tuple(np.where(np.arange(256) == 32, np.uint64(0), np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, 256, dtype=np.uint64)) for seed in (41, 43))
@@ -98,6 +101,8 @@ class Coder:
         data, offsets = wb.raw(texts)
         n = len(offsets) - 1
         plain = PLAIN[data]
+        capital = np.flatnonzero(CAPITAL[data[:-1]] & (data[1:] > 127))
+        plain[capital] = data[capital]
         opening = np.flatnonzero((plain[:-1] == 60) & (plain[1:] == 124))
         special = np.unique(np.searchsorted(offsets, opening, "right") - 1)
         begin = plain != 32

@@ -20,7 +20,7 @@ from rostrum.llm import mixing, repair, suffix_dedup, toxicity, wordbytes
 from rostrum.llm import ngram_jaccard as near
 from rostrum.llm import quality_rules as quality
 from rostrum.llm.queries import QUERIES, tokenizer_path
-from rostrum.llm.token_output import token_output
+from rostrum.llm.token_output import Coder, token_output
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -178,6 +178,16 @@ def test_token_output(docs, rows, empty):
     assert token_output(empty, tokenizer_path()).count() == 0
 
 
+def test_capitals_before_combining_marks_have_the_tokenizers_ids():
+    use = Coder(tokenizer_path())
+    marks = [chr(x) for x in range(0x300, 0x370)]
+    texts = [f"{c}{m} see {c.lower()}{m}.{c}{c}{m}\u0323 L\u00f6we {c}{m}" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in marks] + ["H\u0331", "J\u030c", "", "H", "\u0331H"]
+    ids, each = use.encode(pa.array(texts), 2)
+    want = [[*use.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert each.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [x for w in want for x in w]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 6), max_size=60), min_size=1, max_size=8), st.sampled_from([10, 40_000, 70_000]))
 def test_repair_is_lossless_with_random_access(documents, vocabulary):
