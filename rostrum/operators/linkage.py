@@ -1,7 +1,8 @@
 """Similarity linkage of submissions to responses, and clusters of units, over unit vectors.
 
 Dense scoring meets all rows with a stated query set, the responses of the final documents; it is broadcast only if
-counted below MOST_RESPONSES and taken in blocks of that size otherwise. Text similarity is an inverted-index join.
+counted below MOST_RESPONSES and taken in blocks of that size otherwise. Text similarity is an inverted-index join within a docket,
+for clusters with a prefix filter.
 """
 
 from __future__ import annotations
@@ -62,40 +63,60 @@ def adjudicated(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def tfidf(texts: DataFrame) -> DataFrame:
-    """id, terms (map of term number to weight, unit length) of (id, text): unigrams and bigrams, 1 + log(tf), smooth idf, fitted jointly."""
+    """docket_id, id, term, w (unit length for each id) of (docket_id, id, text): unigrams and bigrams, 1 + log(tf), smooth idf, fitted jointly in each docket."""
     words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)\b\w\w+\b", gaps=False).transform(texts)
     kept = StopWordsRemover(inputCol="words", outputCol="kept").transform(words)
-    pairs = NGram(n=2, inputCol="kept", outputCol="pairs").transform(kept).withColumn("terms", F.concat("kept", "pairs")).select("id", "terms")
-    counts = pairs.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = texts.count()
-    known = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all")).orderBy(F.desc("all"), "term").limit(VOCABULARY)
-    weighted = counts.join(known, "term").select("id", "term", ((1 + F.log("tf")) * (F.log((1.0 + n) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    pairs = NGram(n=2, inputCol="kept", outputCol="pairs").transform(kept).withColumn("terms", F.concat("kept", "pairs")).select("docket_id", "id", "terms")
+    counts = pairs.select("docket_id", "id", F.explode("terms").alias("term")).groupBy("docket_id", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    sizes = texts.groupBy("docket_id").agg(F.count(F.lit(1)).alias("n"))
+    known = counts.groupBy("docket_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all"))
+    known = known.withColumn("place", F.row_number().over(Window.partitionBy("docket_id").orderBy(F.desc("all"), "term"))).where(F.col("place") <= VOCABULARY)
+    idf = known.join(sizes, "docket_id").select("docket_id", "term", (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighted = counts.join(idf, ["docket_id", "term"]).select("docket_id", "id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("docket_id", "id")))
     return weighted.withColumn("w", F.col("w") / norm)
 
 
 def sparse_similarities(left: DataFrame, right: DataFrame) -> DataFrame:
-    """x, y, score of all pairs that share a term, from two `tfidf` tables: an inverted-index join."""
-    a = left.select(F.col("id").alias("x"), "term", F.col("w").alias("wx"))
-    b = right.select(F.col("id").alias("y"), "term", F.col("w").alias("wy"))
-    return a.join(b, "term").groupBy("x", "y").agg(F.sum(F.col("wx") * F.col("wy")).alias("score"))
+    """docket_id, x, y, score of all pairs of a docket that share a term, from two `tfidf` tables: an inverted-index join against few texts."""
+    a = left.select("docket_id", F.col("id").alias("x"), "term", F.col("w").alias("wx"))
+    b = right.select("docket_id", F.col("id").alias("y"), "term", F.col("w").alias("wy"))
+    return a.join(b, ["docket_id", "term"]).groupBy("docket_id", "x", "y").agg(F.sum(F.col("wx") * F.col("wy")).alias("score"))
+
+
+def similar_pairs(weights: DataFrame, cosine: float = CLUSTER_COSINE) -> DataFrame:
+    """docket_id, x, y (x < y), score of a docket's pairs at `cosine` or more.
+
+    Terms are ordered by how many texts have them, rarest first. A pair's score is at most the length of either vector
+    from the pair's rarest common term on, so that term is among those of both from which on at least `cosine` is left;
+    frequent terms after them make no pairs, and neither do terms of one text. Such pairs are scored on all their terms.
+    """
+    often = weights.groupBy("docket_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    left = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("docket_id", "id").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0))
+    # a little below, for sums of rounded squares
+    first = weights.join(often, ["docket_id", "term"]).withColumn("left", left).where((F.col("df") > 1) & (F.col("left") >= cosine * cosine - 1e-9))
+    first = cut(first.select("docket_id", "id", "term"), "prefixes")
+    x, y = (first.select("docket_id", "term", F.col("id").alias(c)) for c in ("x", "y"))
+    pairs = x.join(y, ["docket_id", "term"]).where("x < y").select("docket_id", "x", "y").distinct()
+    wx, wy = (weights.select("docket_id", F.col("id").alias(c), "term", F.col("w").alias(f"w{c}")) for c in ("x", "y"))
+    scored = pairs.join(wx, ["docket_id", "x"]).join(wy, ["docket_id", "y", "term"]).groupBy("docket_id", "x", "y").agg(F.sum(F.col("wx") * F.col("wy")).alias("score"))
+    return scored.where(F.col("score") >= cosine)
 
 
 def clusters(weights: DataFrame, ids: DataFrame, cosine: float = CLUSTER_COSINE, least: int = CLUSTER_SIZE) -> DataFrame:
-    """id, cluster_id (-1: alone), is_medoid: components of pairs at `cosine` or more with at least `least` members."""
-    n = ids.count()
-    if n < max(2 * least, 6):
-        return ids.select("id", F.lit(-1).alias("cluster_id"), F.lit(False).alias("is_medoid"))
-    pairs = cut(sparse_similarities(weights, weights).where(F.col("x") < F.col("y")), "pairs")
-    roots = components(pairs.where(F.col("score") >= cosine).select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("id"), "root")
-    sized = roots.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("root"))).where(F.col("of") >= least)
-    numbered = sized.withColumn("cluster_id", F.dense_rank().over(Window.orderBy("root")) - 1)
+    """docket_id, id, cluster_id (-1: alone), is_medoid of `ids` (docket_id, id): components of a docket's pairs at `cosine` or more with at least `least` members."""
+    enough = ids.groupBy("docket_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2 * least, 6)).select("docket_id")
+    pairs = cut(similar_pairs(weights.join(enough, "docket_id", "left_semi"), cosine), "pairs")
+    node = lambda c: F.struct("docket_id", F.col(c).alias("id"))
+    roots = components(pairs.select(node("x").alias("a"), node("y").alias("b"))).select("node.docket_id", "node.id", F.col("root.id").alias("root"))
+    sized = roots.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("docket_id", "root"))).where(F.col("of") >= least)
+    numbered = sized.withColumn("cluster_id", F.dense_rank().over(Window.partitionBy("docket_id").orderBy("root")) - 1)
     # v . mean of the members, from the pairs: the medoid is the largest, the smallest id among equals
-    centroid = numbered.select("id", "cluster_id", "of").join(weights, "id").groupBy("cluster_id", "term").agg((F.sum("w") / F.first("of")).alias("c"))
-    scored = numbered.select("id", "cluster_id").join(weights, "id").join(centroid, ["cluster_id", "term"]).groupBy("cluster_id", "id").agg(F.sum(F.col("w") * F.col("c")).alias("s"))
-    medoids = scored.groupBy("cluster_id").agg(F.min_by("id", F.struct(-F.col("s"), "id")).alias("medoid"))
-    joined = ids.join(numbered.select("id", "cluster_id"), "id", "left").join(medoids, "cluster_id", "left")
-    return joined.select("id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), F.coalesce(F.col("id") == F.col("medoid"), F.lit(False)).alias("is_medoid"))
+    centroid = numbered.select("docket_id", "id", "cluster_id", "of").join(weights, ["docket_id", "id"]).groupBy("docket_id", "cluster_id", "term").agg((F.sum("w") / F.first("of")).alias("c"))
+    scored = numbered.select("docket_id", "id", "cluster_id").join(weights, ["docket_id", "id"]).join(centroid, ["docket_id", "cluster_id", "term"]).groupBy("docket_id", "cluster_id", "id").agg(F.sum(F.col("w") * F.col("c")).alias("s"))
+    medoids = scored.groupBy("docket_id", "cluster_id").agg(F.min_by("id", F.struct(-F.col("s"), "id")).alias("medoid"))
+    joined = ids.join(numbered.select("docket_id", "id", "cluster_id"), ["docket_id", "id"], "left").join(medoids, ["docket_id", "cluster_id"], "left")
+    return joined.select("docket_id", "id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), F.coalesce(F.col("id") == F.col("medoid"), F.lit(False)).alias("is_medoid"))
 
 
 def cached_vectors(texts: DataFrame, backend: str, path: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:

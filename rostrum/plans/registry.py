@@ -15,6 +15,7 @@ from rostrum.operators import campaigns, console, linkage, metrics, parsing, usa
 from rostrum.operators.graph import components
 from rostrum.plans import relations as rel
 from rostrum.plans.relations import with_ctes
+from rostrum.storage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -468,9 +469,9 @@ def _(spark, d):
 
 @query("M1_M3_M4_clusters")
 def _(spark, d):
-    units = rel.comments(spark, d).join(rel.dedup(spark, d).drop("docket_id"), "comment_id").where("docket_id = 'src3' and (campaign_id is null or is_exemplar)")
-    texts = units.select(F.col("comment_id").alias("id"), F.col("full_text").alias("text"))
-    return linkage.clusters(linkage.tfidf(texts), texts.select("id"))
+    units = rel.comments(spark, d).join(rel.dedup(spark, d).drop("docket_id"), "comment_id").where("campaign_id is null or is_exemplar")
+    texts = units.select("docket_id", F.col("comment_id").alias("id"), F.col("full_text").alias("text"))
+    return linkage.clusters(cut(linkage.tfidf(texts), "weights"), texts.select("docket_id", "id"))
 
 
 # parsing
