@@ -521,6 +521,13 @@ def _(spark, d):
     return parsing.page_at(at, marks).select("pos", "n", "page")
 
 
+@query("J14_page_as_of_all")
+def _(spark, d):
+    at = rel.base(spark, d, "lineitem").select(F.lit("x").alias("document_id"), F.col("l_orderkey").alias("pos"), F.col("l_linenumber").alias("n"))
+    marks = rel.base(spark, d, "part").select(F.lit("x").alias("document_id"), (F.col("p_partkey") * 7).alias("pos"), F.col("p_name").alias("page"))
+    return parsing.page_at(at, marks).select("pos", "n", "page")
+
+
 @query(
     "T1_strip_stage",
     """select page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'gsi'), '<br\\s*/?>', chr(10), 'gi'), '</p\\s*>', chr(10) || chr(10), 'gi'), '<[^>]{1,400}>', ' ', 'g')) as h from pages""",

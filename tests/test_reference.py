@@ -132,6 +132,21 @@ def test_structural_and_pages(spark):
     assert sorted((r.document_id, r.pos, r.page) for r in parsing.page_at(at, marks).collect()) == [("d", 10, "1"), ("d", 50, "2"), ("d", 99, "2"), ("e", 5, None)]
 
 
+def test_page_of_every_row(spark, sf):
+    from bisect import bisect_right
+
+    part = sorted((r.p_partkey * 7, r.p_name) for r in spark.read.parquet(f"{sf}/part.parquet").collect())
+    page = lambda pos: part[i - 1][1] if (i := bisect_right(part, pos, key=lambda m: m[0])) else None
+    want = sorted((r.l_orderkey, r.l_linenumber, page(r.l_orderkey) or "") for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect())
+    got = registry.QUERIES["J14_page_as_of_all"](spark, sf).collect()
+    assert sorted((r.pos, r.n, r.page or "") for r in got) == want
+    at = spark.createDataFrame([(d, p) for d in ("d", "e", None) for p in range(60)], "document_id string, pos long")
+    marks = spark.createDataFrame([(d, p, f"{d}{p}") for d in ("d", None) for p in (3, 5, 31, 40)], "document_id string, pos long, page string")
+    for r in parsing.page_at(at, marks, 4).collect():
+        last = [p for p in (3, 5, 31, 40) if p <= r.pos]
+        assert r.page == (f"{r.document_id}{last[-1]}" if last and r.document_id != "e" else None)
+
+
 def test_clusters_of_all_dockets(spark, sf):
     import random
 
