@@ -455,6 +455,23 @@ def _(spark, d):
     return linkage.best_links(linkage.similarities(left, right(97)), top=3).select("comment_id", "response_id", F.round("score", 6).alias("score"))
 
 
+def _all_vectors(spark, d):
+    """All rows, and those of ids divisible by 100 as the query set."""
+    e = rel.base(spark, d, "embeddings")
+    left = e.select(F.col("vec_id").alias("comment_id"), F.col("embedding").alias("vector"))
+    return left, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("response_id"), F.col("embedding").alias("vector"))
+
+
+@query("J13_W1_W2_A22_linkage_all")
+def _(spark, d):
+    return linkage.best_links(linkage.similarities(*_all_vectors(spark, d))).select("comment_id", "response_id", F.round("score", 6).alias("score"))
+
+
+@query("M5_linkage_selective_all")
+def _(spark, d):
+    return linkage.best_links(linkage.similarities(*_all_vectors(spark, d)), top=3).select("comment_id", "response_id", F.round("score", 6).alias("score"))
+
+
 @query(
     "A21_medoids",
     """with x as (select label, vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings), c as (select label, i, avg(cast(v as double)) as c from x group by 1, 2),

@@ -147,6 +147,22 @@ def test_page_of_every_row(spark, sf):
         assert r.page == (f"{r.document_id}{last[-1]}" if last and r.document_id != "e" else None)
 
 
+@pytest.mark.parametrize("name, top", [("J13_W1_W2_A22_linkage_all", 1), ("M5_linkage_selective_all", 3)])
+def test_links_of_every_row(spark, sf, name, top):
+    import numpy as np
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    asked = [r for r in rows if r.vec_id % 100 == 0]
+    scores = np.array([r.embedding for r in rows], float) @ np.array([r.embedding for r in asked], float).T
+    want = set()
+    for r, s in zip(rows, scores, strict=True):
+        z = (s - s.mean()) / s.std()
+        best = sorted(range(len(asked)), key=lambda j: (-s[j], asked[j].vec_id))[:top]
+        want |= {(r.vec_id, asked[j].vec_id) for j in best if s[j] >= 0.05 and (len(asked) < 4 or s.std() <= 1e-6 or z[j] >= 1.5)}
+    got = {(r.comment_id, r.response_id) for r in registry.QUERIES[name](spark, sf).collect()}
+    assert got == want and any(c % 2 for c, _ in got)
+
+
 def test_clusters_of_all_dockets(spark, sf):
     import random
 
