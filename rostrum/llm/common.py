@@ -19,17 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """`df` itself if it only reads, selects or filters stored files, so that its rows come in one order whenever it is evaluated; else a written copy."""
-
-    def plain(plan) -> bool:
-        children = plan.children()
-        kids = [children.apply(i) for i in range(children.size())]
-        return plan.nodeName() in ("Project", "Filter") and all(map(plain, kids)) or plan.nodeName().startswith(("LogicalRelation", "Relation")) and not kids
-
-    return df if plain(df._jdf.queryExecution().optimizedPlan()) else cut(df, label)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished queries now; it does so when the driver collects its garbage."""
     for _ in range(2):  # the first lets Python's references to finished plans go
@@ -79,4 +68,4 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator
         yield pa.Table.from_batches(held)
 
 
-__all__ = ["cut", "discard", "frugal", "new_path", "release", "shared_dir", "small", "stored", "table", "whole_groups"]
+__all__ = ["cut", "discard", "frugal", "new_path", "release", "shared_dir", "small", "table", "whole_groups"]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.llm import wordbytes as wb
-from rostrum.llm.common import cut, discard, frugal, release, small, stored, whole_groups
+from rostrum.llm.common import cut, discard, frugal, release, small, whole_groups
 
 LENGTH = 100
 GRAM = 32
@@ -365,8 +365,8 @@ def whole_copies(rows: DataFrame) -> DataFrame:
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary) for each row of `docs` (doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    # rows are numbered in the order of their files, the same in each of the passes
-    rows = stored(docs.select("doc_id", text), "documents").withColumn("id", F.monotonically_increasing_id())
+    # numbers are written with their rows: numbered anew in each pass, they would shift with the splits of the files
+    rows = cut(docs.select("doc_id", text).withColumn("id", F.monotonically_increasing_id()), "documents")
     copies = cut(whole_copies(rows), "copies")
     gone = small(copies.select("id"), BROADCAST_ROWS)
     found = cut(rows.join(gone, "id", "left_anti").select("id", "text").mapInArrow(frugal(_anchor_rows), "h long, id long, at long"), "anchors")

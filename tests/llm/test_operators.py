@@ -232,6 +232,21 @@ def test_suffix_dedup(spark, rows, monkeypatch, hot):
     assert [g[1:] for g in got] == covered(texts, 100)
 
 
+def test_suffix_dedup_keeps_its_numbers_when_splits_change(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(24)]
+    texts = [t + (texts[0][20:140] if i % 3 == 0 else "") for i, t in enumerate(texts)] + texts[5:9]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7).write.parquet(path)
+    narrow = "spark.sql.files.maxPartitionBytes"
+    monkeypatch.setattr(suffix_dedup, "release", lambda session: session.conf.set(narrow, "1000"))
+    try:
+        got = sorted(tuple(r) for r in suffix_dedup.suffix_dedup(spark.read.parquet(path)).drop("kept").collect())
+    finally:
+        spark.conf.unset(narrow)
+    assert [g[1:] for g in got] == covered(texts, 100)
+
+
 def test_suffix_dedup_empty(empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
