@@ -11,7 +11,8 @@ A byte goes if it lies in a `length`-byte string that also starts earlier: in a
    ones: multikey quicksort on 8-byte words down to SHALLOW
    bytes, then blind tries on the groups that still share a prefix. Neighbours that agree in `length` bytes are one string; its
    first occurrence stays, the others' bytes are covered. Hot anchors (more than HOT occurrences) are sorted in blocks
-   first; each block passes on only the first occurrences of its strings.
+   first; each block passes on only the windows that it doesn't cover, each as a row of its own, and those meet by a hash
+   of the window: equal ones come together, an anchor's different ones don't.
 4. Covered runs return to their documents, which are rewritten.
 
 Null or empty texts have no bytes. Documents stand in order of doc_id, null first, then of a hash of the text; of fully
@@ -220,7 +221,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sorted_windows(hot: bool):
-    """Covered runs (id, lo, hi) from rows sorted by h (and block), and, of hot anchors, the contexts that hold a first occurrence."""
+    """Covered runs (id, lo, hi) from rows sorted by h (and block), and, of hot anchors, the windows that aren't covered, one a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["h", "block"]):
@@ -272,12 +273,21 @@ def _sorted_windows(hot: bool):
         yield pa.RecordBatch.from_arrays(out, _WINDOW_NAMES)
         if hot:
             # what isn't a copy here may still be one of another block's
-            firsts = np.union1d(row[~covered], np.setdiff1d(np.flatnonzero(single), apart))
-            keep = firsts[size[firsts] > HOT]
-            if len(keep):
-                k = t.take(pa.array(keep)).combine_chunks()
-                col = lambda c: k.column(c).chunk(0) if isinstance(k.column(c), pa.ChunkedArray) else k.column(c)
-                out = [col("id"), *(pa.nulls(len(keep), pa.int64()) for _ in range(2)), col("h"), col("size"), col("doc_id"), col("tie"), col("place"), col("first"), col("bytes")]
+            alone = np.setdiff1d(np.flatnonzero(single), apart)
+            count = span[alone] - LENGTH + 1
+            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            lone = np.repeat(alone, count)
+            of = np.concatenate([row[~covered], lone])
+            at = np.concatenate([starts[~covered], offsets[lone] + step])
+            start = np.concatenate([start[~covered], first[lone] + step])
+            keep = np.flatnonzero(size[of] > HOT)
+            for i in range(0, len(keep), WINDOW_ROWS):
+                part = keep[i : i + WINDOW_ROWS]
+                spelled = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at[part]]
+                k = t.take(pa.array(of[part])).combine_chunks()
+                col = lambda c: k.column(c).chunk(0) if isinstance(k.column(c), pa.ChunkedArray) else k.column(c)  # noqa: B023, E731
+                held = pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(np.arange(0, LENGTH * len(part) + 1, LENGTH, np.int32)), pa.py_buffer(spelled.ravel())])
+                out = [col("id"), *(pa.nulls(len(part), pa.int64()) for _ in range(2)), col("h"), col("size"), col("doc_id"), col("tie"), col("place"), pa.array(start[part]), held]
                 yield pa.RecordBatch.from_arrays(out, _WINDOW_NAMES)
 
     return run
@@ -289,6 +299,8 @@ _WINDOWS = "id long, lo long, hi long, h long, size long, doc_id long, tie long,
 BROADCAST_ROWS = 400_000
 #: About this many bytes of contexts are sorted together.
 SORT_BYTES = 1 << 21
+#: Windows of hot anchors in one batch.
+WINDOW_ROWS = 20_000
 
 
 def _number(*keys: np.ndarray) -> np.ndarray:
@@ -383,7 +395,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     once = cut(_in_groups(contexts).mapInArrow(frugal(_sorted_windows(True)), _WINDOWS), "windows")
     release(docs.sparkSession)
     covered = once.where("lo is not null").select("id", "lo", "hi")
-    hot = once.where("lo is null").withColumn("block", F.lit(0).cast("long"))
+    hot = once.where("lo is null").withColumn("block", F.xxhash64("bytes", F.col("place") - F.col("first")))
     twice = _in_groups(hot).mapInArrow(frugal(_sorted_windows(False)), _WINDOWS).select("id", "lo", "hi")
     whole = copies.select("id", F.lit(0).cast("long").alias("lo"), F.col("n").cast("long").alias("hi"))
     runs = covered.unionByName(twice).unionByName(whole).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))

@@ -247,6 +247,21 @@ def test_suffix_dedup_keeps_its_numbers_when_splits_change(spark, tmp_path, monk
     assert [g[1:] for g in got] == covered(texts, 100)
 
 
+def test_hot_anchors_in_different_contexts_are_split(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    grouped, inner = [], suffix_dedup._in_groups
+    monkeypatch.setattr(suffix_dedup, "_in_groups", lambda df: grouped.append(df) or inner(df))
+    rng = random.Random(6)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase = make(95)
+    texts = [make(60) + phrase + make(60) for _ in range(40)]
+    texts += [t[10:190] for t in texts[:6]]
+    got = sorted(tuple(r) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).drop("kept").collect())
+    assert [g[1:] for g in got] == covered(texts, 100)
+    sizes = grouped[1].groupBy("h", "block").count().agg({"count": "max"}).first()[0]
+    assert sizes <= 10
+
+
 def test_suffix_dedup_empty(empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
