@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where the cluster names none."""
+    """The folder that the driver and all executors see. Only where the driver is the one executor, a temporary one does."""
     own = "rostrum.shared.dir"
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(own, None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         where = "file://" + tempfile.mkdtemp(prefix="rostrum-")
         spark.conf.set(own, where)
     return where.rstrip("/")
@@ -27,10 +35,25 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside let go of their shuffle files when they end, not when the driver happens to collect garbage."""
+    old = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, old)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back, so that a lost executor never replays what made it."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
