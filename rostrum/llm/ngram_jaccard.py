@@ -69,12 +69,10 @@ def _sketch(bands: int, rows: int, k: int):
                             np.multiply(v, np.uint32(0x2C1B3C6D), out=v)
                             acc = wb.mix(acc * wb.BASE + np.minimum.reduceat(v, at[full]))
                         band[full, b] = acc
-                keys = _sequence_keys(w)
-                empty = np.diff(w.rows) == 0
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
-                        pa.array(keys, pa.binary(), mask=empty),
+                        pa.array(wb.sequence_digests(w), pa.binary()),
                         pa.array(np.diff(at)),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(band.view(np.int64).ravel())),
                     ],
@@ -84,21 +82,6 @@ def _sketch(bands: int, rows: int, k: int):
     return run
 
 
-def _sequence_keys(w: wb.Words) -> list[bytes]:
-    """16 bytes for each row's word sequence."""
-    rows, count = w.rows, np.diff(w.rows)
-    total = len(w.hashes)
-    position = np.arange(total) - np.repeat(rows[:-1], count)
-    out = np.zeros((len(count), 2), np.uint64)
-    full = np.flatnonzero(count > 0)
-    if len(full):
-        top = int(count.max())
-        for j, base in enumerate((wb.BASE, wb.GRAM_CODE[7])):
-            sums = np.add.reduceat(wb.mix(w.hashes ^ wb.GRAM_CODE[10 + j]) * wb.powers(base, top)[position], rows[full])
-            out[full, j] = wb.mix(sums + count[full].astype(np.uint64))
-    return [x.tobytes() for x in out]
-
-
 def _gram_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,7 +89,7 @@ def _gram_sets(k: int):
                 w = wb.words(part.column("text"))
                 grams, at = wb.grams(w, k)
                 sets = [np.unique(grams[at[i] : at[i + 1]]).tobytes() for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([pa.array(_sequence_keys(w), pa.binary()), pa.array(sets, pa.binary())], ["node", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(wb.sequence_digests(w), pa.binary()), pa.array(sets, pa.binary())], ["node", "grams"])
 
     return run
 
@@ -294,7 +277,7 @@ def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in wb.pieces(batch, "text"):
             w = wb.words(part.column("text"))
-            node = pa.array(_sequence_keys(w), pa.binary(), mask=np.diff(w.rows) == 0)
+            node = pa.array(wb.sequence_digests(w), pa.binary())
             yield pa.RecordBatch.from_arrays([*part.columns, node], [*part.schema.names, "node"])
 
 

@@ -6,6 +6,7 @@ digits, ASCII letters and bytes from 0x80 on, so no text needs to be decoded.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,6 @@ IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[65:91] = IS_WORD[97:123] = IS_WORD[128:] = True
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
-BYTE_CODE = np.where(IS_WORD, _RNG.integers(1, 2**63, 256, dtype=np.uint64)[LOWER], np.uint64(0))
 RAW_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
@@ -45,6 +45,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Strings of more bytes are hashed by hashlib, one by one.
+LONG = 256
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
+_STEP = np.arange(8)
+
+
+def string_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end], from 8 bytes at a time, each mixed with what came before; no sum or polynomial,
+    whose collisions could be spelled out. Equal hashes aren't proof of equal strings."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * BASE)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    live = np.flatnonzero(size <= LONG)
+    at = starts[live]
+    while len(live):
+        left = np.minimum(ends[live] - at, 8)
+        block = padded[at[:, None] + _STEP].view("<u8").ravel() & _KEEP[left]
+        out[live] = mix((out[live] ^ block) * BASE + INVERSE)
+        at = at + 8
+        more = at < ends[live]
+        live, at = live[more], at[more]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column (null: empty) and each row's offsets into them."""
     if column.null_count:
@@ -96,9 +122,36 @@ def words(column: pa.Array) -> Words:
     stop[n] = inside[n - 1]
     stop[edges] |= inside[edges - 1]
     ends = np.flatnonzero(stop)
-    sums = np.add.reduceat(BYTE_CODE[data] * powers(BASE, n), starts)
-    hashes = mix(sums * powers(INVERSE, n)[starts])
-    return Words(LOWER[data], starts, ends, hashes, np.searchsorted(starts, offsets))
+    lowered = LOWER[data]
+    return Words(lowered, starts, ends, string_hashes(lowered, starts, ends), np.searchsorted(starts, offsets))
+
+
+def joined(w: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All rows' words, one blank between those of a row, and each word's borders in that string. A blank is no byte of a
+    word, so different runs of words are different strings."""
+    keep = np.zeros(len(w.data), np.int8)
+    # +1 at a word's start, -1 at its end: the bytes inside; the byte before a word that isn't its row's first becomes the blank
+    keep[w.starts] += 1
+    keep[w.ends[w.ends < len(w.data)]] -= 1
+    keep = np.cumsum(keep, dtype=np.int8).astype(bool)
+    first = np.zeros(len(w.starts), bool)
+    first[w.rows[:-1][np.diff(w.rows) > 0]] = True
+    blank = w.starts[~first] - 1
+    data = w.data.copy()
+    data[blank] = 32
+    keep[blank] = True
+    at = np.cumsum(keep)
+    return data[keep].tobytes(), at[w.starts] - 1, at[w.ends - 1]
+
+
+def sequence_digests(w: Words) -> list[bytes | None]:
+    """SHA-256 of each row's words, as `joined` spells them; None without words."""
+    out: list[bytes | None] = [None] * (len(w.rows) - 1)
+    spelled, lo, hi = joined(w)
+    rows = np.flatnonzero(np.diff(w.rows) > 0)
+    for i, s, e in zip(rows.tolist(), lo[w.rows[rows]].tolist(), hi[w.rows[rows + 1] - 1].tolist(), strict=True):
+        out[i] = hashlib.sha256(spelled[s:e]).digest()
+    return out
 
 
 def grams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
