@@ -6,8 +6,9 @@ n_docs, n_ids, doc_ids, data. Spark commits that table, so a lost executor only
 shard by shard; `start` is a running sum over the shards' sizes.
 
 Texts are encoded by chunks, which begin after a blank or where a stop follows an ASCII letter: this tokenizer composes
-(NFC), lower-cases and never forms a token across those borders, so the ids of a text are those of its chunks in order; each distinct chunk of a batch, told apart by 128 bits of hash, is encoded once
-and kept for the next batch (at most CACHE of them). A text that holds a special token's opening is encoded whole.
+(NFC), lower-cases and never forms a token across those borders, so the ids of a text are those of its chunks in order;
+each distinct chunk of a batch, told apart by its bytes, is encoded once and kept for the next batch (at most CACHE of
+them). A text that holds a special token's opening is encoded whole.
 
 Null or empty texts are the end id alone. Documents of equal doc_id, null first, stand in order of a hash of
 their texts; repeated rows are repeated documents. Further columns are ignored. An empty table gives no shard.
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,7 @@ from rostrum.llm.repair import Shard, _gather, compress
 SHARD_IDS = 1_000_000
 CACHE = 800_000
 FRESH = 150_000
+KEPT_BYTES = 64
 END_ID = 2
 #: The tokenizer drops white space and lower-cases, so both may be done to the bytes before; but it composes first, and
 #: 'h' + U+0331 has a composed form where 'H' + U+0331 has none, so a capital before a byte that isn't ASCII stays as it is.
@@ -41,7 +44,6 @@ CAPITAL = np.zeros(256, bool)
 CAPITAL[65:91] = True
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = True
-CODES = tuple(np.where(np.arange(256) == 32, np.uint64(0), np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, 256, dtype=np.uint64)) for seed in (41, 43))
 SPLITS = np.zeros(256, bool)
 SPLITS[list(b".,;:!?()")] = True
 
@@ -49,26 +51,31 @@ _coders: dict[str, Coder] = {}
 
 
 class Store:
-    """Ids of chunks by two 64-bit hashes, in sorted arrays."""
+    """Ids of chunks by their bytes; a hash in sorted arrays leads to the chunk, whose bytes are compared."""
 
     def __init__(self) -> None:
-        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.keys, self.words = np.zeros(0, np.uint64), pa.array([], pa.large_binary())
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
-    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    def find(self, keys: np.ndarray, words: pa.Array) -> np.ndarray:
         """Places of the chunks, -1 for unknown ones."""
+        out = np.full(len(keys), -1)
         if not len(self.keys):
-            return np.full(len(keys), -1)
+            return out
         p = np.searchsorted(self.keys, keys)
         p[p == len(self.keys)] = 0
-        return np.where((self.keys[p] == keys) & (self.checks[p] == checks), p, -1)
+        may = np.flatnonzero(self.keys[p] == keys)
+        same = pc.equal(self.words.take(pa.array(p[may])), words.take(pa.array(may))).to_numpy(zero_copy_only=False)
+        out[may[same]] = p[may[same]]
+        return out
 
-    def add(self, keys: np.ndarray, checks: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, words: pa.Array, size: np.ndarray, ids: np.ndarray) -> None:
         order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
         join = lambda old, new: np.concatenate([old, new.astype(old.dtype)])[order]
         self.at = join(self.at, len(self.ids) + np.cumsum(size) - size)
-        self.keys, self.checks, self.size = join(self.keys, keys), join(self.checks, checks), join(self.size, size)
+        self.keys, self.size = join(self.keys, keys), join(self.size, size)
+        self.words = pa.concat_arrays([self.words, words]).take(pa.array(order))
         self.ids = np.concatenate([self.ids, ids])
 
 
@@ -111,7 +118,10 @@ class Coder:
         begin[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(begin)
         bounds = np.searchsorted(starts, offsets)
-        place, ids, at, size = self._chunks(plain, starts)
+        solid = plain != 32
+        # a chunk ends before its blanks, so that it is the same before a blank and before a stop
+        cuts = np.append(np.cumsum(solid)[starts] - solid[starts], np.count_nonzero(solid)) if len(starts) else np.zeros(1, np.int64)
+        place, ids, at, size = self._chunks(plain[solid], cuts)
         # one chunk more: the end id
         ids, at, size = np.append(ids, np.uint32(end_id)), np.append(at, len(ids)), np.append(size, 1)
         chunk = np.full(len(starts) + n, len(at) - 1)
@@ -128,36 +138,34 @@ class Coder:
             out, each = np.concatenate(parts), np.array([len(p) for p in parts])
         return out, each
 
-    def _chunks(self, plain: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    def _chunks(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, ...]:
         """(number of each chunk, ids of the distinct ones joined, where each one's ids begin, how many it has)."""
-        if not len(starts):
-            return starts, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        power, back = wb.powers(wb.BASE, len(plain)), wb.powers(wb.INVERSE, len(plain))[starts]
-        # blanks count for nothing, so that a chunk is the same before a blank and before a stop
-        keys, checks = (wb.mix(np.add.reduceat(code[plain] * power, starts) * back) for code in CODES)
-        coded = pa.array(keys).dictionary_encode()
-        place, keys = coded.indices.to_numpy(), coded.dictionary.to_numpy()
-        first = np.zeros(len(keys), np.int64)
-        first[place[::-1]] = np.arange(len(place) - 1, -1, -1)
-        checks = checks[first]
-        known, fresh = self.known.find(keys, checks), self.fresh.find(keys, checks)
+        n = len(cuts) - 1
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        place, words = coded.indices.to_numpy(), coded.dictionary
+        raw, bounds = wb.raw(words)
+        keys = wb.string_hashes(raw, bounds[:-1], bounds[1:])
+        known, fresh = self.known.find(keys, words), self.fresh.find(keys, words)
         missing = np.flatnonzero((known < 0) & (fresh < 0))
-        raw, ends = plain.tobytes(), np.append(starts[1:], len(plain))[first[missing]]
-        spelled = [raw[s:e].decode().rstrip(" ") for s, e in zip(starts[first[missing]].tolist(), ends.tolist(), strict=True)]
-        ids, sizes = self.spell(spelled)
+        ids, sizes = self.spell([x.decode() for x in words.take(pa.array(missing)).to_pylist()])
         at, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         at[missing], size[missing] = len(self.known.ids) + len(self.fresh.ids) + np.cumsum(sizes) - sizes, sizes
         for store, found, base in ((self.known, known, 0), (self.fresh, fresh, len(self.known.ids))):
             hit = np.flatnonzero(found >= 0)
             at[hit], size[hit] = base + store.at[found[hit]], store.size[found[hit]]
         every = np.concatenate([self.known.ids, self.fresh.ids, ids])
+        # long chunks are rarely met again, so they aren't kept
+        short = np.diff(bounds)[missing] <= KEPT_BYTES
         room = CACHE - len(self.known.keys) - len(self.fresh.keys)
         if room > 0:
-            keep = min(room, len(missing))
-            self.fresh.add(keys[missing[:keep]], checks[missing[:keep]], sizes[:keep], ids[: int(sizes[:keep].sum())])
-            if len(self.fresh.keys) > FRESH or keep == room:
+            keep = np.flatnonzero(short)[:room]
+            kept = missing[keep]
+            self.fresh.add(keys[kept], words.take(pa.array(kept)), sizes[keep], _gather(ids, (np.cumsum(sizes) - sizes)[keep], sizes[keep]))
+            if len(self.fresh.keys) > FRESH or len(keep) == room:
                 new, size_ = self.fresh, self.fresh.size.astype(np.int64)
-                self.known.add(new.keys, new.checks, size_, _gather(new.ids, new.at, size_))
+                self.known.add(new.keys, new.words, size_, _gather(new.ids, new.at, size_))
                 self.fresh = Store()
         return place, every, at, size
 
@@ -241,8 +249,9 @@ def read_tokens(spark, path: str) -> DataFrame:
     return rows.join(small(offsets, 200_000), ["partition", "seq"]).select("doc_id", (F.col("at") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """Write `docs` as token shards to the shared folder and return what is read back from them."""
-    path = new_path(docs.sparkSession, "tokens")
+def token_output(docs: DataFrame, tokenizer: str, end_id: int = END_ID, path: str | None = None) -> DataFrame:
+    """Write `docs` as token shards to `path`, where they stay, and return what is read back from them; without a path
+    they lie in the shared folder until the driver ends."""
+    path = path or new_path(docs.sparkSession, "tokens")
     write_tokens(docs, tokenizer, path, end_id)
     return read_tokens(docs.sparkSession, path)
