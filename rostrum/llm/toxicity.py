@@ -4,8 +4,9 @@ Fit: a bounded sample of labelled rows (FIT_ROWS, the smallest by a seeded hash
 the distinct word features of each whole text. The features that differ most between the labels (score test, at most MOST_FEATURES) and
 the identity terms are kept. The loss is logistic, with a ridge and a counterfactual term: for each labelled text that
 names an identity term, the term is swapped for every other term of its group and the squared change of the logit is
-penalised, so that naming one group instead of another doesn't move the score. Newton steps run on the driver over the
-sample's features only; texts with the same features count once. Only the text is ever an input of a score.
+penalised, so that naming one group instead of another doesn't move the score. Newton steps run in one task, which holds
+the bounded sample's features only; the driver gets the weights. Texts with the same features count once. Only the text is
+ever an input of a score.
 
 Scoring is one pass over all documents with a broadcast table of 2**BITS weights.
 
@@ -34,6 +35,7 @@ BITS = 20
 LEAST_DOCS = 4
 LEAST_Z = 4.0
 MOST_FEATURES = 512
+STRIP = 2_048
 RIDGE = 0.15
 COUNTERFACTUAL = 4.0
 
@@ -79,62 +81,71 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(sets, pa.binary())], ["toxic", "features"])
 
 
-def swaps(present: list[np.ndarray]) -> dict[tuple[int, int], float]:
-    """How often one identity feature would be swapped for another over all texts; a term's swaps weigh 1 together."""
+def swaps(flat: np.ndarray, row: np.ndarray, n: int) -> dict[tuple[int, int], float]:
+    """How often one identity feature would be swapped for another over n texts; a term's swaps weigh 1 together.
+
+    `flat`: the texts' distinct features, joined; `row`: the text of each.
+    """
     out: dict[tuple[int, int], float] = {}
     for group in IDENTITY_TERMS:
-        ids = np.array([term_feature(t) for t in group], np.uint32)
-        for f in present:
-            at = np.isin(ids, f)
-            for a in ids[at]:
-                for b in ids[~at]:
-                    out[int(a), int(b)] = out.get((int(a), int(b)), 0) + 1 / (len(ids) - 1)
+        ids = sorted({term_feature(t) for t in group})
+        has = np.zeros((n, len(ids)))
+        for j, x in enumerate(ids):
+            has[row[flat == x], j] = 1
+        times = has.T @ (1 - has) / max(len(ids) - 1, 1)
+        out |= {(ids[i], ids[j]): float(times[i, j]) for i, j in np.argwhere(times > 0)}
     return out
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray) -> Model:
-    """Screen by the score test, then Newton steps; `features`: each text's distinct feature numbers."""
+def fit(features: list[np.ndarray], labels: np.ndarray, counterfactual: float = COUNTERFACTUAL) -> tuple[np.ndarray, np.ndarray, float]:
+    """(features, their weights, bias): screened by the score test, then Newton steps; `features`: each text's distinct
+    feature numbers. The design matrix is one byte for each text and feature, and is taken STRIP texts at a time."""
     n = len(labels)
-    weights = np.zeros(1 << BITS, np.float32)
+    nothing = np.zeros(0, np.int64), np.zeros(0)
     share = (labels.sum() + 0.5) / (n + 1)
     bias = float(np.log(share / (1 - share)))
     if n == 0 or labels.min() == labels.max():
-        return Model(weights, bias)
-    flat = np.concatenate(features).astype(np.int64)
-    row = np.repeat(np.arange(n), [len(f) for f in features])
+        return *nothing, bias
+    flat = np.concatenate(features)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in features])
     often = np.bincount(flat, minlength=1 << BITS)
     above = np.bincount(flat, (labels - share)[row], 1 << BITS)
     z = above / np.sqrt(share * (1 - share) * np.maximum(often * (1 - often / (n + 1)), 1e-9))
     z[often < LEAST_DOCS] = 0
-    pairs = swaps(features)
+    pairs = swaps(flat, row, n)
     strong = np.argsort(-np.abs(z), kind="stable")[:MOST_FEATURES]
     used = np.union1d(strong[np.abs(z[strong]) >= LEAST_Z], np.array([x for p in pairs for x in p], np.int64)).astype(np.int64)
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
     at = place[flat]
-    x = np.zeros((n, len(used) + 1))
+    x = np.zeros((n, len(used) + 1), np.int8)
     x[row[at >= 0], at[at >= 0]] = 1
     x[:, -1] = 1
     penalty = np.diag([RIDGE] * len(used) + [0.0])
     for (a, b), count in pairs.items():
         i, j = place[a], place[b]
-        force = 2 * COUNTERFACTUAL * count
+        force = 2 * counterfactual * count
         penalty[i, i] += force
         penalty[j, j] += force
         penalty[i, j] -= force
         penalty[j, i] -= force
+    strips = [slice(s, s + STRIP) for s in range(0, n, STRIP)]
+    logits = lambda w: np.concatenate([np.clip(x[s].astype(float) @ w, -30, 30) for s in strips])
     w = np.zeros(len(used) + 1)
     w[-1] = bias
     loss = np.inf
     for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - labels) + penalty @ w
-        h = (x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w))
+        p = 1 / (1 + np.exp(-logits(w)))
+        g, h = penalty @ w, penalty + 1e-9 * np.eye(len(w))
+        for s in strips:
+            d = x[s].astype(float)
+            g = g + d.T @ (p[s] - labels[s])
+            h += (d * (p[s] * (1 - p[s]))[:, None]).T @ d
         step = np.linalg.solve(h, g)
         size = 1.0
         while size > 1e-4:
             new = w - size * step
-            m = np.clip(x @ new, -30, 30)
+            m = logits(new)
             now = float((np.logaddexp(0, m) - labels * m).sum() + new @ penalty @ new / 2)
             if now <= loss + 1e-9:
                 break
@@ -143,8 +154,7 @@ def fit(features: list[np.ndarray], labels: np.ndarray) -> Model:
         if loss - now < 1e-6 * n:
             break
         loss = now
-    weights[used] = w[:-1]
-    return Model(weights, float(w[-1]))
+    return used, w[:-1], float(w[-1])
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
@@ -155,12 +165,33 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    found = sample(docs, labels, rows).select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(frugal(_features), "toxic int, features binary").toArrow()
-    label: dict[bytes, int] = {}
-    for text, toxic in sorted(zip(found.column("features").to_pylist(), found.column("toxic").to_pylist(), strict=True)):
-        label[text] = max(toxic, label.get(text, 0))
-    return fit([np.frombuffer(x, np.uint32) for x in label], np.array([float(v > 0) for v in label.values()]))
+def _fitted(counterfactual: float):
+    """The fit as one task: rows of feature and weight, the bias as feature -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[bytes, int]] = []
+        for b in batches:
+            rows += zip(b.column("features").to_pylist(), b.column("toxic").to_pylist(), strict=True)
+        rows.sort()  # sums don't depend on the order in which rows come
+        used, weights, bias = fit([np.frombuffer(x, np.uint32) for x, _ in rows], np.array([float(t > 0) for _, t in rows]), counterfactual)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(weights, bias))], ["feature", "weight"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, counterfactual: float = COUNTERFACTUAL) -> Model:
+    """Fitted in one task over at most `rows` rows; the driver gets MOST_FEATURES weights and those of the identity terms."""
+    found = sample(docs, labels, rows).select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(frugal(_features), "toxic int, features binary")
+    # texts with the same features count once
+    found = found.groupBy("features").agg(F.max("toxic").alias("toxic")).repartition(1)
+    weights = np.zeros(1 << BITS, np.float32)
+    bias = 0.0
+    for r in found.mapInArrow(frugal(_fitted(counterfactual)), "feature long, weight double").collect():
+        if r["feature"] < 0:
+            bias = r["weight"]
+        else:
+            weights[r["feature"]] = r["weight"]
+    return Model(weights, bias)
 
 
 def _score(shared, name: str):
