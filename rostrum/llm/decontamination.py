@@ -4,19 +4,21 @@ The symbols are words (A-Z lower-cased, runs of digits, letters and code points
 13 words of the benchmark items; an item of 1-12 words is one pattern. Patterns of like length share a table: `m` is
 the shortest of them, a block is the last two words of a text's m words (one word where m is 1). SHIFT tells for each
 block hash how far no pattern can end; a shift of 0 leads to the bucket of the patterns with that block hash, the
-prefix hash and then the words themselves are compared. All texts of a batch are searched side by side.
+prefix hash and then the bytes themselves are compared. All texts of a batch are searched side by side.
 
-Patterns are collected in blocks of at most BLOCK_BYTES of benchmark text and broadcast; a larger benchmark is searched
-for block by block over all documents and the hits are merged per document, so nothing unbounded is ever broadcast.
+Benchmark texts are taken in blocks of at most BLOCK_BYTES, and one block at a time is broadcast, as text; each worker
+compiles it into arrays of about 25 bytes for each byte of text and keeps one block. A larger benchmark is searched for
+block by block over all documents, each pass is written before the next begins, and the hits are merged for each row.
 
 Nulls and empty texts have no words: as documents they are clean with n_words 0, as items they have no window. A null
-doc_id is kept. Repeated document rows give repeated results; rows of one item_id are one item with all their windows.
-Further columns are ignored. An empty benchmark leaves every document clean.
+doc_id is kept. Repeated document rows give repeated results; rows of one item_id are one item with all their windows, and
+a null item_id is the item ''. Further columns are ignored. An empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,10 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from rostrum.llm import wordbytes as wb
-from rostrum.llm.common import cut, frugal
+from rostrum.llm.common import cut, discard, frugal
 
 WINDOW = 13
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 #: Shortest lengths of the pattern classes, each with a table of its own.
 CLASSES = (1, 2, 4, 8, WINDOW)
 LANE = 48
@@ -47,11 +49,20 @@ class Table:
 
 @dataclass
 class Patterns:
-    words: list[tuple[bytes, ...]] = field(default_factory=list)
-    hashes: list[np.ndarray] = field(default_factory=list)
-    items: list[set] = field(default_factory=list)
+    """Distinct windows: pattern p is spelled[lo[p] : hi[p]], has size[p] words and is of items[of[begin[p]] ...]."""
+
+    spelled: bytes
+    lo: np.ndarray
+    hi: np.ndarray
+    size: np.ndarray
+    begin: np.ndarray
+    of: np.ndarray
+    items: list[str]
     tables: list[Table] = field(default_factory=list)
 
+    def owners(self, p: int) -> list[str]:
+        return [self.items[i] for i in self.of[self.begin[p] : self.begin[p + 1]].tolist()]
+
 
 def block_hash(h: np.ndarray, ends: np.ndarray, block: int) -> np.ndarray:
     """Hash of the `block` words that end at `ends`."""
@@ -65,40 +76,46 @@ def run_hash(h: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
     return total
 
 
-def compile_patterns(items: list[tuple[object, str | None]], window: int = WINDOW, bits: int = 16) -> Patterns:
+def compile_patterns(items: list[tuple[str, str | None]], window: int = WINDOW, bits: int = 16) -> Patterns:
     """Shift tables and buckets for the windows of (item_id, text) pairs."""
-    out, at = Patterns(), {}
-    texts = pa.array([t or "" for _, t in items], pa.string())
-    w = wb.words(texts)
-    raw = w.data.tobytes()
-    for i, (item, _) in enumerate(items):
-        lo, hi = int(w.rows[i]), int(w.rows[i + 1])
-        spelled = [raw[s:e] for s, e in zip(w.starts[lo:hi], w.ends[lo:hi], strict=True)]
-        size = min(window, hi - lo)
-        for s in range(max(0, hi - lo - size + 1) if size else 0):
-            key = tuple(spelled[s : s + size])
-            if key not in at:
-                at[key] = len(out.words)
-                out.words.append(key)
-                out.hashes.append(w.hashes[lo + s : lo + s + size])
-                out.items.append(set())
-            out.items[at[key]].add(item)
+    w = wb.words(pa.array([t or "" for _, t in items], pa.string()))
+    spelled, lo, hi = wb.joined(w)
+    names = sorted({i for i, _ in items})
+    number = {x: n for n, x in enumerate(names)}
+    count = np.diff(w.rows)
+    size = np.minimum(window, count)
+    each = np.where(size > 0, count - size + 1, 0)
+    row = np.repeat(np.arange(len(count)), each)
+    first = w.rows[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+    size, item = size[row], np.array([number[i] for i, _ in items], np.int64)[row]
+    # equal windows are one pattern: those of equal hashes are neighbours, and their bytes are compared
+    whole = np.zeros(len(first), np.uint64)
+    for j in range(window):
+        live = np.flatnonzero(size > j)
+        whole[live] += w.hashes[first[live] + j] * wb.GRAM_CODE[8 + j]
+    order = np.lexsort((item, whole, size))
+    first, size, item, whole = first[order], size[order], item[order], whole[order]
+    new = np.ones(len(first), bool)
+    for i in np.flatnonzero((whole[1:] == whole[:-1]) & (size[1:] == size[:-1])) + 1:
+        a, b = first[i - 1], first[i]
+        new[i] = spelled[lo[a] : hi[a + size[i] - 1]] != spelled[lo[b] : hi[b + size[i] - 1]]
+    begin = np.append(np.flatnonzero(new), len(new))
+    first, size = first[new], size[new].astype(np.int64)
+    out = Patterns(spelled, lo[first], hi[first + size - 1], size, begin, item, names)
     for low, high in zip(CLASSES, (*CLASSES[1:], window + 1), strict=True):
-        chosen = [p for p, x in enumerate(out.words) if low <= len(x) < high]
-        if not chosen:
+        chosen = np.flatnonzero((low <= size) & (size < high))
+        if not len(chosen):
             continue
-        m = min(len(out.words[p]) for p in chosen)
+        m = int(size[chosen].min())
         block = min(2, m)
-        size = 1 << max(bits, int(np.ceil(np.log2(8 * m * len(chosen)))))
-        heads = np.array([out.hashes[p][:m] for p in chosen], np.uint64)
-        shift = np.full(size, m - block + 1, np.uint8)
+        slots = 1 << max(bits, int(np.ceil(np.log2(4 * m * len(chosen)))))
+        begins = first[chosen]
+        shift = np.full(slots, m - block + 1, np.uint8)
         for end in range(block - 1, m):
-            h = heads[:, end] if block == 1 else heads[:, end - 1] * wb.GRAM_CODE[1] + heads[:, end] * wb.GRAM_CODE[2]
-            np.minimum.at(shift, (wb.mix(h) & np.uint64(size - 1)).astype(np.int64), m - 1 - end)
-        last = wb.mix(heads[:, -1] if block == 1 else heads[:, -2] * wb.GRAM_CODE[1] + heads[:, -1] * wb.GRAM_CODE[2])
-        prefix = run_hash(heads.ravel(), np.arange(len(chosen)) * m, m)
-        order = np.argsort(last, kind="stable")
-        out.tables.append(Table(m, block, shift, last[order], np.array(chosen)[order], prefix[order]))
+            h = wb.mix(block_hash(w.hashes, begins + end, block))
+            np.minimum.at(shift, (h & np.uint64(slots - 1)).astype(np.int64), m - 1 - end)
+        order = np.argsort(h, kind="stable")  # of the last block
+        out.tables.append(Table(m, block, shift, h[order], chosen[order], run_hash(w.hashes, begins, m)[order]))
     return out
 
 
@@ -106,7 +123,7 @@ def search(w: wb.Words, found: Patterns) -> list[tuple[int, int, int]]:
     """(row, first word, pattern) of every occurrence of every pattern."""
     out = []
     count = np.diff(w.rows)
-    raw = None
+    own = None
     for t in found.tables:
         # lanes of LANE positions each, so that a long text is searched side by side as well
         room = count - t.m + 1
@@ -129,42 +146,68 @@ def search(w: wb.Words, found: Patterns) -> list[tuple[int, int, int]]:
                     which = np.repeat(np.arange(len(zero)), each)
                     entry = np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(lo, each)
                     start = at[zero][which] - (t.m - 1)
-                    same = run_hash(w.hashes, start, t.m) == t.prefix[entry]
-                    for s, r, p in zip(start[same].tolist(), row[zero][which][same].tolist(), t.patterns[entry[same]].tolist(), strict=True):
-                        spelled = found.words[p]
-                        if s + len(spelled) <= w.rows[r + 1]:
-                            raw = raw or w.data.tobytes()
-                            if all(raw[w.starts[s + j] : w.ends[s + j]] == x for j, x in enumerate(spelled)):
-                                out.append((r, s - int(w.rows[r]), p))
+                    r, p = row[zero][which], t.patterns[entry]
+                    same = (run_hash(w.hashes, start, t.m) == t.prefix[entry]) & (start + found.size[p] <= w.rows[r + 1])
+                    start, r, p = start[same], r[same], p[same]
+                    if len(p):
+                        own = own or wb.joined(w)
+                        borders = zip(own[1][start].tolist(), own[2][start + found.size[p] - 1].tolist(), found.lo[p].tolist(), found.hi[p].tolist(), strict=True)
+                        equal = [own[0][a:b] == found.spelled[c:d] for a, b, c, d in borders]
+                        out += [x for x, yes in zip(zip(r.tolist(), (start - w.rows[r]).tolist(), p.tolist(), strict=True), equal, strict=True) if yes]
             at = at + np.maximum(step, 1)
             live = at < stop
             at, stop, row = at[live], stop[live], row[live]
     return out
 
 
-def _hits(shared):
+_kept: dict[str, Patterns] = {}
+
+
+def _compiled(key: str, block: list[tuple[str, str | None]]) -> Patterns:
+    """The block's patterns; a worker keeps those of one block."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = compile_patterns(block)
+    return _kept[key]
+
+
+def _hits(shared, make: Callable[[pa.RecordBatch, wb.Words, dict, dict], pa.RecordBatch]):
+    """`make` of each piece, its words, and by row the hit word runs and the items."""
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = shared.value
+        found = _compiled(key, shared.value)
         for batch in batches:
             for part in wb.pieces(batch, "text"):
                 w = wb.words(part.column("text"))
                 spans: dict[int, list] = {}
                 items: dict[int, set] = {}
                 for r, s, p in search(w, found):
-                    spans.setdefault(r, []).append((s, s + len(found.words[p])))
-                    items.setdefault(r, set()).update(found.items[p])
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(part.column(c) for c in part.schema.names if c != "text"),
-                        pa.array(np.diff(w.rows)),
-                        pa.array([merged(spans.get(i, [])) for i in range(n)], pa.list_(pa.int64())),
-                        pa.array([sorted(items.get(i, ())) for i in range(n)], pa.list_(pa.string())),
-                    ],
-                    [*(c for c in part.schema.names if c != "text"), "n_words", "runs", "items"],
-                )
-
-    return run
+                    spans.setdefault(r, []).append((s, s + int(found.size[p])))
+                    items.setdefault(r, set()).update(found.owners(p))
+                yield make(part, w, spans, items)
+
+    return frugal(run)
+
+
+def _with_items(part: pa.RecordBatch, w: wb.Words, spans: dict, items: dict) -> pa.RecordBatch:
+    n, own = part.num_rows, [c for c in part.schema.names if c != "text"]
+    return pa.RecordBatch.from_arrays(
+        [
+            *(part.column(c) for c in own), pa.array(np.diff(w.rows)),
+            pa.array([merged(spans.get(i, [])) for i in range(n)], pa.list_(pa.int64())),
+            pa.array([sorted(items.get(i, ())) for i in range(n)], pa.list_(pa.string())),
+        ],
+        [*own, "n_words", "runs", "items"],
+    )
+
+
+def _with_runs(part: pa.RecordBatch, w: wb.Words, spans: dict, items: dict) -> pa.RecordBatch:
+    """The runs of earlier passes and these."""
+    old = part.column("runs").to_pylist()
+    runs = [merged(spans.get(i, []) + [(x[j], x[j + 1]) for j in range(0, len(x), 2)]) for i, x in enumerate(old)]
+    own = [c for c in part.schema.names if c not in ("runs", "n_words")]
+    return pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(np.diff(w.rows)), pa.array(runs, pa.list_(pa.int64()))], [*own, "n_words", "runs"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[int]:
@@ -201,15 +244,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     shape = "n_words long, runs array<long>, items array<string>"
-    compiled = [spark.sparkContext.broadcast(compile_patterns(b)) for b in _blocks(benchmark, block_bytes)]
-    if len(compiled) == 1:
-        return texts.mapInArrow(frugal(_hits(compiled[0])), f"doc_id long, {shape}")
-    # rows are numbered once and kept, so that the passes agree on them
+    blocks = _blocks(benchmark, block_bytes)
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        return texts.mapInArrow(_hits(spark.sparkContext.broadcast(block), _with_items), f"doc_id long, {shape}")
+    # rows are numbered once and kept, so that the passes agree on them; a pass writes a row's words and hits
     numbered = cut(texts.withColumn("row", F.monotonically_increasing_id()), "documents")
-    passes = [numbered.mapInArrow(frugal(_hits(c)), f"doc_id long, row long, {shape}") for c in compiled]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
+    every = None
+    while block is not None:
+        shared = spark.sparkContext.broadcast(block)
+        found = numbered.mapInArrow(_hits(shared, _with_items), f"doc_id long, row long, {shape}")
+        found = cut(found if every is None else found.where(F.size("runs") > 0), "hits")
+        shared.destroy()
+        every = found if every is None else every.unionByName(found)
+        block, more = more, next(blocks, None)
     every = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("runs").alias("runs"), F.collect_list("items").alias("items"))
     return every.select("doc_id", "n_words", "runs", "items").mapInArrow(frugal(_merge), f"doc_id long, {shape}")
 
@@ -235,32 +283,20 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 5,
     """`docs` and a column `contaminated`, which replaces one of that name."""
     spark = docs.sparkSession
     docs = docs.drop("contaminated")
-    compiled = [spark.sparkContext.broadcast(compile_patterns(b)) for b in _blocks(benchmark, block_bytes)]
     # every pass adds its runs to the row itself, so nothing is shuffled however many passes there are
     names = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c != "text"}
-    now = docs.withColumnsRenamed(names).withColumn("runs", F.array().cast("array<long>"))
-    own = now.schema.fields
-    extra = [StructField("n_words", LongType()), StructField("found", ArrayType(LongType()))]
-    for c in compiled:
-        searched = now.mapInArrow(frugal(_row_hits(c)), StructType([*own, *extra]))
-        now = searched.withColumn("runs", F.col("found")).drop("found")
-        last = now
-        now = now.drop("n_words")
-    judged = _judged(last, percent)
-    return judged.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns), "contaminated")
-
-
-def _row_hits(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = shared.value
-        for batch in batches:
-            for part in wb.pieces(batch, "text"):
-                w = wb.words(part.column("text"))
-                spans: dict[int, list] = {}
-                for r, s, p in search(w, found):
-                    spans.setdefault(r, []).append((s, s + len(found.words[p])))
-                old = part.column("runs").to_pylist()
-                runs = [merged(spans.get(i, []) + [(x[j], x[j + 1]) for j in range(0, len(x), 2)]) for i, x in enumerate(old)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(w.rows)), pa.array(runs, pa.list_(pa.int64()))], [*part.schema.names, "n_words", "found"])
-
-    return run
+    now = docs.withColumnsRenamed(names).withColumn("n_words", F.lit(0).cast("long")).withColumn("runs", F.array().cast("array<long>"))
+    shape = StructType([*now.schema.fields[:-2], StructField("n_words", LongType()), StructField("runs", ArrayType(LongType()))])
+    blocks, written = _blocks(benchmark, block_bytes), None
+    block, more = next(blocks), next(blocks, None)
+    while block is not None:
+        shared = spark.sparkContext.broadcast(block)
+        now = now.mapInArrow(_hits(shared, _with_runs), shape)
+        if more is not None:
+            before, written = written, cut(now, "searched")
+            now = written
+            shared.destroy()
+            if before is not None:
+                discard(before)
+        block, more = more, next(blocks, None)
+    return _judged(now, percent).select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns), "contaminated")
