@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
-import time
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -19,14 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished queries now; it does so when the driver collects its garbage."""
-    for _ in range(2):  # the first lets Python's references to finished plans go
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def frugal(run: Callable) -> Callable:
     """`run`, a function of Arrow batches, giving its worker's freed memory back to the system when it ends."""
 
@@ -68,4 +58,4 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator
         yield pa.Table.from_batches(held)
 
 
-__all__ = ["cut", "discard", "frugal", "new_path", "release", "shared_dir", "small", "table", "whole_groups"]
+__all__ = ["cut", "discard", "frugal", "new_path", "shared_dir", "small", "table", "whole_groups"]

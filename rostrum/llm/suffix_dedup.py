@@ -2,7 +2,7 @@
 
 A byte goes if it lies in a `length`-byte string that also starts earlier: in a smaller doc_id, or earlier in the document.
 
-0. A document that repeats an earlier one whole is covered whole; the rest of the work has one of each.
+0. A document that repeats an earlier one whole (by its SHA-256) is covered whole; the rest of the work has one of each.
 1. Anchors: in every window of `length` bytes the smallest hash of its GRAM-byte strings (the leftmost of equals) is its
    anchor. Equal windows have equal anchors at the same place, so only windows of anchors that occur twice or more
    can repeat. An anchor's windows start in one interval.
@@ -31,12 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.llm import wordbytes as wb
-from rostrum.llm.common import cut, discard, frugal, release, small, whole_groups
+from rostrum.llm.common import cut, discard, frugal, small, whole_groups
 
 LENGTH = 100
 GRAM = 32
 SHALLOW = 16
 HOT = 8_000
+#: Bytes of one row whose anchors are found at once; their places need fewer than PLACE_BITS bits.
+STRETCH = 1 << 22
+PLACE_BITS = np.uint64(24)
 
 
 def byte_words(data: np.ndarray) -> np.ndarray:
@@ -150,7 +153,23 @@ def _branch(words: np.ndarray, at: np.ndarray, path: np.ndarray, length: np.ndar
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(hash, row, place, first, last): each anchor, its place in its row and the first and last window start it stands for."""
+    """(hash, row, place, first, last): each anchor, its place in its row and the first and last window start it stands for.
+
+    Long rows are taken in stretches, each with the bytes that its last windows reach into; an anchor at the border of two
+    stretches comes twice, with the windows that start in either.
+    """
+    if len(data) <= STRETCH + length:
+        return _anchors(data, offsets, length, gram)
+    found = []
+    for i, (begin, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        for s in range(begin, end - length + 1, STRETCH):
+            part = data[s : min(s + STRETCH + length - 1, end)]
+            h, row, place, first, last = _anchors(part, np.array([0, len(part)]), length, gram)
+            found.append((h, row + i, place + s - begin, first + s - begin, last + s - begin))
+    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else _anchors(data[:0], np.zeros(1, np.int64), length, gram)
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     n, wide = len(data), length - gram + 1
     nothing = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64))
     if n < length or not (np.diff(offsets) >= length).any():
@@ -159,9 +178,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     np.cumsum(wb.RAW_CODE[data] * wb.powers(wb.BASE, n), out=sums[1:])
     h = wb.mix((sums[gram:] - sums[:-gram]) * wb.powers(wb.INVERSE, n)[: n - gram + 1])
     room = len(h)
-    # hash above, place below: the minimum is the leftmost of the smallest hashes
-    bits = max(1, int(room - 1).bit_length())
-    packed = (h >> np.uint64(bits) << np.uint64(bits)) | np.arange(room, dtype=np.uint64)
+    # the hash's upper bits above, the place below: the minimum is the leftmost of the smallest. As many bits of the hash
+    # count in every stretch, so that equal windows have their anchors at one place, whatever stands around them
+    packed = (h >> PLACE_BITS << PLACE_BITS) | np.arange(room, dtype=np.uint64)
     blocks = -(-room // wide)
     grid = np.full(blocks * wide, np.uint64(2**64 - 1))
     grid[:room] = packed
@@ -169,7 +188,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     behind = np.minimum.accumulate(grid.reshape(blocks, wide)[:, ::-1], axis=1)[:, ::-1].ravel()
     last_start = n - length
     low = np.minimum(behind[: last_start + 1], ahead[wide - 1 : wide + last_start])
-    place = (low & np.uint64((1 << bits) - 1)).astype(np.int64)
+    place = (low & np.uint64((1 << int(PLACE_BITS)) - 1)).astype(np.int64)
     row_end = np.repeat(offsets[1:], np.diff(offsets))
     starts = np.flatnonzero(np.arange(last_start + 1) + length <= row_end[: last_start + 1])
     if not len(starts):
@@ -367,11 +386,12 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def whole_copies(rows: DataFrame) -> DataFrame:
-    """id and n, the bytes, of documents of LENGTH bytes or more whose whole text an earlier document has; counted by key, never grouped in memory."""
-    keyed = rows.select("id", "doc_id", F.octet_length("text").alias("n"), F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2")).where(F.col("n") >= LENGTH)
+    """id and n, the bytes, of documents of LENGTH bytes or more whose whole text an earlier document has; counted by the
+    text's SHA-256, never grouped in memory."""
+    keyed = rows.select("id", "doc_id", F.octet_length("text").alias("n"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("k")).where(F.col("n") >= LENGTH)
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "id")
-    first = keyed.groupBy("n", "k1", "k2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("of")).where("of > 1")
-    return keyed.join(first.drop("of"), ["n", "k1", "k2"]).where(F.col("id") != F.col("first.id")).select("id", "n")
+    first = keyed.groupBy("k").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("of")).where("of > 1")
+    return keyed.join(first.drop("of"), "k").where(F.col("id") != F.col("first.id")).select("id", "n")
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -387,13 +407,11 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     by_row = cut(found.join(small(often, BROADCAST_ROWS), "h").groupBy("id").agg(F.collect_list(F.struct("h", "at", "size")).alias("anchors")), "repeated")
     discard(found)
     discard(often)
-    release(docs.sparkSession)
     parts = rows.join(by_row, "id").withColumn("tie", F.xxhash64("text")).select("id", "doc_id", "tie", "text", "anchors")
     contexts = parts.mapInArrow(frugal(_contexts), "h long, size long, doc_id long, tie long, id long, place long, first long, bytes binary")
     blocks = F.ceil(F.col("size") / HOT)
     contexts = contexts.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("long"))
     once = cut(_in_groups(contexts).mapInArrow(frugal(_sorted_windows(True)), _WINDOWS), "windows")
-    release(docs.sparkSession)
     covered = once.where("lo is not null").select("id", "lo", "hi")
     hot = once.where("lo is null").withColumn("block", F.xxhash64("bytes", F.col("place") - F.col("first")))
     twice = _in_groups(hot).mapInArrow(frugal(_sorted_windows(False)), _WINDOWS).select("id", "lo", "hi")

@@ -201,7 +201,7 @@ def test_repair_is_lossless_with_random_access(documents, vocabulary):
 def test_repair_shrinks():
     ids = np.array(([5, 6, 7, 8] * 200 + [2]) * 3, np.uint32)
     shard = repair.Shard.read(repair.compress(ids, np.array([801] * 3), 100, 2))
-    assert len(shard.symbols) < len(ids) / 3 and len(shard.left) > 0
+    assert shard.n_symbols < len(ids) / 3 and len(shard.left) > 0
 
 
 def covered(texts, length):
@@ -239,7 +239,7 @@ def test_suffix_dedup_keeps_its_numbers_when_splits_change(spark, tmp_path, monk
     path = str(tmp_path / "documents.parquet")
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7).write.parquet(path)
     narrow = "spark.sql.files.maxPartitionBytes"
-    monkeypatch.setattr(suffix_dedup, "release", lambda session: session.conf.set(narrow, "1000"))
+    monkeypatch.setattr(suffix_dedup, "discard", lambda cut: cut.sparkSession.conf.set(narrow, "1000"))
     try:
         got = sorted(tuple(r) for r in suffix_dedup.suffix_dedup(spark.read.parquet(path)).drop("kept").collect())
     finally:
