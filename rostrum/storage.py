@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -65,6 +65,11 @@ def discard(df: DataFrame) -> None:
     at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """`df` marked for broadcast if it has at most `rows` rows (counted), else as it is: then Spark shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int, entries: Column | None = None) -> DataFrame:
+    """`df` marked for broadcast if it has at most `rows` rows (counted), else as it is: then Spark shuffles.
+
+    `entries`: what a row holds besides, as the length of an array; those are counted as well.
+    """
+    if entries is None:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if (df.agg(F.sum(1 + entries)).first()[0] or 0) <= rows else df
