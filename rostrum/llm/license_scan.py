@@ -1,16 +1,22 @@
 """License scans by an exact set-similarity join of text blocks with license templates, all in DataFrame expressions.
 
 Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after A-Z are lower-cased. A template of n words is compared with the blocks
-of 2n words that start at every n-th word, so each contiguous copy lies in a block; a block matches if it holds
-`threshold` of the template's distinct words or more. The join's filters drop nothing that could match:
+of 2n words that start at every n-th word, so each contiguous copy lies in a block. A block matches if it holds `threshold`
+of the template's distinct words and `ORDERED` of its distinct pairs of adjacent words, or more; of a template of fewer
+than SHORT words it must hold all of both. The join's filters drop nothing that could match:
 
 * the templates' words are ordered by how often they stand in all documents, rarest first;
 * prefix: a block must hold one of the first |T| - need + 1 words of the template, and likewise of its own;
 * length: it must have `need` template words at all;
 * position: from the first common word on, both sides must have enough words left to reach `need`.
 
-The templates are a bounded parameter (MOST_TEMPLATE_WORDS distinct words), so the index of prefix words is part of the
-expression, and the scan is one pass over the documents without a shuffle.
+Templates of different labels that share ALIKE of the smaller one's words or more are rivals: of their matches in blocks
+that overlap, those with the largest containment, then with most words in common, stay. So a notice of the lesser license
+isn't one of the general license too; equal ones both stay, and of two rival notices within one block the better one is told.
+
+The templates are a parameter. Their words, in a table of hash buckets, and the index of prefix words are literals of the
+expression, so a word is looked up in one bucket, however many templates there are, and the scan is one pass over the
+documents without a shuffle.
 
 Base labels come from fixed phrases wherever their words stand consecutively. Null or empty texts have no words: counts
 of 0, null starts, no labels, score 0. Each repeated row gets its own result. Further columns are ignored. An empty
@@ -19,15 +25,20 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import zlib
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
-MOST_TEMPLATE_WORDS = 2_000
+ORDERED = 0.6
+SHORT = 12
+ALIKE = 0.6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -42,19 +53,64 @@ PHRASES = {
 #: Notices as their licenses word them, and common short forms.
 TEMPLATES = (
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("lgpl", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("gfdl", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation"),
     ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("apache", "Licensed under the Apache License, Version 2.0."),
+    ("ecl", "Licensed under the Educational Community License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("osl", "Licensed under the Open Software License version 3.0"),
+    ("afl", "Licensed under the Academic Free License version 3.0"),
+    ("eupl", "Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission subsequent versions of the EUPL"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("mit", "Released under the MIT License."),
+    ("mit", "Licensed under the MIT License."),
+    ("bsl", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software"),
+    ("bsl", "Distributed under the Boost Software License, Version 1.0."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. The software is provided as is and the author disclaims all warranties"),
+    ("postgresql", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("epl", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"),
+    ("cddl", "The contents of this file are subject to the terms of the Common Development and Distribution License (the License). You may not use this file except in compliance with the License."),
+    ("ms-pl", "This license governs use of the accompanying software. If you use the software, you accept this license. If you do not accept the license, do not use the software."),
+    ("artistic", "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0."),
+    ("ofl", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("mulan", "is licensed under Mulan PSL v2. You can use this software according to the terms and conditions of the Mulan PSL v2."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("cc-by", "Licensed under CC BY 4.0."),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0."),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0."),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0."),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("wtfpl", "Do What The Fuck You Want To Public License"),
+    ("gpl", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("gpl", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("lgpl", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("agpl", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("apache", "SPDX-License-Identifier: Apache-2.0"),
+    ("mit", "SPDX-License-Identifier: MIT"),
+    ("bsd", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("bsd", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("isc", "SPDX-License-Identifier: ISC"),
+    ("mpl", "SPDX-License-Identifier: MPL-2.0"),
 )
 
 
@@ -62,16 +118,55 @@ def split_words(text: str) -> list[str]:
     return [w for w in re.split(BETWEEN, text.translate(str.maketrans(UPPER, LOWER))) if w]
 
 
+@dataclass(frozen=True)
+class Template:
+    label: str
+    words: list[str]
+
+    @property
+    def distinct(self) -> list[str]:
+        return sorted(set(self.words))
+
+    @property
+    def pairs(self) -> list[tuple[str, str]]:
+        return sorted(set(zip(self.words, self.words[1:], strict=False)))
+
+    def need(self, threshold: float) -> int:
+        """Distinct words that a match holds at least."""
+        n = len(self.distinct)
+        return n if len(self.words) < SHORT else max(1, math.ceil(threshold * n - 1e-9))
+
+    def need_pairs(self) -> int:
+        n = len(self.pairs)
+        return n if len(self.words) < SHORT else math.ceil(ORDERED * n - 1e-9)
+
+
+def spelled(templates: tuple[tuple[str, str], ...]) -> list[Template]:
+    return [Template(label, w) for label, text in templates if (w := split_words(text))]
+
+
+def rivals(known: list[Template]) -> list[list[int]]:
+    """Of each template those of another label that share ALIKE of the smaller one's words."""
+    sets = [set(t.words) for t in known]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= ALIKE * min(len(sets[a]), len(sets[b]))
+    return [[j for j in range(len(known)) if known[j].label != t.label and alike(i, j)] for i, t in enumerate(known)]
+
+
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+def _literal(value: list, kind: str) -> Column:
+    """A constant of any size, folded once when the plan is made."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def _strings(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values))
+    return _literal(values, "array<string>")
 
 
 def token_counts(docs: DataFrame, tokens: list[str]) -> dict[str, int]:
-    """How often each of `tokens` (a bounded list) stands in all texts."""
+    """How often each of `tokens` (the templates' words) stands in all texts."""
     words = docs.select(F.explode(F.split(F.lower(F.col("text")), BETWEEN)).alias("w")).where(F.col("w").isin(tokens))
     return {r["w"]: r["n"] for r in words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
 
@@ -79,99 +174,121 @@ def token_counts(docs: DataFrame, tokens: list[str]) -> dict[str, int]:
 def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of `docs` (doc_id, text).
 
-    score: 1 where a base phrase stands, else the largest containment of a matching block, else 0.
+    score: 1 where a base phrase stands, else the largest containment of a match that stays, else 0.
     """
-    spelled = [split_words(t) for _, t in templates]
-    tokens = sorted({w for t in spelled for w in t})
-    if len(tokens) > MOST_TEMPLATE_WORDS:
-        raise ValueError(f"templates have {len(tokens)} distinct words; at most {MOST_TEMPLATE_WORDS} are allowed")
-    counts = token_counts(docs, tokens)
-    order = sorted(tokens, key=lambda w: (counts.get(w, 0), w))
+    known = spelled(templates)
+    own = sorted({w for t in known for w in t.words})
+    counts = token_counts(docs, own)
+    order = sorted(own, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
-    sets = [sorted(rank[w] for w in set(t)) for t in spelled]
-    need = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in sets]
+    sets = [sorted(rank[w] for w in t.distinct) for t in known]
+    need = [t.need(threshold) for t in known]
     prefix = [s[: len(s) - k + 1] for s, k in zip(sets, need, strict=True)]
     heads = sorted({order[r] for p in prefix for r in p})
+    # numbers of all words that matter: template words by rank, then those of the phrases only
+    number = rank | {w: len(rank) + i for i, w in enumerate(sorted({w for p in PHRASES for w in p.split()} - set(rank)))}
 
     lowered = docs.select("doc_id", "text", F.array_remove(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), BETWEEN), "").alias("words"))
     # lower() also folds letters beyond A-Z, so it finds all texts that may match; those are split again exactly
     may = F.arrays_overlap("words", _strings(sorted({*heads, *(p.split()[0] for p in PHRASES)})))
     exact = F.array_remove(F.split(F.translate("text", UPPER, LOWER), BETWEEN), "")
-    rows = lowered.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(may, exact).alias("words"))
+    rows = lowered.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(may, numbered(exact, number)).alias("words"))
 
     words = F.col("words")
-    where = F.sequence(F.lit(0), F.size(words) - 1)
-    stands = lambda i, p: _all(*(F.get(words, i + j) == w for j, w in enumerate(p.split())))
-    starts = F.filter(where, lambda i: _any(*(stands(i, p) for p in PHRASES)))
-    rows = rows.withColumn("starts", F.when(F.size(words) > 0, starts))
-    has = lambda p: F.exists("starts", lambda i: stands(i, p))
-    labels = F.array_compact(F.array(*(F.when(has(p), F.lit(PHRASES[p])) for p in PHRASES)))
-    rows = rows.withColumn("matches", F.when(F.size(words) > 0, _matches(words, [len(t) for t in spelled], sets, need, prefix, order)))
-    found = rows.select(
-        "doc_id", "n_words",
-        F.coalesce(F.size("starts"), F.lit(0)).alias("n_base"),
-        F.array_min("starts").cast("long").alias("first_word"),
-        F.array_max("starts").cast("long").alias("last_word"),
-        F.coalesce(labels, F.array().cast("array<string>")).alias("base"),
-        F.coalesce(F.transform("matches", lambda m: F.element_at(_strings([x for x, _ in templates]), m["t"] + 1)), F.array().cast("array<string>")).alias("more"),
-        F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0)).alias("share"),
-    )
-    n_base = F.when(F.col("n_base") > 0, F.col("n_base")).otherwise(0).cast("long")
+    full = F.size(words) > 0
+    starts = {p: _places(words, [number[w] for w in p.split()]) for p in PHRASES}
+    rows = rows.select("doc_id", "n_words", "words", *(F.when(full, c).alias(f"at_{i}") for i, c in enumerate(starts.values())))
+    at = [f"at_{i}" for i in range(len(PHRASES))]
+    every = F.flatten(F.array_compact(F.array(*at)))
+    labels = F.array_compact(F.array(*(F.when(F.size(a) > 0, F.lit(label)) for a, label in zip(at, PHRASES.values(), strict=True))))
+    rows = rows.select("doc_id", "n_words", every.alias("starts"), labels.alias("base"), F.when(full, _matches(words, known, sets, need, prefix, rank)).alias("matches"))
+    rows = rows.withColumn("matches", F.when(F.size("matches") > 1, _without_rivals(F.col("matches"), known)).otherwise(F.col("matches")))
+    none = F.array().cast("array<string>")
+    more = F.coalesce(F.transform("matches", lambda m: F.get(_strings([t.label for t in known]), m["t"])), none)
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
-    return found.select(
-        "doc_id", "n_words", n_base.alias("n_base"), "first_word", "last_word",
-        joined(F.col("base")).alias("base_labels"), joined(F.concat("base", "more")).alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.col("share")).alias("score"),
+    share = F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0))
+    return rows.select(
+        "doc_id", "n_words", F.size(F.array_distinct("starts")).cast("long").alias("n_base"),
+        F.array_min("starts").cast("long").alias("first_word"), F.array_max("starts").cast("long").alias("last_word"),
+        joined(F.col("base")).alias("base_labels"), joined(F.concat("base", more)).alias("labels"),
+        F.when(F.size("starts") > 0, 1.0).otherwise(share).alias("score"),
     )
 
 
-def _all(*tests: Column) -> Column:
-    out = tests[0]
-    for t in tests[1:]:
-        out = out & t
-    return out
+def numbered(words: Column, number: dict[str, int]) -> Column:
+    """Each word's number, -1 for others: a word is compared with those of its bucket only."""
+    size = 1 << max(8, (2 * len(number)).bit_length())
+    buckets: list[list[dict]] = [[] for _ in range(size)]
+    for w, i in number.items():
+        buckets[zlib.crc32(w.encode()) % size].append({"w": w, "i": i})
+    table = _literal(buckets, "array<array<struct<w: string, i: int>>>")
+    found = lambda w: F.filter(F.get(table, F.pmod(F.crc32(w.cast("binary")), F.lit(size)).cast("int")), lambda e: e["w"] == w)
+    return F.transform(words, lambda w: F.coalesce(F.get(found(w), F.lit(0))["i"], F.lit(-1)))
+
+
+def _places(words: Column, phrase: list[int]) -> Column:
+    """Where the words of `phrase` stand consecutively."""
 
+    def stands(i: Column) -> Column:
+        out = F.lit(True)
+        for j, w in enumerate(phrase):
+            out = out & (F.coalesce(F.get(words, i + j), F.lit(-1)) == w)
+        return out
 
-def _any(*tests: Column) -> Column:
-    out = F.coalesce(tests[0], F.lit(False))
-    for t in tests[1:]:
-        out = out | F.coalesce(t, F.lit(False))
-    return out
+    return F.filter(F.sequence(F.lit(0), F.size(words) - 1), stands)
 
 
-def _matches(words: Column, lengths: list[int], sets: list[list[int]], need: list[int], prefix: list[list[int]], order: list[str]) -> Column:
-    """array<struct<t, share>>: the templates with a matching block, from the words of one text."""
-    ints = lambda values: F.array(*map(F.lit, values))
-    by_head: dict[str, list[int]] = {}
+def _matches(words: Column, known: list[Template], sets: list[list[int]], need: list[int], prefix: list[list[int]], rank: dict[str, int]) -> Column:
+    """array<struct<t, k, share, common>>: the templates and blocks that match, from the numbers of one text's words."""
+    own_of: list[list[int]] = [[] for _ in rank]
     for t, p in enumerate(prefix):
         for r in p:
-            by_head.setdefault(order[r], []).append(t)
-    heads = sorted(by_head)
-    owners = F.array(*(ints(by_head[h]) for h in heads))
-    size, sorted_sets, least, heads_of = ints(lengths), F.array(*map(ints, sets)), ints(need), F.array(*map(ints, prefix))
-    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(_strings(heads), words[i]))
+            own_of[r].append(t)
+    owners, size, wanted = _literal(own_of, "array<array<int>>"), _literal([len(t.words) for t in known], "array<int>"), _literal(need, "array<int>")
+    all_of, heads_of = _literal(sets, "array<array<int>>"), _literal(prefix, "array<array<int>>")
+    # a pair of adjacent words as one number
+    wide = len(rank) + 1
+    pairs_of = _literal([[wide * rank[a] + rank[b] for a, b in t.pairs] for t in known], "array<array<int>>")
+    pairs_wanted = _literal([t.need_pairs() for t in known], "array<int>")
+    is_template = lambda x: (x >= 0) & (x < len(rank))
+    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: is_template(F.get(words, i)) & (F.size(F.get(owners, F.get(words, i))) > 0))
 
     def blocks_at(i: Column) -> Column:
-        own = F.element_at(owners, F.array_position(_strings(heads), words[i]).cast("int"))
-        both = lambda t: _let(F.floor(i / F.element_at(size, t + 1)).cast("int"), lambda k: F.array(F.struct(t.alias("t"), k.alias("k")), F.struct(t.alias("t"), F.greatest(k - 1, F.lit(0)).alias("k"))))
-        return F.flatten(F.transform(own, both))
+        both = lambda t: _let(F.floor(i / F.get(size, t)).cast("int"), lambda k: F.array(F.struct(t.alias("t"), k.alias("k")), F.struct(t.alias("t"), F.greatest(k - 1, F.lit(0)).alias("k"))))
+        return F.flatten(F.transform(F.get(owners, F.get(words, i)), both))
 
     blocks = F.array_distinct(F.flatten(F.transform(places, blocks_at)))
 
     def compare(b: Column) -> Column:
-        n = F.element_at(size, b["t"] + 1)
-        inside = F.array_intersect(F.slice(words, b["k"] * n + 1, 2 * n), _strings(order))
-        ranks = F.sort_array(F.transform(inside, lambda w: F.array_position(_strings(order), w).cast("int") - 1))
-        own, k, head = F.element_at(sorted_sets, b["t"] + 1), F.element_at(least, b["t"] + 1), F.element_at(heads_of, b["t"] + 1)
+        t = b["t"]
+        n, k, own, head = F.get(size, t), F.get(wanted, t), F.get(all_of, t), F.get(heads_of, t)
 
-        def judge(r: Column) -> Column:
-            common = F.array_intersect(head, F.slice(r, 1, F.greatest(F.size(r) - k + 1, F.lit(0))))
-            left = lambda a, x: F.size(a) - F.array_position(a, x).cast("int") + 1
-            reach = _let(F.array_min(common), lambda x: F.least(left(own, x), left(r, x)))
-            may = (F.size(r) >= k) & (F.size(common) > 0) & (reach >= k)
-            share = F.size(F.array_intersect(own, r)) / F.size(own)
-            return F.struct(b["t"].alias("t"), F.when(may, share).otherwise(0.0).alias("share"), (may & (F.size(F.array_intersect(own, r)) >= k)).alias("ok"))
+        def judge(block: Column) -> Column:
+            def of(r: Column) -> Column:
+                common = F.array_intersect(head, F.slice(r, 1, F.greatest(F.size(r) - k + 1, F.lit(0))))
+                left = lambda a, x: F.size(a) - F.array_position(a, x).cast("int") + 1
+                reach = _let(F.array_min(common), lambda x: F.least(left(own, x), left(r, x)))
+                both = F.when((F.size(r) >= k) & (F.size(common) > 0) & (reach >= k), F.size(F.array_intersect(own, r))).otherwise(0)
+                return _let(both, lambda o: F.struct(t.alias("t"), b["k"].alias("k"), (o / F.size(own)).alias("share"), o.alias("common"), ((o >= k) & ordered()).alias("ok")))
 
-        return _let(ranks, judge)
+            def ordered() -> Column:
+                pair = lambda x, i: F.when(is_template(x) & is_template(F.get(block, i + 1)), x * wide + F.get(block, i + 1)).otherwise(-1)
+                return F.size(F.array_intersect(F.get(pairs_of, t), F.transform(F.slice(block, 1, F.greatest(F.size(block) - 1, F.lit(0))), pair))) >= F.get(pairs_wanted, t)
+
+            return _let(F.sort_array(F.array_distinct(F.filter(block, is_template))), of)
+
+        return _let(F.slice(words, b["k"] * n + 1, 2 * n), judge)
 
     return F.filter(F.transform(blocks, compare), lambda m: m["ok"])
+
+
+def _without_rivals(matches: Column, known: list[Template]) -> Column:
+    size, against = _literal([len(t.words) for t in known], "array<int>"), _literal(rivals(known), "array<array<int>>")
+    begin = lambda m: m["k"] * F.get(size, m["t"])
+    end = lambda m: (m["k"] + 2) * F.get(size, m["t"])
+
+    def beaten(m: Column) -> Column:
+        better = lambda x: (x["share"] > m["share"]) | ((x["share"] == m["share"]) & (x["common"] > m["common"]))
+        return F.exists(matches, lambda x: F.array_contains(F.get(against, m["t"]), x["t"]) & (begin(x) < end(m)) & (begin(m) < end(x)) & better(x))
+
+    return F.filter(matches, lambda m: ~beaten(m))
