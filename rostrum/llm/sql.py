@@ -64,7 +64,7 @@ with l as (select row_number() over () as row, page_id, coalesce(lower(regexp_ex
     '<[^>]*>', '', 'g'), '[\t\x0B\f\r ]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), ' '), chr(10)), lambda x: x <> '') as lines from pages),
 h as (select host, count(*) as host_pages from l group by host),
 c as (select host, line, count(*) as n from (select distinct row, host, unnest(lines) as line from l) group by 1, 2),
-bad as (select host, line from c join h using (host) where host_pages >= 5 and n > 1 and n > 0.3 * host_pages),
+bad as (select host, line from c join h using (host) where n > 1 and n > 0.3 * host_pages),
 e as (select row, l.host, u.line, u.pos from l, unnest(lines) with ordinality as u(line, pos)),
 k as (select e.row, string_agg(e.line || chr(10), '' order by e.pos) as text, count(*) as n from e left join bad on bad.host = e.host and bad.line = e.line
       where bad.line is null group by e.row)
@@ -75,20 +75,29 @@ from l join h using (host) left join k using (row)
 
 
 def _license_sql() -> str:
-    from rostrum.llm.license_scan import PHRASES, TEMPLATES, split_words
+    from rostrum.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, rivals, spelled
 
-    templates = ", ".join(f"({i}, '{label}', {len(split_words(t))}, [{', '.join(repr(w) for w in sorted(set(split_words(t))))}])" for i, (label, t) in enumerate(TEMPLATES))
-    phrases = ", ".join(f"('{label}', [{', '.join(repr(w) for w in p.split())}])" for p, label in PHRASES.items())
+    known = spelled(TEMPLATES)
+    texts = lambda values: f"[{', '.join(repr(w) for w in values)}]"
+    rows = [f"({i}, '{t.label}', {len(t.words)}, {texts(t.distinct)}, {t.need(THRESHOLD)}, {texts(' '.join(p) for p in t.pairs)}, {t.need_pairs()})" for i, t in enumerate(known)]
+    against = ", ".join(f"({i}, {j})" for i, others in enumerate(rivals(known)) for j in others)
+    phrases = ", ".join(f"('{label}', {texts(p.split())})" for p, label in PHRASES.items())
     return f"""
 with w as (select row_number() over () as row, doc_id, {_words("text")} as ws from documents),
-t(t, label, n, ts) as (values {templates}),
+t(t, label, n, ts, need, ps, need_p) as (values {", ".join(rows)}),
+against(t, u) as (values {against}),
 p(label, ps) as (values {phrases}),
 base as (select row, label, unnest(list_filter(range(0, len(ws)), lambda i: ws[i + 1:i + len(ps)] = ps)) as i
          from w, p where list_contains(ws, ps[1])),
-b as (select row, count(*) as n_base, min(i) as first_word, max(i) as last_word, list(distinct label) as ls from base group by row),
-k as (select row, t, label, ts, n, unnest(range(0, (len(ws) + n - 1) // n)) as k, ws from w, t where len(ws) > 0),
-m as (select row, label, len(list_intersect(list_distinct(ws[k * n + 1:k * n + 2 * n]), ts)) as o, len(ts) as s from k),
-g as (select row, list(distinct label) as ls, max(o / s) as share from m where o >= ceil(0.8 * s - 1e-9) group by row)
+b as (select row, count(distinct i) as n_base, min(i) as first_word, max(i) as last_word, list(distinct label) as ls from base group by row),
+k as (select row, t.*, unnest(range(0, (len(ws) + n - 1) // n)) as k, ws from w, t where len(list_intersect(ws, ts)) >= need),
+c as (select * exclude (ws), ws[k * n + 1:k * n + 2 * n] as block from k),
+m as (select row, t, label, n, k, len(list_intersect(list_distinct(block), ts)) as o, len(ts) as s from c
+      where len(list_intersect(list_distinct(block), ts)) >= need
+        and len(list_intersect(list_transform(range(1, len(block)), lambda i: block[i] || ' ' || block[i + 1]), ps)) >= need_p),
+beaten as (select distinct a.row, a.t, a.k from m a join against on against.t = a.t join m b on b.t = against.u and b.row = a.row
+   where b.k * b.n < (a.k + 2) * a.n and a.k * a.n < (b.k + 2) * b.n and (b.o / b.s > a.o / a.s or (b.o / b.s = a.o / a.s and b.o > a.o))),
+g as (select row, list(distinct label) as ls, max(o / s) as share from m anti join beaten using (row, t, k) group by row)
 select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(b.ls), ','), '') as base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(g.ls, [])))), ','), '') as labels,
