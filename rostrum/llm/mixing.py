@@ -6,13 +6,15 @@ above: that is min(3 size, level * weight) for one level, found with a running s
 
 A source takes all its documents floor(target / size) times and fits the rest by length: documents are counted by exact
 length, each length gives its share of the rest (rounded down), and a bounded-knapsack dynamic programme over bitsets
-fills what is missing with further documents by length, exactly where that can be done and from below otherwise; what
-then is missing still is given to second and third copies, or to one document beyond the target if that is nearer.
-Within a length, documents are selected by a seeded hash of doc_id. Groups of one source and length are counted by
-the hash's leading bits first, so that only the bucket in which a quota ends is ranked.
-
-Null or empty texts have size 0 and are never taken. Repeated rows are documents of their own; ties of the hash are in order of
-doc_id. A null doc_id or source is a value like any other. Further columns are kept by `mix`. An empty table gives
+fills what is missing with further documents by length. Where that doesn't meet the rest, shares are given back, a fourth
+of DP_BUDGET and then all of it, and the programme runs again over more documents: a rest of up to DP_BUDGET words is met
+as nearly as any choice of documents can, a larger one as nearly as the best of the three. What then is missing still is
+given to second and third copies; if the nearest choice beyond the target is nearer, that is taken. Within a length, documents are
+selected by a seeded hash of doc_id and text. Groups of one source and length are counted by the hash's leading bits
+first, so that only the bucket in which a quota ends is ranked.
+
+Null or empty texts have size 0 and are never taken. Repeated rows are documents of their own; rows of one doc_id and text
+are alike to the mix, so which of them it takes isn't told by their further columns. A null doc_id or source is a value like any other. Further columns are kept by `mix`. An empty table gives
 an empty mix.
 """
 
@@ -59,27 +61,34 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many of `counts` documents of each length to take, so that their lengths sum to `budget` or as near below as can be."""
-    taken = np.zeros(len(lengths), np.int64)
     total = int(lengths @ counts)
-    if budget <= 0 or total <= 0:
-        return taken
-    taken = counts * min(budget, total) // total if total < 2**31 else np.array([int(c) * min(budget, total) // total for c in counts], np.int64)
-    left = min(budget, total) - int(lengths @ taken)
-    # what the shares' rounding left is given out once more by length, the longest first, down to what the programme can hold
-    room = counts - taken
-    for i in np.argsort(-lengths, kind="stable"):
-        if left <= DP_BUDGET:
-            break
-        n = min(int(room[i]), (left - DP_BUDGET) // int(lengths[i]) if lengths[i] else 0, 1)
-        taken[i] += n
-        left -= n * int(lengths[i])
-    for i in np.argsort(-lengths, kind="stable"):
-        if left <= DP_BUDGET:
+    want = min(budget, total)
+    best, missing = np.zeros(len(lengths), np.int64), max(want, 0)
+    if want <= 0:
+        return best
+    for given_back in (0, DP_BUDGET // 4, DP_BUDGET):
+        taken = _shares(lengths, counts, max(want - given_back, 0), total)
+        left = want - int(lengths @ taken)
+        # what is too much for the programme is given out once more by length, the longest first, one each and then all
+        for most in (1, None):
+            for i in np.argsort(-lengths, kind="stable"):
+                if left <= DP_BUDGET:
+                    break
+                n = min(int(counts[i] - taken[i]), (left - DP_BUDGET) // int(lengths[i]) if lengths[i] else 0, most or want)
+                taken[i] += n
+                left -= n * int(lengths[i])
+        taken = taken + knapsack(lengths, counts - taken, left)
+        short = want - int(lengths @ taken)
+        if short < missing or given_back == 0:
+            best, missing = taken, short
+        if missing == 0 or given_back >= want:
             break
-        n = min(int(counts[i] - taken[i]), (left - DP_BUDGET) // int(lengths[i]) if lengths[i] else 0)
-        taken[i] += n
-        left -= n * int(lengths[i])
-    return taken + knapsack(lengths, counts - taken, left)
+    return best
+
+
+def _shares(lengths: np.ndarray, counts: np.ndarray, budget: int, total: int) -> np.ndarray:
+    """Of each length the share budget / total of its documents, rounded down."""
+    return counts * budget // total if total < 2**31 else np.array([int(c) * budget // total for c in counts], np.int64)
 
 
 #: Budgets up to this are filled by dynamic programming.
@@ -122,16 +131,19 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
         gap -= int(lengths @ got)
         if gap <= 0 or not got.any():
             break
-    # one document beyond the target, if that is nearer than staying below it
-    over = np.flatnonzero((lengths > gap) & (lengths < 2 * gap) & (more < counts * (MOST - whole)))
-    if gap > 0 and len(over):
-        more[over[0]] += 1
+    # the nearest choice beyond the target leaves the most that fits into what lies beyond it; taken if that is nearer
+    if gap > 0:
+        most = counts * (MOST - whole)
+        aim = int(lengths @ more) + gap
+        over = most - fit(lengths, most, int(lengths @ most) - aim)
+        if int(lengths @ over) - aim < gap:
+            more = over
     return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "source_size": source_size, "target": target, "whole": whole + more // np.maximum(counts, 1), "more": more % np.maximum(counts, 1)})
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """`docs` with size, the seeded hash h and its leading bits, bucket."""
-    h = F.xxhash64("doc_id", F.lit(SEED))
+    h = F.xxhash64("doc_id", "text", F.lit(SEED))
     return docs.withColumns({"size": size_of(F.col("text")), "h": h, "bucket": F.shiftrightunsigned(h, 64 - BUCKET_BITS)})
 
 
