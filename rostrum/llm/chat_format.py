@@ -111,7 +111,10 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 close()
                 now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
             state[4] += len(rendered)
-            for role, text in parse(rendered) or ():
+            turns = parse(rendered)
+            if turns is None:
+                raise ValueError(f"conversation {conv}: a rendered turn doesn't parse")
+            for role, text in turns:
                 raw = text.encode()
                 state[0] += 1
                 state[1].update(role.encode() + b"\n" + raw + b"\n")
