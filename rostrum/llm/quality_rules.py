@@ -4,13 +4,15 @@
 sorting one long for each window: the window's hash above, its position below. Neighbours with equal hash bits are
 compared word by word, so the counts are exact.
 
-`learn` is sequential covering over labelled rows (quality 0 or 1): two thirds grow a rule, condition by condition
-with the best information gain over quantile thresholds, one third prunes its tail and judges it. Each step is one
-grouped count over binned features, whose result has features x bins rows however many labels there are. A rule that
-doesn't hold on the pruning rows ends the list. The rules become one ordered CASE expression.
-
-Null or empty texts have no words and fail the base rules. Labels that are null are ignored, of repeated labels the
-smallest counts; without enough labels the list is empty and keeps everything. Each repeated row gets its own result.
+`learn` is sequential covering over labelled rows (quality 0 or 1) that pass the base rules: two thirds grow a rule,
+condition by condition with the best information gain over quantile thresholds, one third prunes its tail and judges it.
+Each step is one grouped count over binned features, whose result has features x bins rows however many labels there are.
+A rule that doesn't hold where it is judged makes way for the next best start; the list ends when no start is left, or at
+the limits, which are parameters. The rules become one ordered CASE expression.
+
+Null or empty texts have no words and fail the base rules. Labels that are null, or of documents that don't exist, are
+ignored, of repeated labels the smallest counts; without enough labels, or with those of one class, the list is empty and
+keeps everything. Each repeated row gets its own result.
 Further columns are ignored.
 """
 
@@ -20,6 +22,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +35,18 @@ WINDOW = 3
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 
-BINS = 48
-MOST_RULES = 8
-MOST_CONDITIONS = 3
-LEAST_COVERED = 8
-LEAST_PRECISION = 0.9
+
+
+@dataclass(frozen=True)
+class Limits:
+    """How far a list is learned; none of them depends on the number of rows."""
+
+    bins: int = 48  # quantile thresholds of a feature, at most
+    rules: int = 12
+    conditions: int = 3
+    grown: int = 4  # bad rows that a condition must keep while a rule grows
+    judged: int = 2  # rows that a rule must reject among those that judge it
+    precision: float = 0.9  # and the share of bad ones among them
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -134,13 +144,18 @@ def _gain(p0: float, n0: float, p: float, n: float) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
 
 
-def learn(stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
-    """Ordered rules, each a conjunction that rejects."""
+def base_failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+
+
+def learn(stats: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> list[list[Condition]]:
+    """Ordered rules, each a conjunction that rejects; rows that fail the base rules take no part, their fate is settled."""
     usable = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = stats.join(usable, "doc_id").select((F.col("quality") == 0).cast("int").alias("bad"), (F.crc32(F.concat(F.lit("p"), F.col("doc_id").cast("string")).cast("binary")) % 3 != 0).alias("grow"), *(v.alias(k) for k, v in features().items()))
+    grow = F.crc32(F.concat(F.lit("p"), F.col("doc_id").cast("string")).cast("binary")) % 3 != 0
+    rows = stats.where(~base_failed()).join(usable, "doc_id").select((F.col("quality") == 0).cast("int").alias("bad"), grow.alias("grow"), *(v.alias(k) for k, v in features().items()))
     rows = cut(rows, "labelled")
     names = list(features())
-    asked = rows.agg(*(F.percentile_approx(k, [i / BINS for i in range(1, BINS)], 2000).alias(k) for k in names)).first()
+    asked = rows.agg(*(F.percentile_approx(k, [i / limits.bins for i in range(1, limits.bins)], 2000).alias(k) for k in names)).first()
     edges = {k: sorted(set(asked[k] or [])) for k in names}
     if not any(edges.values()):
         return []
@@ -151,8 +166,7 @@ def learn(stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
         value = F.col(name)
         return F.size(F.filter(F.array(*(F.lit(float(t)) for t in edges[name])), lambda t: t <= value))
 
-    binned = rows.select("bad", "grow", F.array(*map(bin_of, names)).alias("bins"))
-    binned = cut(binned, "binned")
+    binned = cut(rows.select("bad", "grow", F.array(*map(bin_of, names)).alias("bins")), "binned")
 
     def holds(rule: list[tuple[int, bool, int]]) -> Column:
         out = F.lit(True)
@@ -160,42 +174,46 @@ def learn(stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
             out = out & ((F.col("bins")[f] >= b) if above else (F.col("bins")[f] < b))
         return out
 
+    def literals(left: DataFrame, rule: list[tuple[int, bool, int]]) -> list[tuple[float, tuple[int, bool, int], tuple[int, int]]]:
+        """The conditions that could follow, by falling gain, and the (bad, all) rows that each would reject where it is judged."""
+        got = left.where(holds(rule)).select("grow", "bad", F.posexplode("bins").alias("f", "b")).groupBy("grow", "f", "b").agg(F.sum("bad").alias("p"), F.count(F.lit(1)).alias("n")).collect()
+        cells = np.zeros((len(names), max(map(len, edges.values())) + 1, 2, 2), np.int64)
+        for r in got:
+            cells[r["f"], r["b"], int(r["grow"])] = r["p"], r["n"]
+        found = []
+        for f, name in enumerate(names):
+            below = np.concatenate([np.zeros((1, 2, 2), np.int64), np.cumsum(cells[f], axis=0)])
+            p0, all0 = below[-1, 1].tolist()
+            for b in range(1, len(edges[name]) + 1) if all0 > p0 else ():
+                for above, side in ((True, below[-1] - below[b]), (False, below[b])):
+                    p, n = side[1].tolist()
+                    if p >= limits.grown and (g := _gain(p0, all0 - p0, p, n - p)) > 1e-9:
+                        found.append((g, (f, above, b), tuple(side[0].tolist())))
+        return sorted(found, key=lambda x: (-x[0], x[1]))
+
     rules: list[list[tuple[int, bool, int]]] = []
-    while len(rules) < MOST_RULES:
+    while len(rules) < limits.rules:
         left = binned
         for r in rules:
             left = left.where(~holds(r))
-        rule: list[tuple[int, bool, int]] = []
-        while len(rule) < MOST_CONDITIONS:
-            got = left.where(F.col("grow") & holds(rule)).select("bad", F.posexplode("bins").alias("f", "b")).groupBy("f", "b").agg(F.sum("bad").alias("p"), F.count(F.lit(1)).alias("n")).collect()
-            table: dict[int, dict[int, tuple[int, int]]] = {}
-            for r in got:
-                table.setdefault(r["f"], {})[r["b"]] = (r["p"], r["n"] - r["p"])
-            best = (1e-9, None)
-            for f, cells in sorted(table.items()):
-                p0, n0 = (sum(c[i] for c in cells.values()) for i in (0, 1))
-                if n0 == 0:
-                    continue
-                low = [0, 0]
-                for b in range(1, len(edges[names[f]]) + 1):
-                    for i in (0, 1):
-                        low[i] += cells.get(b - 1, (0, 0))[i]
-                    for above, (p, n) in ((True, (p0 - low[0], n0 - low[1])), (False, tuple(low))):
-                        if p >= LEAST_COVERED and (g := _gain(p0, n0, p, n)) > best[0]:
-                            best = (g, (f, above, b))
-            if best[1] is None:
+        tried, rule = set(), []
+        # a rule that doesn't hold where it is judged makes way for one that starts with another feature or direction
+        for _, first, judged in literals(left, []):
+            if first[:2] in tried:
+                continue
+            tried.add(first[:2])
+            grown, worth = [first], [judged]
+            while len(grown) < limits.conditions and (more := literals(left, grown)):
+                grown.append(more[0][1])
+                worth.append(more[0][2])
+            # pruned to its best head
+            fit = [k for k, (p, n) in enumerate(worth) if n >= limits.judged and p >= limits.precision * n]
+            if fit:
+                rule = grown[: max(fit, key=lambda k: (2 * worth[k][0] - worth[k][1], -k)) + 1]
                 break
-            rule.append(best[1])
         if not rule:
             break
-        lengths = range(1, len(rule) + 1)
-        judged = left.where(~F.col("grow")).agg(*(x for k in lengths for x in (F.sum(F.when(holds(rule[:k]), F.col("bad"))).alias(f"p{k}"), F.count_if(holds(rule[:k])).alias(f"n{k}")))).first()
-        worth = {k: (judged[f"p{k}"] or 0, judged[f"n{k}"] or 0) for k in lengths}
-        value = lambda k: (2 * worth[k][0] - worth[k][1]) / max(worth[k][1], 1)  # noqa: B023,E731
-        k = max(lengths, key=lambda k: (value(k), -k))
-        if worth[k][1] < LEAST_COVERED // 2 or worth[k][0] < LEAST_PRECISION * worth[k][1]:
-            break
-        rules.append(rule[:k])
+        rules.append(rule)
     return [[Condition(names[f], above, float(edges[names[f]][b - 1])) for f, above, b in rule] for rule in rules]
 
 
@@ -210,12 +228,15 @@ def verdict(rules: list[list[Condition]]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and rule (0: none rejects)."""
     stats = cut(statistics(docs), "statistics")
-    rules = learn(stats, labels)
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return stats.withColumn("base_failed", failed).withColumn("rule", verdict(rules)).select(
+    return judge(stats, learn(stats, labels, limits))
+
+
+def judge(stats: DataFrame, rules: list[list[Condition]]) -> DataFrame:
+    """The verdict of the base rules and a learned list on `statistics`."""
+    return stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule",
     )
