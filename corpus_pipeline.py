@@ -6,11 +6,13 @@ Decisions travel with their rows, or are joined back by the text's key, so repea
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.llm import toxicity as tox
-from rostrum.llm.common import cut, table
+from rostrum.llm.common import cut, shared_dir, table
 from rostrum.llm.decontamination import with_contamination
 from rostrum.llm.mixing import mix
 from rostrum.llm.ngram_jaccard import keep_one
@@ -42,8 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards, and for each row what is read back from them."""
-    return token_output(docs, tokenizer_path())
+    """Token shards, which stay in the shared folder, and for each row what is read back from them."""
+    return token_output(docs, tokenizer_path(), path=f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}")
 
 
 STAGES = [
