@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What holds for queries that run to their end here: shuffle files go when a query ends, not when the driver happens to
+#: collect garbage, and a batch for Python holds few bytes, however long the texts are.
+EAGER = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,23 +38,25 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 @contextlib.contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Queries that run inside let go of their shuffle files when they end, not when the driver happens to collect garbage."""
-    old = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def eager(spark: SparkSession) -> Iterator[None]:
+    """EAGER holds inside."""
+    old = {k: spark.conf.get(k, None) for k in EAGER}
+    for k, v in EAGER.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if old is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, old)
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back, so that a lost executor never replays what made it."""
     path = new_path(df.sparkSession, label)
-    with shuffles_removed(df.sparkSession):
+    with eager(df.sparkSession):
         df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
