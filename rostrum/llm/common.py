@@ -10,13 +10,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from rostrum.storage import cut, discard, new_path, shared_dir, small
+from rostrum.storage import cut, discard, eager, new_path, shared_dir, small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Give this process's freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # there is no malloc_trim outside glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def frugal(run: Callable) -> Callable:
     """`run`, a function of Arrow batches, giving its worker's freed memory back to the system when it ends."""
 
@@ -24,9 +31,7 @@ def frugal(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # there is no malloc_trim outside glibc
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return wrapped
 
@@ -58,4 +63,4 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator
         yield pa.Table.from_batches(held)
 
 
-__all__ = ["cut", "discard", "frugal", "new_path", "shared_dir", "small", "table", "whole_groups"]
+__all__ = ["cut", "discard", "eager", "frugal", "give_back", "new_path", "shared_dir", "small", "table", "whole_groups"]

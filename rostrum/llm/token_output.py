@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.llm import wordbytes as wb
-from rostrum.llm.common import frugal, new_path, small
+from rostrum.llm.common import eager, frugal, give_back, new_path, small
 from rostrum.llm.repair import Shard, _gather, compress
 
 SHARD_IDS = 1_000_000
@@ -194,6 +194,7 @@ def _shards(path: str, end_id: int, shard_ids: int):
                 ["partition", "seq", "n_docs", "n_ids", "doc_ids", "data"],
             )
             held, total, seq = [], 0, seq + 1
+            give_back()
             return out
 
         for batch in batches:
@@ -216,7 +217,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     """Write the shards of all rows of `docs` (doc_id, text) to `path`; `tokenizer`: path of a tokenizers file."""
     placed = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
     placed = placed.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
-    placed.mapInArrow(frugal(_shards(tokenizer, end_id, shard_ids)), SHARDS).write.parquet(path)
+    with eager(docs.sparkSession):
+        placed.mapInArrow(frugal(_shards(tokenizer, end_id, shard_ids)), SHARDS).write.parquet(path)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
