@@ -16,12 +16,13 @@ def pipeline(tables: Tables) -> dict[str, float]:
     """The stages over the sample docket, stored; returns its scores."""
     stages = fixture.run(tables.spark)
     tables.upsert("comments", stages["comments"].drop("truth"))
-    tables.refresh("dedup", stages["dedup"])
+    dockets = stages["comments"].select("docket_id").distinct()
+    tables.refresh("dedup", stages["dedup"], dockets)
     units = schema.units(stages["comments"], stages["dedup"].drop("docket_id"))
     tables.upsert("analysis", extract.extract(units))
     tables.upsert("responses", stages["responses"].drop("convention", "coverage"))
     links = stages["links"].join(stages["comments"].select("comment_id", "docket_id"), "comment_id").drop("place")
-    tables.refresh("linkage", links)
+    tables.refresh("linkage", links, dockets)
     tables.log("pipeline", "done")
     return fixture.score(stages)
 

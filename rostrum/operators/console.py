@@ -32,11 +32,15 @@ def agencies(listed: DataFrame) -> DataFrame:
     return listed.where(full).select("slug", "name").distinct().orderBy("name", "slug")
 
 
-def comment_detail(units: DataFrame, dedup: DataFrame, comment_id: object) -> DataFrame:
-    """One comment's row with the size of its campaign and how many members of it have words of their own."""
+def comment_detail(units: DataFrame, dedup: DataFrame, comment_id: object, responses: DataFrame | None = None) -> DataFrame:
+    """One comment's row with the size of its campaign and, if `responses` are given, the paragraphs of its response.
+
+    The members of its campaign with words of their own are those of `campaigns.siblings`.
+    """
     own = units.where(F.col("comment_id") == F.lit(comment_id))
     sizes = dedup.where("campaign_id is not null").groupBy("docket_id", "campaign_id").agg(F.count(F.lit(1)).alias("campaign_size"))
-    return own.join(sizes, ["docket_id", "campaign_id"], "left").withColumn("campaign_size", F.coalesce("campaign_size", F.lit(1)))
+    found = own.join(sizes, ["docket_id", "campaign_id"], "left").withColumn("campaign_size", F.coalesce("campaign_size", F.lit(1)))
+    return found if responses is None else found.join(responses.select("response_id", "comment_para", "response_para"), "response_id", "left")
 
 
 def export(ledger: DataFrame, docket_id: str | None) -> DataFrame:

@@ -62,6 +62,22 @@ def adjudicated(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     return chosen.select("comment_id", "response_id", F.round("score", 4).alias("score"), F.when(F.col("same_issue").isNull(), "embedding").otherwise("adjudicated").alias("method"), "verdict")
 
 
+def run_summary(units: DataFrame, links: DataFrame, responses: DataFrame, high: int = 60) -> DataFrame:
+    """What a linkage run came to, for each docket: units (docket_id, comment_id, significance), links (comment_id, method)
+    of which a comment may have several, responses (docket_id)."""
+    found = links.groupBy("comment_id").agg(F.lit(1).alias("linked"), F.count_if(F.col("method") == "adjudicated").alias("adjudicated"))
+    of = units.join(found, "comment_id", "left").groupBy("docket_id").agg(
+        F.count(F.lit(1)).alias("units"), F.count("linked").alias("linked"),
+        F.count_if(F.col("linked").isNull() & (F.coalesce("significance", F.lit(0)) >= high)).alias("high_significance_unanswered"),
+        F.coalesce(F.sum("adjudicated"), F.lit(0)).alias("adjudicated_pairs"),
+    )
+    parsed = responses.groupBy("docket_id").agg(F.count(F.lit(1)).alias("responses_parsed"))
+    return of.join(parsed, "docket_id", "left").select(
+        "docket_id", F.coalesce("responses_parsed", F.lit(0)).alias("responses_parsed"), "units", "linked", (F.col("units") - F.col("linked")).alias("unlinked"),
+        "high_significance_unanswered", "adjudicated_pairs", F.round(F.col("linked") / F.col("units"), 4).alias("response_rate"),
+    )
+
+
 def tfidf(texts: DataFrame) -> DataFrame:
     """docket_id, id, term, w (unit length for each id) of (docket_id, id, text): unigrams and bigrams, 1 + log(tf), smooth idf, fitted jointly in each docket."""
     words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)\b\w\w+\b", gaps=False).transform(texts)

@@ -153,11 +153,14 @@ def unanswered_significant(units: DataFrame, top: int = 20) -> DataFrame:
     return rows.withColumn("place", place.cast("long")).where(F.col("place") <= top).select("docket_id", "comment_id", who().alias("who"), "significance", "place")
 
 
-def ledger(units: DataFrame, campaign_sizes: DataFrame) -> DataFrame:
-    """Unanswered first, then by significance and campaign size; the bar is the size as a share of the largest."""
+def ledger(units: DataFrame, campaign_sizes: DataFrame, by: str = "unanswered") -> DataFrame:
+    """The units of each docket in order: "unanswered" first, then by significance and campaign size; by "weight", the
+    campaign size; or by "significance". The bar is the size as a share of the largest."""
     joined = units.join(campaign_sizes, ["docket_id", "campaign_id"], "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
     top = F.max("size").over(Window.partitionBy("docket_id"))
-    order = Window.partitionBy("docket_id").orderBy(is_answered().cast("int"), F.desc(F.coalesce("significance", F.lit(0))), F.desc("size"), "comment_id")
+    weight, significance = F.desc("size"), F.desc(F.coalesce("significance", F.lit(0)))
+    orders = {"unanswered": [is_answered().cast("int"), significance, weight], "weight": [weight], "significance": [significance]}
+    order = Window.partitionBy("docket_id").orderBy(*orders[by], "comment_id")
     return joined.select(
         "docket_id", "comment_id", who().alias("who"), "size", "significance", is_answered().alias("answered"),
         F.greatest(F.lit(2), F.round(100 * F.col("size") / top)).cast("long").alias("bar"), F.row_number().over(order).cast("long").alias("place"),

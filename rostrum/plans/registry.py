@@ -10,12 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rostrum.catalog import Catalog
 from rostrum.functions import text as tx
 from rostrum.operators import campaigns, console, linkage, metrics, parsing, usage, watch
 from rostrum.operators.graph import components
 from rostrum.plans import relations as rel
 from rostrum.plans.relations import with_ctes
-from rostrum.storage import cut
+from rostrum.sources.tables import Tables
+from rostrum.storage import cut, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -305,6 +307,67 @@ def _(spark, d):
     return metrics.ledger(rel.metrics_base(spark, d), metrics.campaign_sizes(rel.dedup(spark, d)))
 
 
+def _ledger_sql(order: str) -> str:
+    return with_ctes(_B, f"""select docket_id, comment_id, {_WHO}, size, significance, response_id is not null as answered,
+  cast(greatest(2, round(100.0 * size / max(size) over (partition by docket_id))) as bigint) as bar,
+  row_number() over (partition by docket_id order by {order}, comment_id) as place
+from (select base.*, coalesce(n, 1) as size from base left join (select docket_id, campaign_id, count(*) as n from dedup where campaign_id is not null group by all) using (docket_id, campaign_id))""")
+
+
+@query("W7_ledger_by_weight", _ledger_sql("size desc"))
+def _(spark, d):
+    return metrics.ledger(rel.metrics_base(spark, d), metrics.campaign_sizes(rel.dedup(spark, d)), "weight")
+
+
+@query("W7_ledger_by_significance", _ledger_sql("coalesce(significance, 0) desc"))
+def _(spark, d):
+    return metrics.ledger(rel.metrics_base(spark, d), metrics.campaign_sizes(rel.dedup(spark, d)), "significance")
+
+
+@query(
+    "M5_linkage_summary",
+    with_ctes(_B, """select docket_id, coalesce(any_value(parsed), 0) as responses_parsed, count(*) as units, count(response_id) as linked, count(*) - count(response_id) as unlinked,
+  count(*) filter (response_id is null and coalesce(significance, 0) >= 60) as high_significance_unanswered, 0::bigint as adjudicated_pairs,
+  round(count(response_id) / count(*), 4) as response_rate
+from base left join (select docket_id, count(*) as parsed from comments group by docket_id) p using (docket_id) group by docket_id"""),
+)
+def _(spark, d):
+    units = rel.metrics_base(spark, d)
+    links = units.where("response_id is not null").select("comment_id", F.lit("embedding").alias("method"))
+    return linkage.run_summary(units, links, rel.comments(spark, d))
+
+
+@query("S3_scalar", "select count(*) as n, max(o_totalprice) as top from orders where o_orderstatus = 'F'")
+def _(spark, d):
+    found = Catalog(spark, {"orders": rel.base(spark, d, "orders")})
+    ask = lambda what: found.scalar(f"select {what} from orders where o_orderstatus = ?", ["F"])
+    return spark.createDataFrame([(ask("count(*)"), ask("max(o_totalprice)"))], "n long, top double")
+
+
+@query(
+    "K1_upsert",
+    """with o as (select 'd' || cast(o_custkey as varchar) as docket_id, o_orderkey from orders)
+select docket_id, coalesce(max(cast(o_orderkey as varchar)) filter (o_orderkey % 2 = 1), max(cast(o_orderkey as varchar))) as title from o group by docket_id""",
+)
+def _(spark, d):
+    """Dockets stored twice: those of even orders, then those of odd ones, which replace them."""
+    orders = rel.base(spark, d, "orders").select(F.concat(F.lit("d"), F.col("o_custkey").cast("string")).alias("docket_id"), F.col("o_orderkey").cast("string").alias("title"), "o_orderkey")
+    tables = Tables(spark, new_path(spark, "tables"))
+    for rest in (0, 1):
+        tables.upsert("dockets", orders.where(F.col("o_orderkey") % 2 == rest).select("docket_id", "title"), "title")
+    return tables.read("dockets").select("docket_id", "title")
+
+
+@query("K2_refresh", "select s_name as docket_id, 'new' as section, count(*) as n from supplier where s_suppkey % 3 = 1 group by 1 union all select s_name, 'old', count(*) from supplier where s_suppkey % 3 = 2 group by 1")
+def _(spark, d):
+    """Sections of dockets, stored, then refreshed for two thirds of the dockets, of which half have new rows and half none."""
+    rows = rel.base(spark, d, "supplier").select(F.col("s_name").alias("docket_id"), (F.col("s_suppkey") % 3).alias("k"))
+    tables = Tables(spark, new_path(spark, "tables"))
+    tables.refresh("textdiff", rows.select("docket_id", F.lit("old").alias("section")))
+    tables.refresh("textdiff", rows.where("k = 1").select("docket_id", F.lit("new").alias("section")), rows.where("k < 2").select("docket_id"))
+    return tables.read("textdiff").groupBy("docket_id", "section").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "W8_report_ledger",
     with_ctes(_B, "select comment_id, significance from base order by significance desc nulls last, comment_id limit 1500"),

@@ -6,6 +6,7 @@ Everything works on files that a connector has saved verbatim; no query talks to
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -96,6 +97,10 @@ def cursor(page: Callable[[str | None, int], list[dict]], size: int = PAGE, page
 
 # attachments
 
+PDF_PAGES = 1200
+#: Fixed value: what marks a text that stops at the page limit.
+MARK_TRUNCATED = "[TRUNCATED-AT-1200-PAGES]"
+
 
 def docx_text(data: bytes) -> str:
     """Paragraphs of a word-processing file; empty if it can't be read."""
@@ -108,13 +113,19 @@ def docx_text(data: bytes) -> str:
 
 
 def pdf_text(data: bytes) -> str:
-    """Text of a PDF if a reader is installed, else nothing; a file without a text layer is marked."""
+    """Text of a PDF if a reader is installed, else nothing, as of an unreadable file. A file without a text layer is marked,
+    and so is what stops after PDF_PAGES pages."""
     try:
         import pymupdf
     except ImportError:
         return ""
-    with pymupdf.open(stream=data, filetype="pdf") as f:
-        text = "\n".join(page.get_text() for page in f).strip()
+    try:
+        with pymupdf.open(stream=data, filetype="pdf") as f:
+            pages = [page.get_text() for page in itertools.islice(f, PDF_PAGES)]
+            more = [MARK_TRUNCATED] if f.page_count > PDF_PAGES else []
+    except Exception:  # whatever the reader raises for a broken file
+        return ""
+    text = "\n".join([*pages, *more]).strip()
     return text if len(text) >= 40 else MARK_SCANNED
 
 

@@ -1,13 +1,16 @@
-"""Stored tables: keyed upsert, scoped refresh, append, and widening migration, all on Parquet."""
+"""Stored tables: keyed upsert, scoped refresh, append, and widening migration, all on Parquet.
+
+A table is a folder of versions. A replacement is written as the next version beside the last, which it may read, and
+counts once Spark has committed it, so a failed write leaves the table as it was. The version before stays for readers
+that have begun; older ones go. Appends go to the last version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from rostrum import schema
-from rostrum.storage import cut
 
 
 class Tables:
@@ -16,20 +19,35 @@ class Tables:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+    def path(self, name: str, version: int) -> str:
+        return f"{self.root}/{name}/v{version:09d}"
+
+    def versions(self, name: str) -> list[int]:
+        """The committed versions, in order."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/v*/_SUCCESS")
+        found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+        return sorted(int(x.getPath().getParent().getName()[1:]) for x in found)
 
     def read(self, name: str) -> DataFrame:
         """The table in its declared schema; columns that older files lack are null."""
-        want = schema.table_schema(name)
-        try:
-            found = self.spark.read.option("mergeSchema", "true").parquet(self.path(name))
-        except AnalysisException:
+        want, have = schema.table_schema(name), self.versions(name)
+        if not have:
             return self.spark.createDataFrame([], want)
-        return schema.align(found, want)
+        return schema.align(self.spark.read.option("mergeSchema", "true").parquet(self.path(name, have[-1])), want)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        schema.align(rows, schema.table_schema(name)).write.mode("append").parquet(self.path(name))
+        schema.align(rows, schema.table_schema(name)).write.mode("append").parquet(self.path(name, [0, *self.versions(name)][-1]))
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        """`rows`, which may come from the table itself, become its next version."""
+        have = self.versions(name)
+        new = have[-1] + 1 if have else 0
+        rows.write.mode("overwrite").parquet(self.path(name, new))
+        fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for old in have[:-1]:
+            at = fs_path(self.path(name, old))
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     def upsert(self, name: str, rows: DataFrame, order: str | None = None) -> None:
         """Insert or replace by key: of new rows with one key the last by `order` stays. Tables without a key are appended to."""
@@ -39,16 +57,18 @@ class Tables:
         new = schema.align(rows, schema.table_schema(name))
         last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order) if order else F.desc(F.xxhash64(*new.columns))))
         new = new.withColumn("_last", last).where("_last = 1").drop("_last")
-        merged = self.read(name).join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
-        # written aside first, so that a failed write leaves the table as it was
-        cut(merged, name).write.mode("overwrite").parquet(self.path(name))
+        self.replace(name, self.read(name).join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True))
+
+    def refresh(self, name: str, rows: DataFrame, scopes: DataFrame | None = None) -> None:
+        """Replace what the table holds of `scopes` (a column of dockets or documents; default: those of `rows`) by `rows`.
 
-    def refresh(self, name: str, rows: DataFrame) -> None:
-        """Replace the rows of the scopes (dockets, documents) that `rows` holds."""
+        Of a scope that is named and has no new rows nothing stays.
+        """
         scope = schema.SCOPED[name]
         new = schema.align(rows, schema.table_schema(name))
-        kept = self.read(name).join(new.select(scope).distinct(), scope, "left_anti")
-        cut(kept.unionByName(new, allowMissingColumns=True), name).write.mode("overwrite").parquet(self.path(name))
+        named = new.select(scope) if scopes is None else scopes.toDF(scope).unionByName(new.select(scope))
+        kept = self.read(name).join(named.distinct(), scope, "left_anti")
+        self.replace(name, kept.unionByName(new, allowMissingColumns=True))
 
     def log(self, stage: str, detail: str) -> None:
         self.append("runlog", self.spark.sql("select cast(current_timestamp() as timestamp_ntz) as ts, ? as stage, ? as detail", args=[stage, detail]))

@@ -265,6 +265,12 @@ def test_tables(spark, tmp_path):
     got = t.read("textdiff")
     assert sorted((r.docket_id, r.section) for r in got.collect()) == [("a", "2.2"), ("b", "1.1")]
     assert got.schema.fieldNames() == schema.table_schema("textdiff").fieldNames()
+    t.refresh("textdiff", diff("b", "3.3").limit(0), spark.createDataFrame([("a",)], "d string"))
+    assert [r.docket_id for r in t.read("textdiff").collect()] == ["b"]
+    broken = diff("b", "9.9").withColumn("section", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        t.refresh("textdiff", broken)
+    assert [(r.docket_id, r.section) for r in t.read("textdiff").collect()] == [("b", "1.1")]
     t.log("x", "y")
     assert t.read("runlog").count() == 1 and t.read("clusters").count() == 0
 
