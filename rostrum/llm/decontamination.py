@@ -7,7 +7,7 @@ block hash how far no pattern can end; a shift of 0 leads to the bucket of the p
 prefix hash and then the bytes themselves are compared. All texts of a batch are searched side by side.
 
 Benchmark texts are taken in blocks of at most BLOCK_BYTES, and one block at a time is broadcast, as text; each worker
-compiles it into arrays of about 25 bytes for each byte of text and keeps one block. A larger benchmark is searched for
+compiles it into arrays of, by reckoning, 25 bytes for each byte of text and keeps one block. A larger benchmark is searched for
 block by block over all documents, each pass is written before the next begins, and the hits are merged for each row.
 
 Nulls and empty texts have no words: as documents they are clean with n_words 0, as items they have no window. A null
