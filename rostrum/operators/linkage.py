@@ -1,13 +1,14 @@
 """Similarity linkage of submissions to responses, and clusters of units, over unit vectors.
 
-Dense scoring meets all rows with a stated query set, the responses of the final documents; it is broadcast only if
-counted below MOST_RESPONSES and taken in blocks of that size otherwise. Text similarity is an inverted-index join within a docket,
+Dense scoring meets all rows with a stated query set, the responses of the final documents, in broadcast blocks of at most
+MOST_RESPONSES, which are counted; a comment's scores stay in its row. Text similarity is an inverted-index join within a docket,
 for clusters with a prefix filter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from rostrum.operators.graph import components
-from rostrum.storage import cut
+from rostrum.storage import cut, small
 
 TOP = 3
 Z_MARGIN = 1.5
@@ -25,24 +26,63 @@ CLUSTER_COSINE = 0.30
 CLUSTER_SIZE = 3
 VOCABULARY = 60_000
 MOST_RESPONSES = 20_000
+MOST_MEANS = 2_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def similarities(comments: DataFrame, responses: DataFrame) -> DataFrame:
-    """comment_id, response_id, score of all rows (comment_id, vector) against the response set (response_id, vector), in blocks."""
-    n = responses.count()
-    blocks = -(-n // MOST_RESPONSES) or 1
-    out = None
-    for b in range(blocks):
-        part = responses if blocks == 1 else responses.where(F.pmod(F.xxhash64("response_id"), F.lit(blocks)) == b)
-        packed = part.agg(F.collect_list(F.struct("response_id", F.col("vector").alias("r"))).alias("set"))
-        scored = comments.select("comment_id", F.col("vector").alias("c")).join(F.broadcast(packed))
-        scored = scored.select("comment_id", "c", F.explode("set").alias("s")).select("comment_id", "s.response_id", dot(F.col("c"), F.col("s.r")).alias("score"))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+def _partial(comments: DataFrame, responses: DataFrame, top: int) -> DataFrame:
+    """comment_id, n, total, squares, best: what one block of responses makes of each comment, within its row."""
+    packed = responses.agg(F.collect_list(F.struct("response_id", F.col("vector").alias("r"))).alias("set"))
+    places = F.array_sort(F.transform("set", lambda s: F.struct((-dot(F.col("vector"), s["r"])).alias("below"), s["response_id"].alias("response_id"))))
+    scored = comments.select("comment_id", "vector").join(F.broadcast(packed)).select("comment_id", places.alias("places"))
+    add = lambda f: F.aggregate("places", F.lit(0.0), lambda t, p: t + f(p["below"]))
+    return scored.select("comment_id", F.size("places").alias("n"), (-add(lambda x: x)).alias("total"), add(lambda x: x * x).alias("squares"), F.slice("places", 1, top).alias("best"))
+
+
+def link(comments: DataFrame, responses: DataFrame, top: int = 1) -> DataFrame:
+    """comment_id, response_id, score, place: the best responses of each comment, as `best_links` gives them, from vectors.
+
+    All rows (comment_id, vector) meet the response set (response_id, vector). A block of at most MOST_RESPONSES, which is
+    counted, is broadcast, and a comment's scores stay in its row: with one block nothing is shuffled, with more only
+    the blocks' sums and first places are. Comment ids are unique; a null vector has no score and no link.
+    """
+    blocks = -(-responses.count() // MOST_RESPONSES) or 1
+    comments, responses = (x.where("vector is not null") for x in (comments, responses))
+    if blocks == 1:
+        found = _partial(comments, responses, top)
+    else:
+        block = F.pmod(F.xxhash64("response_id"), F.lit(blocks))
+        found = reduce(DataFrame.unionByName, (_partial(comments, responses.where(block == b), top) for b in range(blocks)))
+        found = found.groupBy("comment_id").agg(
+            F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"),
+            F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, top).alias("best"),
+        )
+    mu = F.col("total") / F.col("n")
+    stats = found.where("n > 0").select("comment_id", "n", mu.alias("mu"), F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("n") - mu * mu)).alias("sd"), "best")
+    rows = stats.select("comment_id", "n", "mu", "sd", F.posexplode("best").alias("p", "b"))
+    rows = rows.select("comment_id", "n", "mu", "sd", F.col("b.response_id").alias("response_id"), (-F.col("b.below")).alias("score"), (F.col("p") + 1).alias("place"))
+    return rows.where((F.col("score") >= LEAST_COSINE) & ~_weak(F.col("n"), F.col("mu"), F.col("sd"))).select("comment_id", "response_id", "score", "place")
+
+
+def _weak(n: Column, mu: Column, sd: Column) -> Column:
+    """Whether a score doesn't stand out among a comment's scores."""
+    return (n >= Z_FROM) & (sd > 1e-6) & ((F.col("score") - mu) / sd < Z_MARGIN)
+
+
+def medoids(vectors: DataFrame) -> DataFrame:
+    """label, medoid, score of (label, id, vector): the member nearest its label's mean, the smallest id among equals.
+
+    Means are partial sums by label and dimension; each label's mean comes back to its members as one array.
+    """
+    parts = vectors.select("label", F.posexplode("vector").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("c"))
+    means = parts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("m")).select("label", F.transform("m", lambda x: x["c"]).alias("mean"))
+    means = small(means, MOST_MEANS, F.size("mean"))
+    scored = vectors.join(means, "label").select("label", "id", dot(F.col("vector"), F.col("mean")).alias("score"))
+    best = scored.groupBy("label").agg(F.min_by(F.struct("id", "score"), F.struct(-F.round("score", 9), "id")).alias("b"))
+    return best.select("label", F.col("b.id").alias("medoid"), F.col("b.score").alias("score"))
 
 
 def best_links(scores: DataFrame, top: int = 1) -> DataFrame:
@@ -50,7 +90,7 @@ def best_links(scores: DataFrame, top: int = 1) -> DataFrame:
     w = Window.partitionBy("comment_id")
     stats = scores.withColumns({"mu": F.avg("score").over(w), "sd": F.stddev_pop("score").over(w), "of": F.count(F.lit(1)).over(w)})
     ranked = stats.withColumn("place", F.row_number().over(w.orderBy(F.desc("score"), "response_id")))
-    weak = (F.col("of") >= Z_FROM) & (F.col("sd") > 1e-6) & ((F.col("score") - F.col("mu")) / F.col("sd") < Z_MARGIN)
+    weak = _weak(F.col("of"), F.col("mu"), F.col("sd"))
     return ranked.where((F.col("place") <= top) & (F.col("score") >= LEAST_COSINE) & ~weak).select("comment_id", "response_id", "score", "place")
 
 

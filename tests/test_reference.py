@@ -138,7 +138,7 @@ def test_page_of_every_row(spark, sf):
     part = sorted((r.p_partkey * 7, r.p_name) for r in spark.read.parquet(f"{sf}/part.parquet").collect())
     page = lambda pos: part[i - 1][1] if (i := bisect_right(part, pos, key=lambda m: m[0])) else None
     want = sorted((r.l_orderkey, r.l_linenumber, page(r.l_orderkey) or "") for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect())
-    got = registry.QUERIES["J14_page_as_of_all"](spark, sf).collect()
+    got = registry.QUERIES["J14_page_as_of"](spark, sf).collect()
     assert sorted((r.pos, r.n, r.page or "") for r in got) == want
     at = spark.createDataFrame([(d, p) for d in ("d", "e", None) for p in range(60)], "document_id string, pos long")
     marks = spark.createDataFrame([(d, p, f"{d}{p}") for d in ("d", None) for p in (3, 5, 31, 40)], "document_id string, pos long, page string")
@@ -147,7 +147,7 @@ def test_page_of_every_row(spark, sf):
         assert r.page == (f"{r.document_id}{last[-1]}" if last and r.document_id != "e" else None)
 
 
-@pytest.mark.parametrize("name, top", [("J13_W1_W2_A22_linkage_all", 1), ("M5_linkage_selective_all", 3)])
+@pytest.mark.parametrize("name, top", [("J13_W1_W2_A22_linkage", 1), ("M5_linkage_selective", 3)])
 def test_links_of_every_row(spark, sf, name, top):
     import numpy as np
 
@@ -163,6 +163,27 @@ def test_links_of_every_row(spark, sf, name, top):
     assert got == want and any(c % 2 for c, _ in got)
 
 
+def test_links_in_blocks_and_of_odd_vectors(spark, sf, monkeypatch):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("comment_id"), F.col("embedding").alias("vector"))
+    asked = e.where("comment_id % 50 = 0").withColumnRenamed("comment_id", "response_id")
+    rows = lambda df: sorted((r.comment_id, r.response_id, round(r.score, 9), r.place) for r in df.collect())
+    scores = e.crossJoin(asked.withColumnRenamed("vector", "r")).select("comment_id", "response_id", linkage.dot(F.col("vector"), F.col("r")).alias("score"))
+    whole = rows(linkage.link(e, asked, 3))
+    assert whole == rows(linkage.best_links(scores, 3))
+    monkeypatch.setattr(linkage, "MOST_RESPONSES", 3)
+    assert whole == rows(linkage.link(e, asked, 3))
+    odd = spark.createDataFrame([(1, None), (2, [0.0, 0.0]), (3, [1.0, 0.0])], "comment_id long, vector array<float>")
+    two = odd.select(F.col("comment_id").alias("response_id"), "vector")
+    assert rows(linkage.link(odd, two)) == [(3, 3, 1.0, 1)]
+    assert not rows(linkage.link(odd, two.limit(0))) and not rows(linkage.link(odd.limit(0), two))
+
+
+def test_medoids(spark):
+    rows = [("a", 1, [1.0, 0.0]), ("a", 2, [0.6, 0.8]), ("a", 3, [0.0, 1.0]), ("b", 5, [0.0, 1.0]), ("b", 4, [0.0, 1.0])]
+    got = linkage.medoids(spark.createDataFrame(rows, "label string, id long, vector array<double>"))
+    assert {r.label: r.medoid for r in got.collect()} == {"a": 2, "b": 4}
+
+
 def test_clusters_of_all_dockets(spark, sf):
     import random
 
