@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as tx
-from rostrum.operators.graph import components
+from rostrum.operators.graph import linked
 from rostrum.storage import cut
 
 NEAR = 0.85
@@ -30,12 +30,12 @@ def families(hashed: DataFrame) -> DataFrame:
     return hashed.groupBy("docket_id", "exact_hash").agg(first.alias("r"), F.count(F.lit(1)).alias("n")).select("docket_id", "exact_hash", F.col("r.comment_id").alias("rep_id"), "n", F.col("r.full_text").alias("full_text"))
 
 
-def overlaps(reps: DataFrame) -> DataFrame:
-    """docket_id, x, y, shared, nx, ny of the ordered pairs that may be near or contained.
+def _prefixes(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docket_id, rep_id, s (hashed shingles); and docket_id, shingle, rep_id, n of the first shingles on the side of x and on that of y.
 
     Shingles are ordered by how many documents have them, rarest first. Of a pair in which y holds CONTAINED of x (or
     which is NEAR, which asks for more), one of x's first shingles is among y's first ones, so frequent shingles make no
-    pairs; the overlap of each candidate is then counted on the whole sets.
+    pairs.
     """
     hashed = cut(reps.select("docket_id", "rep_id", F.transform(tx.shingles(tx.tokens(F.col("full_text"))), lambda s: F.xxhash64(s)).alias("s")), "shingles")
     exploded = hashed.select("docket_id", "rep_id", F.size("s").alias("n"), F.explode("s").alias("shingle"))
@@ -47,6 +47,15 @@ def overlaps(reps: DataFrame) -> DataFrame:
     ranked = cut(shared.withColumn("place", place).select("docket_id", "shingle", "rep_id", "n", "place"), "ranked")
     x = ranked.where(F.col("place") <= F.col("n") - F.ceil(CONTAINED * F.col("n")) + 1)
     y = ranked.where(F.col("place") <= F.col("n") - F.ceil(CONTAINED / SIZE_FACTOR * F.col("n")) + 1)
+    return hashed, x.drop("place"), y.drop("place")
+
+
+def overlaps(reps: DataFrame) -> DataFrame:
+    """docket_id, x, y, shared, nx, ny of the ordered pairs that may be near or contained; the overlap is counted on the whole sets.
+
+    All pairs: `connected` is for those that need the components only.
+    """
+    hashed, x, y = _prefixes(reps)
     left = x.select("docket_id", "shingle", F.col("rep_id").alias("x"), F.col("n").alias("nx"))
     right = y.select("docket_id", "shingle", F.col("rep_id").alias("y"), F.col("n").alias("ny"))
     lo, hi = F.least("nx", "ny"), F.greatest("nx", "ny")
@@ -57,6 +66,23 @@ def overlaps(reps: DataFrame) -> DataFrame:
     return both.select("docket_id", "x", "y", F.size(F.array_intersect("sx", "sy")).alias("shared"), "nx", "ny")
 
 
+def connected(reps: DataFrame) -> DataFrame:
+    """docket_id, rep_id, root: components of the near and contained pairs of `overlaps`, without a row for each pair of a campaign."""
+    hashed, x, y = _prefixes(reps)
+    rows = lambda t: t.select(F.struct("docket_id", "shingle").alias("bucket"), F.struct("docket_id", F.col("rep_id").alias("id")).alias("node"), "n")
+    sets = lambda c, name: hashed.select(F.struct("docket_id", F.col("rep_id").alias("id")).alias(c), F.col("s").alias(name))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        lo, hi = F.least("na", "nb"), F.greatest("na", "nb")
+        inside = (lo >= LEAST_SHINGLES) & (hi <= SIZE_FACTOR * lo)
+        both = pairs.where((lo >= NEAR * hi) | inside).join(sets("a", "sa"), "a").join(sets("b", "sb"), "b")
+        both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb"))).drop("sa", "sb")
+        shared = F.col("shared")
+        return both.where((shared >= NEAR * (lo + hi - shared)) | (inside & (shared >= CONTAINED * lo)))
+
+    return linked(rows(x), rows(y), verify).select("node.docket_id", F.col("node.id").alias("rep_id"), F.col("root.id").alias("root"))
+
+
 def jaccard_edges(pairs: DataFrame, threshold: float = NEAR) -> DataFrame:
     return pairs.where(F.col("x") < F.col("y")).where(F.col("shared") >= threshold * (F.col("nx") + F.col("ny") - F.col("shared")))
 
@@ -71,10 +97,7 @@ def detect(comments: DataFrame) -> DataFrame:
     """The dedup table: docket_id, comment_id, exact_hash, campaign_id (null: alone), is_exemplar, template_ratio, insert_text."""
     hashed = cut(fingerprints(comments), "fingerprints")
     reps = cut(families(hashed), "families")
-    pairs = cut(overlaps(reps), "overlaps")
-    edges = jaccard_edges(pairs).select("docket_id", "x", "y").unionByName(containment_edges(pairs).select("docket_id", "x", "y"))
-    node = lambda c: F.struct("docket_id", F.col(c).alias("id"))
-    parts = components(edges.select(node("x").alias("a"), node("y").alias("b"))).select("node.docket_id", F.col("node.id").alias("rep_id"), F.col("root.id").alias("root"))
+    parts = cut(connected(reps), "parts")
     placed = reps.join(parts, ["docket_id", "rep_id"], "left").withColumn("root", F.coalesce("root", "rep_id"))
     whole = placed.groupBy("docket_id", "root").agg(
         F.sum("n").alias("size"), F.min_by("rep_id", F.struct(F.length("full_text"), "rep_id")).alias("exemplar_id"), F.min_by("full_text", F.struct(F.length("full_text"), "rep_id")).alias("exemplar")

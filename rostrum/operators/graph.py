@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from rostrum.storage import cut, small
 
 #: Up to this many nodes are broadcast with their minima; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: With how many centers a node is compared before its other candidates.
+CENTERS = 4
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -37,3 +41,32 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     nodes = edges.groupBy("v").agg(F.min("u").alias("root")).select(F.col("v").alias("node"), "root")
     return nodes.unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+
+
+def linked(left: DataFrame, right: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of all nodes that verified candidates connect, as `components` gives them, without listing the candidates.
+
+    left, right: (bucket, node, n). Candidates are a node of `left` and another node of `right` in one bucket; `verify` keeps the rows of
+    (a, na, b, nb, ..) that are linked. A node first meets the CENTERS commonest ones among the first nodes of its buckets. Then nodes
+    meet whose components still differ, which are grouped by component before they are joined: a bucket of one component, however
+    large, makes no candidates. Each candidate is verified or lies in one component, so no link is lost.
+    """
+    size = F.struct("n", "node")
+    first = right.groupBy("bucket").agg(F.min(size).alias("c"))
+    near = left.unionByName(right).distinct().join(first, "bucket").where("c.node <> node").groupBy("node", "n", "c").agg(F.count(F.lit(1)).alias("times"))
+    near = near.groupBy("node", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("times")).alias("t"), "c"))), 1, CENTERS).alias("cs"))
+    near = near.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.explode("cs.c").alias("c")).select(F.col("c.node").alias("a"), F.col("c.n").alias("na"), "b", "nb")
+    parts = cut(components(verify(near).select("a", "b")), "parts")
+
+    known = small(parts, BROADCAST_ROWS)
+    xs, ys = (t.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")) for t in (left, right))
+    x = xs.select("bucket", F.col("root").alias("ra"), F.col("node").alias("a"), F.col("n").alias("na"))
+    y = ys.select("bucket", F.col("root").alias("rb"), F.col("node").alias("b"), F.col("n").alias("nb"))
+    between = x.select("bucket", "ra").distinct().join(y.select("bucket", "rb").distinct(), "bucket").where("ra <> rb")
+    rest = between.join(x, ["bucket", "ra"]).join(y, ["bucket", "rb"]).select("a", "na", "ra", "b", "nb", "rb").distinct()
+    rest = cut(verify(rest).select("a", "ra", "b", "rb"), "links")
+    if not rest.limit(1).count():
+        return parts
+    merged = components(rest.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("low"))
+    every = parts.unionByName(rest.select(F.col("a").alias("node"), F.col("ra").alias("root"))).unionByName(rest.select(F.col("b").alias("node"), F.col("rb").alias("root")))
+    return every.distinct().join(merged, "root", "left").select("node", F.coalesce("low", "root").alias("root"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from rostrum.operators.graph import components
+from rostrum.operators.graph import linked
 from rostrum.storage import cut, small
 
 TOP = 3
@@ -140,18 +140,26 @@ def sparse_similarities(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, ["docket_id", "term"]).groupBy("docket_id", "x", "y").agg(F.sum(F.col("wx") * F.col("wy")).alias("score"))
 
 
-def similar_pairs(weights: DataFrame, cosine: float = CLUSTER_COSINE) -> DataFrame:
-    """docket_id, x, y (x < y), score of a docket's pairs at `cosine` or more.
+def _prefixes(weights: DataFrame, cosine: float) -> DataFrame:
+    """docket_id, id, term: the terms by which texts of a docket are paired.
 
     Terms are ordered by how many texts have them, rarest first. A pair's score is at most the length of either vector
     from the pair's rarest common term on, so that term is among those of both from which on at least `cosine` is left;
-    frequent terms after them make no pairs, and neither do terms of one text. Such pairs are scored on all their terms.
+    frequent terms after them make no pairs, and neither do terms of one text.
     """
     often = weights.groupBy("docket_id", "term").agg(F.count(F.lit(1)).alias("df"))
     left = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("docket_id", "id").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0))
     # a little below, for sums of rounded squares
     first = weights.join(often, ["docket_id", "term"]).withColumn("left", left).where((F.col("df") > 1) & (F.col("left") >= cosine * cosine - 1e-9))
-    first = cut(first.select("docket_id", "id", "term"), "prefixes")
+    return cut(first.select("docket_id", "id", "term"), "prefixes")
+
+
+def similar_pairs(weights: DataFrame, cosine: float = CLUSTER_COSINE) -> DataFrame:
+    """docket_id, x, y (x < y), score of a docket's pairs at `cosine` or more, scored on all their terms.
+
+    All pairs: `connected` is for those that need the components only.
+    """
+    first = _prefixes(weights, cosine)
     x, y = (first.select("docket_id", "term", F.col("id").alias(c)) for c in ("x", "y"))
     pairs = x.join(y, ["docket_id", "term"]).where("x < y").select("docket_id", "x", "y").distinct()
     wx, wy = (weights.select("docket_id", F.col("id").alias(c), "term", F.col("w").alias(f"w{c}")) for c in ("x", "y"))
@@ -159,12 +167,22 @@ def similar_pairs(weights: DataFrame, cosine: float = CLUSTER_COSINE) -> DataFra
     return scored.where(F.col("score") >= cosine)
 
 
+def connected(weights: DataFrame, cosine: float = CLUSTER_COSINE) -> DataFrame:
+    """docket_id, id, root: components of `similar_pairs`, without a row for each pair of a cluster."""
+    rows = _prefixes(weights, cosine).select(F.struct("docket_id", "term").alias("bucket"), F.struct("docket_id", "id").alias("node"), F.lit(0).alias("n"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        wa, wb = (weights.select(F.struct("docket_id", "id").alias(c), "term", F.col("w").alias(f"w{c}")) for c in ("a", "b"))
+        scored = pairs.select("a", "b").join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
+        return pairs.join(scored.where(F.col("score") >= cosine).select("a", "b"), ["a", "b"])
+
+    return linked(rows, rows, verify).select("node.docket_id", "node.id", F.col("root.id").alias("root"))
+
+
 def clusters(weights: DataFrame, ids: DataFrame, cosine: float = CLUSTER_COSINE, least: int = CLUSTER_SIZE) -> DataFrame:
     """docket_id, id, cluster_id (-1: alone), is_medoid of `ids` (docket_id, id): components of a docket's pairs at `cosine` or more with at least `least` members."""
     enough = ids.groupBy("docket_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2 * least, 6)).select("docket_id")
-    pairs = cut(similar_pairs(weights.join(enough, "docket_id", "left_semi"), cosine), "pairs")
-    node = lambda c: F.struct("docket_id", F.col(c).alias("id"))
-    roots = components(pairs.select(node("x").alias("a"), node("y").alias("b"))).select("node.docket_id", "node.id", F.col("root.id").alias("root"))
+    roots = cut(connected(weights.join(enough, "docket_id", "left_semi"), cosine), "roots")
     sized = roots.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("docket_id", "root"))).where(F.col("of") >= least)
     numbered = sized.withColumn("cluster_id", F.dense_rank().over(Window.partitionBy("docket_id").orderBy("root")) - 1)
     # v . mean of the members, from the pairs: the medoid is the largest, the smallest id among equals

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from rostrum.catalog import Catalog
 from rostrum.functions import text as tx
 from rostrum.operators import campaigns, console, linkage, metrics, parsing, usage, watch
-from rostrum.operators.graph import components
 from rostrum.plans import relations as rel
 from rostrum.plans.relations import with_ctes
 from rostrum.sources.tables import Tables
@@ -98,10 +97,7 @@ select root, count(*) as reps, cast(sum(n) as bigint) as size from root join fam
 )
 def _(spark, d):
     reps = campaigns.families(campaigns.fingerprints(_whole(spark, d)))
-    pairs = campaigns.overlaps(reps)
-    edges = campaigns.jaccard_edges(pairs).select("x", "y").unionByName(campaigns.containment_edges(pairs).select("x", "y"))
-    parts = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    placed = reps.join(parts, reps["rep_id"] == parts["node"], "left").withColumn("root", F.coalesce("root", "rep_id"))
+    placed = reps.join(campaigns.connected(reps), ["docket_id", "rep_id"], "left").withColumn("root", F.coalesce("root", "rep_id"))
     return placed.groupBy("root").agg(F.count(F.lit(1)).alias("reps"), F.sum("n").alias("size")).where("size > 1")
 
 

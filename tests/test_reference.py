@@ -184,6 +184,28 @@ def test_medoids(spark):
     assert {r.label: r.medoid for r in got.collect()} == {"a": 2, "b": 4}
 
 
+def test_connected_is_components_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(90)]
+    templates = [rng.choices(words, k=30) for _ in range(4)]
+    # inserts of many lengths, so that some members meet their campaign only through others
+    texts = [(d, f"{d}{i:02}", " ".join(templates[i % 4][: 30 - i % 5] + rng.choices(words, k=rng.choice((0, 2, 6, 14, 40))))) for d in "ab" for i in range(36)]
+    texts += [("a", "a98", ""), ("b", "b99", "w1 w2")]
+    df = spark.createDataFrame(texts, "docket_id string, comment_id string, full_text string")
+    reps = campaigns.families(campaigns.fingerprints(df)).cache()
+    pairs = campaigns.overlaps(reps).cache()
+    edges = [(r.docket_id, r.x, r.y) for e in (campaigns.jaccard_edges(pairs), campaigns.containment_edges(pairs)) for r in e.collect()]
+    root = {(d, k): k for d, x, y in edges for k in (x, y)}
+    for _ in root:
+        for d, x, y in edges:
+            root[d, x] = root[d, y] = min(root[d, x], root[d, y])
+    got = {(r.docket_id, r.rep_id): r.root for r in campaigns.connected(reps).collect()}
+    assert got == root and len(set(root.values())) > 1
+    assert campaigns.connected(reps.limit(0)).count() == 0
+
+
 def test_clusters_of_all_dockets(spark, sf):
     import random
 
