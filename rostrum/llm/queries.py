@@ -11,10 +11,14 @@ from rostrum.llm import sql
 from rostrum.llm.chat_format import chat_format
 from rostrum.llm.common import table
 from rostrum.llm.decontamination import decontaminate
+from rostrum.llm.filter_audit import filter_audit
+from rostrum.llm.lexical_search import lexical_search
+
 from rostrum.llm.license_scan import license_scan
 from rostrum.llm.line_dedup import line_dedup
 from rostrum.llm.mixing import mixture
 from rostrum.llm.ngram_jaccard import ngram_jaccard_join
+
 from rostrum.llm.quality_rules import quality_rules
 from rostrum.llm.suffix_dedup import suffix_dedup
 from rostrum.llm.token_output import token_output
@@ -38,10 +42,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +76,14 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_license_scan": op2_license_scan,
@@ -83,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 ORACLE: dict[str, str] = {
@@ -91,4 +105,6 @@ ORACLE: dict[str, str] = {
     "op3_chat_formatting": sql.CHAT_FORMAT,
     "op6_line_dedup": sql.LINE_DEDUP,
     "op10_benchmark_decontamination": sql.DECONTAMINATION,
+    "op11_filter_audit": sql.FILTER_AUDIT,
+    "op12_lexical_search": sql.LEXICAL_SEARCH,
 }

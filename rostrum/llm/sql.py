@@ -73,6 +73,44 @@ select page_id, host, host_pages, cast(len(lines) as bigint) as n_lines, cast(le
 from l join h using (host) left join k using (row)
 """
 
+FILTER_AUDIT = r"""
+with d as (select doc_id, coalesce(text, '') as t, coalesce(lang, '') as part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+f as (select doc_id, part,
+  (case when len(ws) < 200 then 'A' else '' end) || (case when 100 * len(list_distinct(ws)) < 50 * len(ws) then 'B' else '' end)
+  || (case when 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) then 'C' else '' end) || (case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end)
+  || (case when doc_id > min(doc_id) over (partition by t) then 'E' else '' end) as fails from d),
+l as (select doc_id, coalesce(bool_or(quality = 1), false) as good, coalesce(bool_or(toxic = 1), false) as toxic from labels group by doc_id),
+b as (select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from f left join l using (doc_id) group by part, fails),
+x(c) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+o as (select a.c || b.c || c.c || d.c || e.c as filter_order from x a, x b, x c, x d, x e
+  where len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s as (select filter_order, step, filter_order[step] as letter from o, (select unnest(range(1, 6)) as step)),
+p as (select part, fails, n, good, toxic, filter_order, coalesce(list_min(list_transform(string_split(nullif(fails, ''), ''), lambda c: strpos(filter_order, c))), 9) as first from b, o),
+r as (select part, filter_order, step, letter, sum(case when first > step then n else 0 end) as kept, sum(case when first = step then n else 0 end) as removed,
+  sum(case when contains(fails, letter) and first < step then n else 0 end) as redundant, sum(case when fails = letter then n else 0 end) as unique_fails,
+  sum(case when first = step then good else 0 end) as good_lost, sum(case when first = step then toxic else 0 end) as toxic_lost
+  from p join s using (filter_order) group by part, filter_order, step, letter)
+select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+  cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+  cast(sum(removed) over (partition by part, letter) as bigint) as shapley from r
+"""
+
+LEXICAL_SEARCH = r"""
+with w as (select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents),
+q as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+a as (select cast(count(*) as bigint) as nn, cast(sum(len(ws)) as bigint) as ll from w where len(ws) > 0),
+t as (select row, doc_id, len(ws) as n, unnest(ws) as term from w),
+p as (select row, doc_id, n, term, count(*) as tf from t semi join q using (term) group by row, doc_id, n, term),
+df as (select term, count(*) as df from p group by term),
+e as (select term, cast(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) as bigint) as weight from df, a),
+v as (select row, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))) as v from p join e using (term), a),
+s as (select item_id, row, doc_id, sum(v) as score from q join v using (term) group by item_id, row, doc_id having sum(v) > 0)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last, row) as int) as rank, doc_id, cast(score as bigint) as score
+from s qualify rank <= 10
+"""
+
 
 def _license_sql() -> str:
     from rostrum.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, rivals, spelled
