@@ -18,6 +18,7 @@ from rostrum.llm.license_scan import license_scan
 from rostrum.llm.line_dedup import line_dedup
 from rostrum.llm.mixing import mixture
 from rostrum.llm.ngram_jaccard import ngram_jaccard_join
+from rostrum.llm.packing import packing
 
 from rostrum.llm.quality_rules import quality_rules
 from rostrum.llm.suffix_dedup import suffix_dedup
@@ -84,6 +85,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_license_scan": op2_license_scan,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_filter_audit": op11_filter_audit,
     "op12_lexical_search": op12_lexical_search,
+    "op13_packing": op13_packing,
 }
 
 ORACLE: dict[str, str] = {
