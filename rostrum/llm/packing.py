@@ -3,7 +3,7 @@
 A document's ids, closed by the end id, are first cut into full windows of `size` ids, which are sequences at once. The rests
 are dealt by a hash into blocks of about BLOCK_IDS ids, whose number is counted, and each block is one task: its rests go, longest
 first, to the open window with the least room that holds them; a segment tree indexed by remaining room finds it in
-log2(size) steps. Windows that stay open by more than WASTE ids (there are few, unless rests are mostly long) are filled
+log2(size) steps. Windows that stay open by more than a WASTE-th (there are few, unless rests are mostly long) are filled
 by cutting rests of the emptiest ones, and what is left of the last one is cut at powers of two, which need no padding.
 
 Sequences are written as a table in the shared folder and read back: sequence_id, ids (little-endian, 2 bytes each if
@@ -37,7 +37,8 @@ from rostrum.llm.token_output import Coder
 SIZE = 2048
 END_ID = 1
 BLOCK_IDS = 8_000_000
-WASTE = 32
+#: A window may stay open by one part in so many.
+WASTE = 64
 BATCH_BYTES = 4 << 20
 
 BLANK = np.zeros(256, bool)
@@ -250,7 +251,7 @@ def _packed(size: int, waste: int):
     return run
 
 
-def write_sequences(docs: DataFrame, tokenizer: str, path: str, size: int = SIZE, end_id: int = END_ID, waste: int = WASTE, block_ids: int = BLOCK_IDS) -> None:
+def write_sequences(docs: DataFrame, tokenizer: str, path: str, size: int = SIZE, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Write the sequences of all rows of `docs` (doc_id, text) to `path`; `tokenizer`: path of a byte-level tokenizers file."""
     spark = docs.sparkSession
     with eager(spark):
@@ -260,7 +261,7 @@ def write_sequences(docs: DataFrame, tokenizer: str, path: str, size: int = SIZE
         blocks = -(-(rests.agg(F.sum(F.get("lengths", F.lit(0)).cast("long"))).first()[0] or 0) // block_ids)
         if blocks:
             dealt = rests.withColumn("block", F.pmod(F.xxhash64("sequence_id"), F.lit(blocks)))
-            dealt.groupBy("block").applyInArrow(_packed(size, waste), SEQUENCES).write.parquet(f"{path}/kind=packed")
+            dealt.groupBy("block").applyInArrow(_packed(size, size // WASTE), SEQUENCES).write.parquet(f"{path}/kind=packed")
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
