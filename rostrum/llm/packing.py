@@ -166,7 +166,8 @@ def filled(windows: list[list[Piece]], size: int, waste: int) -> list[list[Piece
                 loose[0].append((i, to, hi))
             elif not loose[0]:
                 loose.pop(0)
-        full.append(taker)
+        # it stays open only if there is nothing left to fill it with
+        (full if free <= waste else loose).append(taker)
     for w in loose:
         left = held(w)
         if size - left <= waste:
