@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`.
 Decisions travel with their rows, or are joined back by the text's key, so repeated doc_ids don't meet each other.
+
+In every stage null texts are empty texts, null doc_ids, langs and sources are values like others, texts are taken whole however
+long, further columns stay with their rows whatever their names, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,30 +24,48 @@ from rostrum.llm.token_output import token_output
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.5 or more go."""
+    """Documents scored 0.5 or more go.
+
+    Texts without words have the score of the intercept. Repeated rows are scored, and go or stay, alike.
+    """
     columns = docs.columns
     scored = tox.score(docs, tox.train(docs, table(spark, sf_dir, "labels")), "toxicity_score")
     return scored.where("toxicity_score < 0.5").select(*columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
+    """Of each group of linked documents the one with the smallest doc_id stays.
+
+    Texts without words are linked to none and all stay. Of repeated rows of that doc_id and text one stays, whichever it is; a null
+    doc_id stays only in a group without others.
+    """
     return keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which 5 % of the words or more lie in benchmark passages go."""
+    """Documents of which 5 % of the words or more lie in benchmark passages go.
+
+    Texts without words stay, and so does everything if the benchmark has no words. Repeated rows go or stay alike.
+    """
     columns = docs.columns
     return with_contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as many times as the mix takes it."""
+    """Each row as many times as the mix takes it.
+
+    Texts without words have size 0 and aren't taken. Equal sizes are told apart by a seeded hash of doc_id and text; repeated rows are
+    rows each. A null source is a source of its own, the last.
+    """
     return mix(docs)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards, which stay in the shared folder, and for each row what is read back from them."""
+    """Token shards, which stay in the shared folder, and for each row what is read back from them.
+
+    Texts without tokens are the end id alone. Null doc_ids come first; rows of equal doc_id come in order of a hash of their texts, repeated
+    rows one after the other.
+    """
     return token_output(docs, tokenizer_path(), path=f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}")
 
 

@@ -82,27 +82,6 @@ def numbered(rows: list) -> Items:
     return Items([r["item_id"] for r in rows], words, flat, np.concatenate([[0], np.cumsum([len(r["terms"]) for r in rows])]).astype(np.int64))
 
 
-def found_terms(column: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(number of terms of each text, and for each known term in a text: the text, the term's place in `known`, how often)."""
-    data, offsets = wb.raw(column)
-    solid = wb.IS_WORD[data]
-    begin = solid.copy()
-    begin[1:] &= ~solid[:-1]
-    edges = offsets[:-1][np.diff(offsets) > 0]
-    begin[edges] = solid[edges]
-    starts = np.flatnonzero(begin)
-    each = np.diff(np.searchsorted(starts, offsets))
-    if not len(starts):
-        return each, *(np.zeros(0, np.int64) for _ in range(3))
-    at = np.append(np.cumsum(solid)[starts] - 1, np.count_nonzero(solid)).astype(np.int64)
-    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(wb.LOWER[data[solid]])]).dictionary_encode()
-    place = pc.fill_null(pc.index_in(coded.dictionary, value_set=known), -1).to_numpy().astype(np.int64)
-    term = place[coded.indices.to_numpy()]
-    hit = term >= 0
-    pairs, times = np.unique(np.repeat(np.arange(len(each)), each)[hit] * len(known) + term[hit], return_counts=True)
-    return each, pairs // max(len(known), 1), pairs % max(len(known), 1), times
-
-
 FORWARD = "block long, ord int, doc_id long, n long, terms array<int>, times array<long>"
 
 
@@ -114,7 +93,7 @@ def _forward(shared):
         block, held, entries = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
             for part in wb.pieces(batch, "text"):
-                each, row, term, times = found_terms(part.column("text"), known)
+                each, row, term, times = wb.known_words(part.column("text"), known)
                 rows = np.flatnonzero(each)
                 if not len(rows):
                     continue

@@ -113,34 +113,37 @@ from s qualify rank <= 10
 
 
 def _license_sql() -> str:
-    from rostrum.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, rivals, spelled
+    from rostrum.llm.license_scan import ORDERED, PHRASES, SHORT_FORMS, TEMPLATES, THRESHOLD, rivals, spelled
 
     known = spelled(TEMPLATES)
     texts = lambda values: f"[{', '.join(repr(w) for w in values)}]"
-    rows = [f"({i}, '{t.label}', {len(t.words)}, {texts(t.distinct)}, {t.need(THRESHOLD)}, {texts(' '.join(p) for p in t.pairs)}, {t.need_pairs()})" for i, t in enumerate(known)]
+    rows = [f"({i}, '{t.label}', {len(t.words)}, {texts(t.distinct)}, {t.need(THRESHOLD)}, {texts(' '.join(p) for p in t.pairs)})" for i, t in enumerate(known)]
     against = ", ".join(f"({i}, {j})" for i, others in enumerate(rivals(known)) for j in others)
-    phrases = ", ".join(f"('{label}', {texts(p.split())})" for p, label in PHRASES.items())
+    phrases = ", ".join([*(f"('{label}', {texts(p.split())}, true)" for p, label in PHRASES.items()), *(f"('{t.label}', {texts(t.words)}, false)" for t in spelled(SHORT_FORMS))])
     return f"""
 with w as (select row_number() over () as row, doc_id, {_words("text")} as ws from documents),
-t(t, label, n, ts, need, ps, need_p) as (values {", ".join(rows)}),
+t(t, label, n, ts, need, ps) as (values {", ".join(rows)}),
 against(t, u) as (values {against}),
-p(label, ps) as (values {phrases}),
-base as (select row, label, unnest(list_filter(range(0, len(ws)), lambda i: ws[i + 1:i + len(ps)] = ps)) as i
+p(label, ps, base) as (values {phrases}),
+places as (select row, label, base, unnest(list_filter(range(0, len(ws)), lambda i: ws[i + 1:i + len(ps)] = ps)) as i
          from w, p where list_contains(ws, ps[1])),
-b as (select row, count(distinct i) as n_base, min(i) as first_word, max(i) as last_word, list(distinct label) as ls from base group by row),
+b as (select row, count(distinct i) filter (base) as n_base, min(i) filter (base) as first_word, max(i) filter (base) as last_word,
+  coalesce(list(distinct label) filter (base), []) as base_ls, list(distinct label) as ls from places group by row),
 k as (select row, t.*, unnest(range(0, (len(ws) + n - 1) // n)) as k, ws from w, t where len(list_intersect(ws, ts)) >= need),
 c as (select * exclude (ws), ws[k * n + 1:k * n + 2 * n] as block from k),
-m as (select row, t, label, n, k, len(list_intersect(list_distinct(block), ts)) as o, len(ts) as s from c
-      where len(list_intersect(list_distinct(block), ts)) >= need
-        and len(list_intersect(list_transform(range(1, len(block)), lambda i: block[i] || ' ' || block[i + 1]), ps)) >= need_p),
+m as (select row, t, label, n, k, len(list_intersect(list_distinct(block), ts)) as o, len(ts) as s,
+        len(list_intersect(list_distinct(list_transform(range(1, len(block)), lambda i: block[i] || ' ' || block[i + 1])), ps)) >= ceil({ORDERED} * len(ps) - 1e-9) as ordered from c
+      where len(list_intersect(list_distinct(block), ts)) >= need),
 beaten as (select distinct a.row, a.t, a.k from m a join against on against.t = a.t join m b on b.t = against.u and b.row = a.row
-   where b.k * b.n < (a.k + 2) * a.n and a.k * a.n < (b.k + 2) * b.n and (b.o / b.s > a.o / a.s or (b.o / b.s = a.o / a.s and b.o > a.o))),
-g as (select row, list(distinct label) as ls, max(o / s) as share from m anti join beaten using (row, t, k) group by row)
+   where a.ordered and b.ordered and b.k * b.n < (a.k + 2) * a.n and a.k * a.n < (b.k + 2) * b.n and (b.o / b.s > a.o / a.s or (b.o / b.s = a.o / a.s and b.o > a.o))),
+best as (select row, list(distinct label) as ls from (select * from m where ordered) anti join beaten using (row, t, k) group by row),
+g as (select row, count(*) as n, list(distinct label) as ls, max(o / s) as share from m group by row)
 select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, first_word, last_word,
-  coalesce(array_to_string(list_sort(b.ls), ','), '') as base_labels,
+  coalesce(array_to_string(list_sort(b.base_ls), ','), '') as base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(g.ls, [])))), ','), '') as labels,
-  cast(case when n_base > 0 then 1 else coalesce(share, 0) end as double) as score
-from w left join b using (row) left join g using (row)
+  cast(case when len(b.ls) > 0 then 1 else coalesce(share, 0) end as double) as score, cast(coalesce(g.n, 0) as bigint) as n_matches,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(best.ls, [])))), ','), '') as best_labels
+from w left join b using (row) left join g using (row) left join best using (row)
 """
 
 

@@ -1,19 +1,20 @@
-"""Toxicity: a counterfactual-regularised logistic classifier over hashed words.
+"""Toxicity: a counterfactual-regularised logistic classifier over the distinct words of whole texts.
 
 Fit: a bounded sample of labelled rows (FIT_ROWS, the smallest by a seeded hash of doc_id, none of them held out) gives
-the distinct word features of each whole text. The features that differ most between the labels (score test, at most MOST_FEATURES) and
-the identity terms are kept. The loss is logistic, with a ridge and a counterfactual term: for each labelled text that
-names an identity term, the term is swapped for every other term of its group and the squared change of the logit is
-penalised, so that naming one group instead of another doesn't move the score. Newton steps run in one task, which holds
-the bounded sample's features only; the driver gets the weights. Texts with the same features count once. Only the text is
-ever an input of a score.
+the distinct words of each text. All words that differ between the labels (score test, LEAST_Z or more, in LEAST_DOCS texts or more)
+and the identity terms are features, however many there are; each is a word of its own. The loss is logistic, with a ridge and a
+counterfactual term: for each labelled text that names an identity term, the term is swapped for every other term of its group and
+the squared change of the logit is penalised, so that naming one group instead of another doesn't move the score. Newton steps, each solved by
+conjugate gradients over the texts' sparse rows, run in one task that holds the bounded sample's words only; the driver gets the
+weights, at most one for each word of the sample. Texts with the same words count once. Only the text is ever an input of a score.
 
-Scoring is one pass over all documents with a broadcast table of 2**BITS weights.
+Scoring is one pass over all documents with the broadcast weights; words are told apart by their bytes.
 
-Null or empty texts have no features: they get the score of the intercept. Labels that are null, or of documents that
+Null or empty texts have no words: they get the score of the intercept. Labels that are null, or of documents that
 don't exist, are ignored; of repeated labels the largest counts, of repeated doc_ids the smallest text is learned from,
 and each repeated row gets its score. A null doc_id is never held out. If the labels are of one class only, or none,
-the score is the smoothed share of label 1. Further columns are ignored.
+the score is the smoothed share of label 1. Further columns are ignored, and those named like a result are replaced. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,11 +32,8 @@ from rostrum.llm import wordbytes as wb
 from rostrum.llm.common import frugal
 
 FIT_ROWS = 12_000
-BITS = 20
 LEAST_DOCS = 4
 LEAST_Z = 4.0
-MOST_FEATURES = 512
-STRIP = 2_048
 RIDGE = 0.15
 COUNTERFACTUAL = 4.0
 
@@ -56,7 +54,7 @@ IDENTITY_TERMS = (
 
 @dataclass
 class Model:
-    weights: np.ndarray  # float32, by feature
+    weights: dict[str, float]
     bias: float
 
 
@@ -64,97 +62,123 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def feature(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def term_feature(term: str) -> int:
-    return int(feature(wb.words(pa.array([term])).hashes)[0])
-
-
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct words, sorted, one blank between them."""
     for batch in batches:
         for part in wb.pieces(batch, "text"):
-            w = wb.words(part.column("text"))
-            f = feature(w.hashes).astype(np.uint32)
-            sets = [np.unique(f[w.rows[i] : w.rows[i + 1]]).tobytes() for i in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(sets, pa.binary())], ["toxic", "features"])
+            spelled, lo, hi = wb.joined(w := wb.words(part.column("text")))
+            sets = [b" ".join(sorted(set(spelled[lo[s] : hi[e - 1]].split(b" ")))) if s < e else b"" for s, e in zip(w.rows[:-1], w.rows[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(sets, pa.binary())], ["toxic", "words"])
 
 
-def swaps(flat: np.ndarray, row: np.ndarray, n: int) -> dict[tuple[int, int], float]:
-    """How often one identity feature would be swapped for another over n texts; a term's swaps weigh 1 together.
+def swaps(word: np.ndarray, row: np.ndarray, n: int, number: dict[str, int]) -> dict[tuple[int, int], float]:
+    """How often one identity term would be swapped for another over n texts; a term's swaps weigh 1 together.
 
-    `flat`: the texts' distinct features, joined; `row`: the text of each.
+    `word`: numbers of the texts' distinct words, joined; `row`: the text of each; `number`: of the words that occur.
     """
     out: dict[tuple[int, int], float] = {}
     for group in IDENTITY_TERMS:
-        ids = sorted({term_feature(t) for t in group})
+        ids = sorted(number[t] for t in group if t in number)
         has = np.zeros((n, len(ids)))
         for j, x in enumerate(ids):
-            has[row[flat == x], j] = 1
-        times = has.T @ (1 - has) / max(len(ids) - 1, 1)
+            has[row[word == x], j] = 1
+        times = has.T @ (1 - has) / max(len(group) - 1, 1)
         out |= {(ids[i], ids[j]): float(times[i, j]) for i, j in np.argwhere(times > 0)}
     return out
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, counterfactual: float = COUNTERFACTUAL) -> tuple[np.ndarray, np.ndarray, float]:
-    """(features, their weights, bias): screened by the score test, then Newton steps; `features`: each text's distinct
-    feature numbers. The design matrix is one byte for each text and feature, and is taken STRIP texts at a time."""
+@dataclass
+class Problem:
+    """The loss over sparse rows: text row[i] holds feature at[i]; the last feature is the bias, which all texts hold.
+    swapped: pairs of features and the force that holds their weights together."""
+
+    row: np.ndarray
+    at: np.ndarray
+    labels: np.ndarray
+    width: int
+    swapped: list[tuple[int, int, float]]
+
+    def logits(self, w: np.ndarray) -> np.ndarray:
+        return np.clip(np.bincount(self.row, w[self.at], len(self.labels)), -30, 30)
+
+    def back(self, u: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, u[self.row], self.width)
+
+    def penalty(self, w: np.ndarray) -> np.ndarray:
+        """The gradient of the ridge and the counterfactual term, half of whose product with `w` is their value."""
+        out = RIDGE * w
+        out[-1] = 0
+        for i, j, force in self.swapped:
+            d = force * (w[i] - w[j])
+            out[i] += d
+            out[j] -= d
+        return out
+
+    def loss(self, w: np.ndarray) -> float:
+        m = self.logits(w)
+        return float((np.logaddexp(0, m) - self.labels * m).sum() + w @ self.penalty(w) / 2)
+
+    def gradient(self, w: np.ndarray) -> np.ndarray:
+        return self.back(1 / (1 + np.exp(-self.logits(w))) - self.labels) + self.penalty(w)
+
+    def solved(self, w: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """The Newton step for gradient `g` by conjugate gradients, scaled by the diagonal."""
+        p = 1 / (1 + np.exp(-self.logits(w)))
+        bend = p * (1 - p)
+        scale = self.back(bend) + RIDGE + 1e-9
+        for i, j, force in self.swapped:
+            scale[i] += force
+            scale[j] += force
+        x, r = np.zeros_like(g), g.copy()
+        z = r / scale
+        d, rz, enough = z, r @ z, 1e-8 * np.linalg.norm(g)
+        for _ in range(500):
+            if np.linalg.norm(r) <= enough:
+                break
+            h = self.back(bend * np.bincount(self.row, d[self.at], len(bend))) + self.penalty(d) + 1e-9 * d
+            step = rz / (d @ h)
+            x, r = x + step * d, r - step * h
+            z = r / scale
+            d, rz = z + (r @ z) / rz * d, r @ z
+        return x
+
+
+def fit(texts: list[list[str]], labels: np.ndarray, counterfactual: float = COUNTERFACTUAL) -> Model:
+    """Screened by the score test, then Newton steps; `texts`: each text's distinct words."""
     n = len(labels)
-    nothing = np.zeros(0, np.int64), np.zeros(0)
     share = (labels.sum() + 0.5) / (n + 1)
     bias = float(np.log(share / (1 - share)))
     if n == 0 or labels.min() == labels.max():
-        return *nothing, bias
-    flat = np.concatenate(features)
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in features])
-    often = np.bincount(flat, minlength=1 << BITS)
-    above = np.bincount(flat, (labels - share)[row], 1 << BITS)
+        return Model({}, bias)
+    coded = pa.array([w for t in texts for w in t], pa.string()).dictionary_encode()
+    words, word = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    row = np.repeat(np.arange(n), [len(t) for t in texts])
+    often = np.bincount(word, minlength=len(words))
+    above = np.bincount(word, (labels - share)[row], len(words))
     z = above / np.sqrt(share * (1 - share) * np.maximum(often * (1 - often / (n + 1)), 1e-9))
-    z[often < LEAST_DOCS] = 0
-    pairs = swaps(flat, row, n)
-    strong = np.argsort(-np.abs(z), kind="stable")[:MOST_FEATURES]
-    used = np.union1d(strong[np.abs(z[strong]) >= LEAST_Z], np.array([x for p in pairs for x in p], np.int64)).astype(np.int64)
-    place = np.full(1 << BITS, -1, np.int32)
+    pairs = swaps(word, row, n, {w: i for i, w in enumerate(words)})
+    used = np.union1d(np.flatnonzero((np.abs(z) >= LEAST_Z) & (often >= LEAST_DOCS)), np.array([x for p in pairs for x in p], np.int64)).astype(np.int64)
+    place = np.full(len(words), -1)
     place[used] = np.arange(len(used))
-    at = place[flat]
-    x = np.zeros((n, len(used) + 1), np.int8)
-    x[row[at >= 0], at[at >= 0]] = 1
-    x[:, -1] = 1
-    penalty = np.diag([RIDGE] * len(used) + [0.0])
-    for (a, b), count in pairs.items():
-        i, j = place[a], place[b]
-        force = 2 * counterfactual * count
-        penalty[i, i] += force
-        penalty[j, j] += force
-        penalty[i, j] -= force
-        penalty[j, i] -= force
-    strips = [slice(s, s + STRIP) for s in range(0, n, STRIP)]
-    logits = lambda w: np.concatenate([np.clip(x[s].astype(float) @ w, -30, 30) for s in strips])
+    at = place[word]
+    keep = at >= 0
+    swapped = [(int(place[a]), int(place[b]), 2 * counterfactual * count) for (a, b), count in pairs.items()]
+    problem = Problem(np.append(row[keep], np.arange(n)), np.append(at[keep], np.full(n, len(used))), labels, len(used) + 1, swapped)
     w = np.zeros(len(used) + 1)
     w[-1] = bias
-    loss = np.inf
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-logits(w)))
-        g, h = penalty @ w, penalty + 1e-9 * np.eye(len(w))
-        for s in strips:
-            d = x[s].astype(float)
-            g = g + d.T @ (p[s] - labels[s])
-            h += (d * (p[s] * (1 - p[s]))[:, None]).T @ d
-        step = np.linalg.solve(h, g)
+    loss = problem.loss(w)
+    for _ in range(60):
+        g = problem.gradient(w)
+        step = problem.solved(w, g)
         size = 1.0
-        while size > 1e-4:
-            new = w - size * step
-            m = logits(new)
-            now = float((np.logaddexp(0, m) - labels * m).sum() + new @ penalty @ new / 2)
-            if now <= loss + 1e-9:
-                break
+        while (now := problem.loss(w - size * step)) > loss and size > 1e-6:
             size /= 2
-        w = new
-        if loss - now < 1e-6 * n:
+        if now > loss:
+            break
+        w, gain, loss = w - size * step, loss - now, now
+        if gain < 1e-9 * n:
             break
-        loss = now
-    return used, w[:-1], float(w[-1])
+    return Model({words[i]: float(x) for i, x in zip(used, w[:-1], strict=True)}, float(w[-1]))
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
@@ -166,45 +190,37 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 
 def _fitted(counterfactual: float):
-    """The fit as one task: rows of feature and weight, the bias as feature -1."""
+    """The fit as one task: rows of word and weight, the bias as the null word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[bytes, int]] = []
         for b in batches:
-            rows += zip(b.column("features").to_pylist(), b.column("toxic").to_pylist(), strict=True)
+            rows += zip(b.column("words").to_pylist(), b.column("toxic").to_pylist(), strict=True)
         rows.sort()  # sums don't depend on the order in which rows come
-        used, weights, bias = fit([np.frombuffer(x, np.uint32) for x, _ in rows], np.array([float(t > 0) for _, t in rows]), counterfactual)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(weights, bias))], ["feature", "weight"])
+        model = fit([x.decode().split(" ") if x else [] for x, _ in rows], np.array([float(t > 0) for _, t in rows]), counterfactual)
+        yield pa.RecordBatch.from_arrays([pa.array([*model.weights, None], pa.string()), pa.array([*model.weights.values(), model.bias])], ["word", "weight"])
 
     return run
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, counterfactual: float = COUNTERFACTUAL) -> Model:
-    """Fitted in one task over at most `rows` rows; the driver gets MOST_FEATURES weights and those of the identity terms."""
-    found = sample(docs, labels, rows).select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(frugal(_features), "toxic int, features binary")
-    # texts with the same features count once
-    found = found.groupBy("features").agg(F.max("toxic").alias("toxic")).repartition(1)
-    weights = np.zeros(1 << BITS, np.float32)
-    bias = 0.0
-    for r in found.mapInArrow(frugal(_fitted(counterfactual)), "feature long, weight double").collect():
-        if r["feature"] < 0:
-            bias = r["weight"]
-        else:
-            weights[r["feature"]] = r["weight"]
-    return Model(weights, bias)
+    """Fitted in one task over at most `rows` rows; the driver gets the weights."""
+    found = sample(docs, labels, rows).select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(frugal(_word_sets), "toxic int, words binary")
+    # texts with the same words count once
+    found = found.groupBy(F.sha2("words", 256).alias("key")).agg(F.first("words").alias("words"), F.max("toxic").alias("toxic")).select("words", "toxic").repartition(1)
+    weights = {r["word"]: r["weight"] for r in found.mapInArrow(frugal(_fitted(counterfactual)), "word string, weight double").collect()}
+    return Model(weights, weights.pop(None, 0.0))
 
 
 def _score(shared, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
+        known = pa.array([w.encode() for w in model.weights], pa.large_binary())
+        weight = np.array([*model.weights.values(), 0.0])
         for batch in batches:
             for part in wb.pieces(batch, "text"):
-                w = wb.words(part.column("text"))
-                f = feature(w.hashes)
-                hit = np.flatnonzero(model.weights[f])
-                row = np.searchsorted(w.rows, hit, "right") - 1
-                pair = np.unique(row << BITS | f[hit])
-                logit = np.bincount(pair >> BITS, model.weights[pair & ((1 << BITS) - 1)].astype(float), part.num_rows) + model.bias
+                _, row, word, _ = wb.known_words(part.column("text"), known)
+                logit = np.bincount(row, weight[word], part.num_rows) + model.bias
                 score = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names), pa.array(score)], [*part.schema.names, name])
 

@@ -172,3 +172,27 @@ def grams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     keep = position <= np.maximum(np.repeat(count, count) - k, 0)
     each = np.where(count > 0, np.maximum(count - k + 1, 1), 0)
     return mix(sums[keep]), np.concatenate([[0], np.cumsum(each)])
+
+
+def known_words(column: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of words of each text, and for each known word in a text: the text, the word's place in `known`, how often).
+
+    Words are told apart by their bytes; each distinct one of the column is looked up once.
+    """
+    data, offsets = raw(column)
+    solid = IS_WORD[data]
+    begin = solid.copy()
+    begin[1:] &= ~solid[:-1]
+    edges = offsets[:-1][np.diff(offsets) > 0]
+    begin[edges] = solid[edges]
+    starts = np.flatnonzero(begin)
+    each = np.diff(np.searchsorted(starts, offsets))
+    if not len(starts):
+        return each, *(np.zeros(0, np.int64) for _ in range(3))
+    at = np.append(np.cumsum(solid)[starts] - 1, np.count_nonzero(solid)).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(LOWER[data[solid]])]).dictionary_encode()
+    place = pc.fill_null(pc.index_in(coded.dictionary, value_set=known), -1).to_numpy().astype(np.int64)
+    word = place[coded.indices.to_numpy()]
+    hit = word >= 0
+    pairs, times = np.unique(np.repeat(np.arange(len(each)), each)[hit] * len(known) + word[hit], return_counts=True)
+    return each, pairs // max(len(known), 1), pairs % max(len(known), 1), times
