@@ -93,7 +93,7 @@ def run(spark: SparkSession) -> dict[str, DataFrame]:
     both = units.unionByName(responses.select(F.lit(DOCKET).alias("docket_id"), F.col("response_id").alias("id"), F.concat_ws(" ", "comment_para", "response_para").alias("text")))
     weights = cut(linkage.tfidf(both), "weights")
     ours, theirs = weights.join(units.select("id"), "id"), weights.join(responses.select(F.col("response_id").alias("id")), "id")
-    clusters = linkage.clusters(ours, units.select("docket_id", "id"))
+    clusters = linkage.clusters(cut(linkage.tfidf(units), "weights"), units.select("docket_id", "id"))
     # pairs without a common term score 0: they count for the mean and deviation, so all pairs are filled in against the few responses
     scores = linkage.sparse_similarities(ours, theirs)
     filled = units.select(F.col("id").alias("x")).join(F.broadcast(responses.select(F.col("response_id").alias("y")))).join(scores, ["x", "y"], "left")

@@ -1,8 +1,8 @@
 """Similarity linkage of submissions to responses, and clusters of units, over unit vectors.
 
 Dense scoring meets all rows with a stated query set, the responses of the final documents, in broadcast blocks of at most
-MOST_RESPONSES, which are counted; a comment's scores stay in its row. Text similarity is an inverted-index join within a docket,
-for clusters with a prefix filter.
+MOST_RESPONSES, which are counted; a comment's scores stay in its row. Text similarity is an inverted-index join within a docket;
+clusters stand on reduced vectors (`semantic`).
 """
 
 from __future__ import annotations
@@ -10,20 +10,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from rostrum.operators.graph import linked
+from rostrum.operators.semantic import density_clusters, reduced
 from rostrum.storage import cut, small
 
 TOP = 3
 Z_MARGIN = 1.5
 LEAST_COSINE = 0.05
 Z_FROM = 4
-CLUSTER_COSINE = 0.30
-CLUSTER_SIZE = 3
 VOCABULARY = 60_000
 MOST_RESPONSES = 20_000
 MOST_MEANS = 2_000_000
@@ -120,10 +118,12 @@ def run_summary(units: DataFrame, links: DataFrame, responses: DataFrame, high:
 
 def tfidf(texts: DataFrame) -> DataFrame:
     """docket_id, id, term, w (unit length for each id) of (docket_id, id, text): unigrams and bigrams, 1 + log(tf), smooth idf, fitted jointly in each docket."""
-    words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)\b\w\w+\b", gaps=False).transform(texts)
-    kept = StopWordsRemover(inputCol="words", outputCol="kept").transform(words)
-    pairs = NGram(n=2, inputCol="kept", outputCol="pairs").transform(kept).withColumn("terms", F.concat("kept", "pairs")).select("docket_id", "id", "terms")
-    counts = pairs.select("docket_id", "id", F.explode("terms").alias("term")).groupBy("docket_id", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), 0)
+    stop = StopWordsRemover.loadDefaultStopWords("english")
+    kept = texts.select("docket_id", "id", F.filter(words, lambda w: ~w.isin(stop)).alias("kept"))
+    pairs = F.zip_with(F.slice("kept", 1, F.greatest(F.size("kept") - 1, F.lit(0))), F.slice("kept", 2, F.size("kept")), lambda a, b: F.concat_ws(" ", a, b))
+    terms = kept.select("docket_id", "id", F.concat("kept", pairs).alias("terms"))
+    counts = terms.select("docket_id", "id", F.explode("terms").alias("term")).groupBy("docket_id", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
     sizes = texts.groupBy("docket_id").agg(F.count(F.lit(1)).alias("n"))
     known = counts.groupBy("docket_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all"))
     known = known.withColumn("place", F.row_number().over(Window.partitionBy("docket_id").orderBy(F.desc("all"), "term"))).where(F.col("place") <= VOCABULARY)
@@ -140,57 +140,15 @@ def sparse_similarities(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, ["docket_id", "term"]).groupBy("docket_id", "x", "y").agg(F.sum(F.col("wx") * F.col("wy")).alias("score"))
 
 
-def _prefixes(weights: DataFrame, cosine: float) -> DataFrame:
-    """docket_id, id, term: the terms by which texts of a docket are paired.
-
-    Terms are ordered by how many texts have them, rarest first. A pair's score is at most the length of either vector
-    from the pair's rarest common term on, so that term is among those of both from which on at least `cosine` is left;
-    frequent terms after them make no pairs, and neither do terms of one text.
-    """
-    often = weights.groupBy("docket_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    left = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("docket_id", "id").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0))
-    # a little below, for sums of rounded squares
-    first = weights.join(often, ["docket_id", "term"]).withColumn("left", left).where((F.col("df") > 1) & (F.col("left") >= cosine * cosine - 1e-9))
-    return cut(first.select("docket_id", "id", "term"), "prefixes")
-
-
-def similar_pairs(weights: DataFrame, cosine: float = CLUSTER_COSINE) -> DataFrame:
-    """docket_id, x, y (x < y), score of a docket's pairs at `cosine` or more, scored on all their terms.
-
-    All pairs: `connected` is for those that need the components only.
-    """
-    first = _prefixes(weights, cosine)
-    x, y = (first.select("docket_id", "term", F.col("id").alias(c)) for c in ("x", "y"))
-    pairs = x.join(y, ["docket_id", "term"]).where("x < y").select("docket_id", "x", "y").distinct()
-    wx, wy = (weights.select("docket_id", F.col("id").alias(c), "term", F.col("w").alias(f"w{c}")) for c in ("x", "y"))
-    scored = pairs.join(wx, ["docket_id", "x"]).join(wy, ["docket_id", "y", "term"]).groupBy("docket_id", "x", "y").agg(F.sum(F.col("wx") * F.col("wy")).alias("score"))
-    return scored.where(F.col("score") >= cosine)
-
-
-def connected(weights: DataFrame, cosine: float = CLUSTER_COSINE) -> DataFrame:
-    """docket_id, id, root: components of `similar_pairs`, without a row for each pair of a cluster."""
-    rows = _prefixes(weights, cosine).select(F.struct("docket_id", "term").alias("bucket"), F.struct("docket_id", "id").alias("node"), F.lit(0).alias("n"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        wa, wb = (weights.select(F.struct("docket_id", "id").alias(c), "term", F.col("w").alias(f"w{c}")) for c in ("a", "b"))
-        scored = pairs.select("a", "b").join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
-        return pairs.join(scored.where(F.col("score") >= cosine).select("a", "b"), ["a", "b"])
-
-    return linked(rows, rows, verify).select("node.docket_id", "node.id", F.col("root.id").alias("root"))
-
-
-def clusters(weights: DataFrame, ids: DataFrame, cosine: float = CLUSTER_COSINE, least: int = CLUSTER_SIZE) -> DataFrame:
-    """docket_id, id, cluster_id (-1: alone), is_medoid of `ids` (docket_id, id): components of a docket's pairs at `cosine` or more with at least `least` members."""
-    enough = ids.groupBy("docket_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2 * least, 6)).select("docket_id")
-    roots = cut(connected(weights.join(enough, "docket_id", "left_semi"), cosine), "roots")
-    sized = roots.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("docket_id", "root"))).where(F.col("of") >= least)
-    numbered = sized.withColumn("cluster_id", F.dense_rank().over(Window.partitionBy("docket_id").orderBy("root")) - 1)
-    # v . mean of the members, from the pairs: the medoid is the largest, the smallest id among equals
-    centroid = numbered.select("docket_id", "id", "cluster_id", "of").join(weights, ["docket_id", "id"]).groupBy("docket_id", "cluster_id", "term").agg((F.sum("w") / F.first("of")).alias("c"))
-    scored = numbered.select("docket_id", "id", "cluster_id").join(weights, ["docket_id", "id"]).join(centroid, ["docket_id", "cluster_id", "term"]).groupBy("docket_id", "cluster_id", "id").agg(F.sum(F.col("w") * F.col("c")).alias("s"))
-    medoids = scored.groupBy("docket_id", "cluster_id").agg(F.min_by("id", F.struct(-F.col("s"), "id")).alias("medoid"))
-    joined = ids.join(numbered.select("docket_id", "id", "cluster_id"), ["docket_id", "id"], "left").join(medoids, ["docket_id", "cluster_id"], "left")
-    return joined.select("docket_id", "id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), F.coalesce(F.col("id") == F.col("medoid"), F.lit(False)).alias("is_medoid"))
+def clusters(weights: DataFrame, ids: DataFrame, method: Callable[[DataFrame], DataFrame] = density_clusters) -> DataFrame:
+    """docket_id, id, cluster_id (-1: alone), is_medoid of `ids` (docket_id, id): clusters of the reduced `tfidf` vectors of each docket, by
+    `method`, and of each cluster the member nearest its mean. Units without terms are alone."""
+    vectors = cut(reduced(weights), "vectors")
+    found = cut(method(vectors), "clusters").where("cluster_id >= 0")
+    label = F.struct("docket_id", "cluster_id").alias("label")
+    best = medoids(found.join(vectors, ["docket_id", "id"]).select(label, "id", "vector")).select("label.docket_id", F.col("medoid").alias("id"), F.lit(True).alias("is_medoid"))
+    joined = ids.join(found, ["docket_id", "id"], "left").join(best, ["docket_id", "id"], "left")
+    return joined.select("docket_id", "id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), F.coalesce("is_medoid", F.lit(False)).alias("is_medoid"))
 
 
 def cached_vectors(texts: DataFrame, backend: str, path: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rostrum.catalog import Catalog
 from rostrum.functions import text as tx
-from rostrum.operators import campaigns, console, linkage, metrics, parsing, usage, watch
+from rostrum.operators import campaigns, console, linkage, metrics, parsing, semantic, usage, watch
 from rostrum.plans import relations as rel
 from rostrum.plans.relations import with_ctes
 from rostrum.sources.tables import Tables
@@ -528,13 +528,30 @@ def _(spark, d):
     return linkage.medoids(e).select("label", F.col("medoid"), F.round("score", 5).alias("s"))
 
 
+def _units(spark, d):
+    units = rel.comments(spark, d).join(rel.dedup(spark, d).drop("docket_id"), "comment_id").where("campaign_id is null or is_exemplar")
+    return units.select("docket_id", F.col("comment_id").alias("id"), F.col("full_text").alias("text"))
+
+
+@query("M1_reduced_vectors")
+def _(spark, d):
+    return semantic.reduced(cut(linkage.tfidf(_units(spark, d)), "weights"))
+
+
 @query("M1_M3_M4_clusters")
 def _(spark, d):
-    units = rel.comments(spark, d).join(rel.dedup(spark, d).drop("docket_id"), "comment_id").where("campaign_id is null or is_exemplar")
-    texts = units.select("docket_id", F.col("comment_id").alias("id"), F.col("full_text").alias("text"))
+    texts = _units(spark, d)
     return linkage.clusters(cut(linkage.tfidf(texts), "weights"), texts.select("docket_id", "id"))
 
 
+@query("M3_average_linkage")
+def _(spark, d):
+    """On the given vectors, a docket for each label."""
+    e = rel.base(spark, d, "embeddings").select(F.col("label").cast("string").alias("docket_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
+    return semantic.average_linkage(e.withColumn("vector", F.transform("vector", lambda x: x.cast("double") / length)))
+
+
 # parsing
 
 
