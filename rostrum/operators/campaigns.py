@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions import text as tx
 from rostrum.operators.graph import linked
+from rostrum.operators.ranks import ranked
 from rostrum.storage import cut
 
 NEAR = 0.85
@@ -93,17 +94,27 @@ def containment_edges(pairs: DataFrame, threshold: float = CONTAINED) -> DataFra
     return pairs.where(fit & (F.col("shared") >= threshold * F.col("nx")))
 
 
+def placed(reps: DataFrame) -> DataFrame:
+    """The `families` with the root of their component, which is their own where they are alone."""
+    return reps.join(cut(connected(reps), "parts"), ["docket_id", "rep_id"], "left").withColumn("root", F.coalesce("root", "rep_id"))
+
+
+def numbered(roots: DataFrame) -> DataFrame:
+    """`roots` (docket_id, root, ..) with campaign_id: C0001 and so on in order of the roots of each docket."""
+    names = ranked(roots.select("docket_id", "root"), ["docket_id"], [F.col("root")], "number")
+    return roots.join(names, ["docket_id", "root"]).withColumn("campaign_id", F.format_string("C%04d", F.col("number"))).drop("number")
+
+
 def detect(comments: DataFrame) -> DataFrame:
     """The dedup table: docket_id, comment_id, exact_hash, campaign_id (null: alone), is_exemplar, template_ratio, insert_text."""
     hashed = cut(fingerprints(comments), "fingerprints")
     reps = cut(families(hashed), "families")
-    parts = cut(connected(reps), "parts")
-    placed = reps.join(parts, ["docket_id", "rep_id"], "left").withColumn("root", F.coalesce("root", "rep_id"))
-    whole = placed.groupBy("docket_id", "root").agg(
+    parts = placed(reps)
+    whole = parts.groupBy("docket_id", "root").agg(
         F.sum("n").alias("size"), F.min_by("rep_id", F.struct(F.length("full_text"), "rep_id")).alias("exemplar_id"), F.min_by("full_text", F.struct(F.length("full_text"), "rep_id")).alias("exemplar")
     )
-    named = whole.where("size > 1").withColumn("campaign_id", F.format_string("C%04d", F.row_number().over(Window.partitionBy("docket_id").orderBy("root"))))
-    member = placed.select("docket_id", "exact_hash", "root").join(named, ["docket_id", "root"])
+    named = numbered(cut(whole.where("size > 1"), "campaigns"))
+    member = parts.select("docket_id", "exact_hash", "root").join(named, ["docket_id", "root"])
     joined = hashed.join(member, ["docket_id", "exact_hash"], "left")
     own = F.col("comment_id") == F.col("exemplar_id")
     # a UDF sees every row, whatever stands around it: texts that need no comparison are passed as nulls

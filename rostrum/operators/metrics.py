@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as tx
-from rostrum.storage import small
+from rostrum.operators.ranks import median, null_safe, order_statistic, ranked
+from rostrum.storage import cut, small
+
+#: Figures of up to so many dockets are broadcast to their units.
+DOCKETS = 100_000
 
 #: The reporting bands of significance.
 BANDS = ((0, 19), (20, 39), (40, 59), (60, 79), (80, 100))
@@ -27,17 +31,25 @@ def is_answered() -> Column:
     return F.col("response_id").isNotNull()
 
 
+def of_docket(rows: DataFrame, figures: DataFrame) -> DataFrame:
+    """`rows` with the figures of their docket, if it has any; a null docket is one like others."""
+    return rows.join(small(null_safe(figures, ["docket_id"]), DOCKETS), F.col("docket_id").eqNullSafe(F.col("_of_docket_id")), "left").drop("_of_docket_id")
+
+
 def shape(units: DataFrame) -> DataFrame:
     """Per docket: units, analysed, with attachments, campaigns, median length, linked, response rate."""
-    return units.groupBy("docket_id").agg(
+    units = cut(units.select("docket_id", "significance", "n_attachments", "campaign_id", "n_chars", "response_id"), "units")
+    found = units.groupBy("docket_id").agg(
         F.count(F.lit(1)).alias("units"),
         F.count("significance").alias("analyzed"),
         F.count_if(F.col("n_attachments") > 0).alias("with_attachments"),
         F.count("campaign_id").alias("campaigns"),
-        F.floor(F.percentile("n_chars", 0.5)).cast("long").alias("median_chars"),
         F.count("response_id").alias("linked"),
         F.round(F.avg(is_answered().cast("double")), 4).alias("response_rate"),
     )
+    middle = median(units, ["docket_id"], F.col("n_chars"), "middle")
+    joined = of_docket(found, cut(middle, "medians"))
+    return joined.select("docket_id", "units", "analyzed", "with_attachments", "campaigns", F.floor("middle").cast("long").alias("median_chars"), "linked", "response_rate")
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:
@@ -93,16 +105,17 @@ def orphans(responses: DataFrame, documents: DataFrame, linkage: DataFrame) -> D
     return own.join(linked, "response_id", "left_anti").groupBy("docket_id").agg(F.count(F.lit(1)).alias("orphans"))
 
 
+def _moved(diffs: DataFrame) -> DataFrame:
+    return diffs.where(F.col("change_kind").isin(*CHANGED)).select("docket_id", "section", F.coalesce("magnitude", F.lit(0.0)).alias("magnitude"))
+
+
 def diff_summary(diffs: DataFrame) -> DataFrame:
     """Base rates of section changes; the median is the upper one."""
     moved = F.col("change_kind").isin(*CHANGED)
-    w = Window.partitionBy("docket_id").orderBy("m", "section")
-    ranked = diffs.withColumn("m", F.when(moved, F.coalesce("magnitude", F.lit(0.0)))).where(moved)
-    ranked = ranked.withColumn("place", F.row_number().over(w)).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("docket_id")))
-    median = ranked.where("place = of div 2 + 1").select("docket_id", F.round("m", 4).alias("median_magnitude"))
+    middle = order_statistic(_moved(diffs), ["docket_id"], F.col("magnitude"), F.floor(F.col("n") / 2) + 1).select("docket_id", F.round("value", 4).alias("median_magnitude"))
     agg = diffs.groupBy("docket_id").agg(F.count(F.lit(1)).alias("sections"), F.count_if(moved).alias("changed"))
     rate = F.col("changed") / F.col("sections")
-    return agg.join(median, "docket_id", "left").select(
+    return of_docket(agg, cut(middle, "medians")).select(
         "docket_id", "sections", "changed", F.round(rate, 4).alias("change_rate"), F.coalesce("median_magnitude", F.lit(0.0)).alias("median_magnitude"),
         (rate < DISCRIMINATING).alias("discriminating"),
     )
@@ -110,19 +123,16 @@ def diff_summary(diffs: DataFrame) -> DataFrame:
 
 def standout_floor(diffs: DataFrame) -> DataFrame:
     """docket_id, floor: on a wholesale rewrite, the magnitude that a section must reach to count as evidence."""
-    moved = diffs.where(F.col("change_kind").isin(*CHANGED)).select("docket_id", "section", F.coalesce("magnitude", F.lit(0.0)).alias("m"))
-    ranked = moved.withColumn("place", F.row_number().over(Window.partitionBy("docket_id").orderBy("m", "section"))).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("docket_id")))
-    at = ranked.where(F.col("place") == F.floor(F.col("of") * STANDOUT) + 1).select("docket_id", "m", "of")
+    at = order_statistic(_moved(diffs), ["docket_id"], F.col("magnitude"), F.floor(F.col("n") * STANDOUT) + 1)
     totals = diffs.groupBy("docket_id").agg(F.count(F.lit(1)).alias("sections"))
-    wholesale = (F.col("of") / F.col("sections") >= DISCRIMINATING) & (F.col("of") >= 4)
-    return totals.join(at, "docket_id", "left").select("docket_id", F.when(wholesale, F.col("m")).otherwise(0.0).alias("floor"))
+    wholesale = (F.col("n") / F.col("sections") >= DISCRIMINATING) & (F.col("n") >= 4)
+    return of_docket(totals, cut(at, "floors")).select("docket_id", F.when(wholesale, F.col("value")).otherwise(0.0).alias("floor"))
 
 
 def outcome_map(units: DataFrame, diffs: DataFrame) -> DataFrame:
     """docket_id, comment_id, n, top_magnitude: cited sections that changed by the floor or more."""
     cited = units.select("docket_id", "comment_id", F.explode(tx.json_list(F.col("provisions"))).alias("p")).withColumn("section", tx.section_of(F.col("p"))).where("section is not null")
-    moved = diffs.where(F.col("change_kind").isin(*CHANGED)).select("docket_id", "section", F.coalesce("magnitude", F.lit(0.0)).alias("magnitude"))
-    hits = cited.join(moved, ["docket_id", "section"]).join(small(standout_floor(diffs), 100_000), "docket_id").where("magnitude >= floor")
+    hits = cited.join(_moved(diffs), ["docket_id", "section"]).join(small(cut(standout_floor(diffs), "floors"), DOCKETS), "docket_id").where("magnitude >= floor")
     return hits.groupBy("docket_id", "comment_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("magnitude"), 3).alias("top_magnitude"))
 
 
@@ -157,14 +167,13 @@ def ledger(units: DataFrame, campaign_sizes: DataFrame, by: str = "unanswered")
     """The units of each docket in order: "unanswered" first, then by significance and campaign size; by "weight", the
     campaign size; or by "significance". The bar is the size as a share of the largest."""
     joined = units.join(campaign_sizes, ["docket_id", "campaign_id"], "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
-    top = F.max("size").over(Window.partitionBy("docket_id"))
+    joined = cut(joined.select("docket_id", "comment_id", who().alias("who"), "size", "significance", is_answered().alias("answered")), "ledger")
     weight, significance = F.desc("size"), F.desc(F.coalesce("significance", F.lit(0)))
-    orders = {"unanswered": [is_answered().cast("int"), significance, weight], "weight": [weight], "significance": [significance]}
-    order = Window.partitionBy("docket_id").orderBy(*orders[by], "comment_id")
-    return joined.select(
-        "docket_id", "comment_id", who().alias("who"), "size", "significance", is_answered().alias("answered"),
-        F.greatest(F.lit(2), F.round(100 * F.col("size") / top)).cast("long").alias("bar"), F.row_number().over(order).cast("long").alias("place"),
-    )
+    orders = {"unanswered": [F.col("answered").cast("int"), significance, weight], "weight": [weight], "significance": [significance]}
+    placed = ranked(joined, ["docket_id"], [*orders[by], F.col("comment_id")], "place")
+    top = cut(joined.groupBy("docket_id").agg(F.max("size").alias("top")), "tops")
+    bar = F.greatest(F.lit(2), F.round(100 * F.col("size") / F.col("top"))).cast("long")
+    return of_docket(placed, top).select("docket_id", "comment_id", "who", "size", "significance", "answered", bar.alias("bar"), F.col("place").cast("long").alias("place"))
 
 
 def campaign_sizes(dedup: DataFrame) -> DataFrame:

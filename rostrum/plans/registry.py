@@ -96,11 +96,23 @@ root as (select x, min(y) as root from r group by x)
 select root, count(*) as reps, cast(sum(n) as bigint) as size from root join fam on rep = x group by root having sum(n) > 1""",
 )
 def _(spark, d):
-    reps = campaigns.families(campaigns.fingerprints(_whole(spark, d)))
-    placed = reps.join(campaigns.connected(reps), ["docket_id", "rep_id"], "left").withColumn("root", F.coalesce("root", "rep_id"))
+    placed = campaigns.placed(campaigns.families(campaigns.fingerprints(_whole(spark, d))))
     return placed.groupBy("root").agg(F.count(F.lit(1)).alias("reps"), F.sum("n").alias("size")).where("size > 1")
 
 
+@query(
+    "W3_campaign_numbers",
+    f"""with recursive {_PAIRS}, e as (select x, y from jac union select y, x from jac union select x, y from con union select y, x from con),
+r(x, y) as (select rep, rep from fam union select r.x, e.y from r join e on r.y = e.x),
+root as (select x, min(y) as root from r group by x),
+named as (select root, cast(sum(n) as bigint) as size from root join fam on rep = x group by root having sum(n) > 1)
+select root, size, 'C' || lpad(cast(row_number() over (order by root) as varchar), 4, '0') as campaign_id from named""",
+)
+def _(spark, d):
+    placed = campaigns.placed(campaigns.families(campaigns.fingerprints(_whole(spark, d))))
+    return campaigns.numbered(cut(placed.groupBy("docket_id", "root").agg(F.sum("n").alias("size")).where("size > 1"), "campaigns")).select("root", "size", "campaign_id")
+
+
 @query("W4_T6_A15_dedup_table")
 def _(spark, d):
     return campaigns.detect(rel.comments(spark, d))
