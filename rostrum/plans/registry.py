@@ -6,13 +6,14 @@ Names start with the ids of the operator inventory that a query covers.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.catalog import Catalog
 from rostrum.functions import text as tx
-from rostrum.operators import campaigns, console, linkage, metrics, parsing, semantic, usage, watch
+from rostrum.operators import campaigns, console, linkage, metrics, parsing, semantic, textdiff, usage, watch
 from rostrum.plans import relations as rel
 from rostrum.plans.relations import with_ctes
 from rostrum.sources.tables import Tables
@@ -420,24 +421,60 @@ def _(spark, d):
 
 @query(
     "A25_U1_U3_sets",
-    """select source, 'both' as kind from (select source from documents where lang = 'en' intersect select source from documents where lang = 'fr')
-union all select source, 'english only' as kind from (select source from documents where lang = 'en' except select source from documents where lang = 'fr')""",
+    """with l as (select source, lang from documents where doc_id in (select doc_id from labels)), u as (select source, lang from documents where doc_id not in (select doc_id from labels))
+select source, lang, 'both' as kind from (select * from l intersect select * from u) union all select source, lang, 'labelled only' as kind from (select * from l except select * from u)
+union all select source, lang, 'unlabelled only' as kind from (select * from u except select * from l)""",
 )
 def _(spark, d):
-    docs = rel.base(spark, d, "documents")
-    en, fr = (docs.where(F.col("lang") == k).select("source") for k in ("en", "fr"))
-    return en.intersect(fr).withColumn("kind", F.lit("both")).unionAll(en.subtract(fr).withColumn("kind", F.lit("english only")))
+    docs, labels = rel.base(spark, d, "documents"), rel.base(spark, d, "labels").select("doc_id")
+    labelled, rest = (docs.join(labels, "doc_id", how).select("source", "lang") for how in ("left_semi", "left_anti"))
+    kinds = {"both": labelled.intersect(rest), "labelled only": labelled.subtract(rest), "unlabelled only": rest.subtract(labelled)}
+    return reduce(DataFrame.unionAll, (df.withColumn("kind", F.lit(k)) for k, df in kinds.items()))
 
 
 @query(
     "J10_U1_section_union",
-    with_ctes("textdiff", """select coalesce(a.section, b.section) as section, case when a.section is null then 'added' when b.section is null then 'removed' else 'both' end as kind
-from (select section from textdiff where docket_id = 'src1') a full join (select section from textdiff where docket_id = 'src2') b on a.section = b.section"""),
+    with_ctes("textdiff", """n as (select cast(substr(docket_id, 4) as int) as docket, section from textdiff)
+select coalesce(a.docket, b.docket) as docket, coalesce(a.section, b.section) as section, case when a.section is null then 'added' when b.section is null then 'removed' else 'both' end as kind
+from n a full join (select (docket + 19) % 20 as docket, section from n) b on a.section = b.section and a.docket = b.docket"""),
 )
 def _(spark, d):
-    t = rel.textdiff(spark, d)
-    a, b = (t.where(F.col("docket_id") == k).select("section", F.lit(1).alias(n)) for k, n in (("src1", "a"), ("src2", "b")))
-    return a.join(b, "section", "full").select("section", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("both").alias("kind"))
+    """Each docket's sections with the next one's."""
+    n = rel.textdiff(spark, d).select(F.substring("docket_id", 4, 9).cast("int").alias("docket"), "section")
+    a, b = n.withColumn("a", F.lit(1)), n.select(((F.col("docket") + 19) % 20).alias("docket"), "section", F.lit(1).alias("b"))
+    return a.join(b, ["docket", "section"], "full").select("docket", "section", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("both").alias("kind"))
+
+
+def _two_versions(spark, d):
+    """The documents in pairs of ids, 20 dockets of sections: the first of a pair is the proposal, the second the final text."""
+    i = F.col("doc_id")
+    k = F.floor(i / 2)
+    section = F.concat((1 + F.floor(k / 20 / 900)).cast("string"), F.lit("."), (F.floor(k / 20) % 900).cast("string"))
+    docs = rel.base(spark, d, "documents").select(F.concat(F.lit("src"), (k % 20).cast("string")).alias("docket_id"), section.alias("section"), F.col("text").alias("body"), (i % 2).alias("version"))
+    return docs.where("version = 0").drop("version"), docs.where("version = 1").drop("version")
+
+
+@query("J10_T7_compare")
+def _(spark, d):
+    return textdiff.compare(*_two_versions(spark, d))
+
+
+def _rule_texts(spark, d):
+    """Each document as a rule of two sections, the second of which stands twice."""
+    i = F.col("doc_id")
+    number = F.concat((1 + i % 9).cast("string"), F.lit("."), (i % 30).cast("string"))
+    text = F.concat(F.lit("Preamble of § 9.9 and more.\nList of Subjects\n§ "), number, F.lit("  Purpose.\n"), F.coalesce("text", F.lit("")), F.lit("\n§ "), number, F.lit("1\nScope.\nShort.\n§ "), number, F.lit("1\nScope.\nLonger text.\n"))
+    return rel.base(spark, d, "documents").select(i.cast("string").alias("docket_id"), text.alias("text"))
+
+
+@query("T8_T9_W10_sections")
+def _(spark, d):
+    return textdiff.split(_rule_texts(spark, d))
+
+
+@query("T10_diagnosis")
+def _(spark, d):
+    return _rule_texts(spark, d).select("docket_id", parsing.diagnosis("text").alias("d")).select("docket_id", "d.*")
 
 
 @query(
@@ -451,6 +488,23 @@ def _(spark, d):
 # usage
 
 
+@query(
+    "K6_record",
+    """select ts, event_type as service, substr('/v4/' || repeat(props, 9), 1, 120) as endpoint, 200 + event_id % 3 as status, case when event_id % 3 = 0 then cast(event_id % 1000 as int) end as remaining,
+  case when event_id % 4 <> 1 then 1000 end as limit_total, case when event_id % 5 <> 0 then 'alpha-1' end as model, case when event_id % 7 = 0 then 0 else cast(user_id as bigint) end as tokens_in, event_id % 77 as tokens_out from events""",
+)
+def _(spark, d):
+    i = F.col("event_id")
+    headers = F.create_map(
+        F.lit("X-RateLimit-Remaining"), F.when(i % 3 == 0, (i % 1000).cast("string")).otherwise("n/a"),
+        F.when(i % 2 == 0, "x-ratelimit-limit").otherwise("X-RateLimit-Limit"), F.when(i % 4 == 1, "").otherwise("1000"),
+    )
+    return usage.record(rel.base(spark, d, "events").select(
+        "ts", F.col("event_type").alias("service"), F.concat(F.lit("/v4/"), F.repeat("props", 9)).alias("endpoint"), (200 + i % 3).alias("status"), headers.alias("headers"),
+        F.when(i % 5 == 0, "").otherwise("alpha-1").alias("model"), F.when(i % 7 != 0, F.col("user_id").cast("long")).alias("tokens_in"), (i % 77).alias("tokens_out"),
+    ))
+
+
 @query("W15_recent_calls", with_ctes("api_calls", "select ts, service, endpoint from api_calls order by ts desc, service, endpoint limit 25"))
 def _(spark, d):
     return usage.recent(rel.api_calls(spark, d)).select("ts", "service", "endpoint")
