@@ -1,15 +1,17 @@
 """Similarity linkage of submissions to responses, and clusters of units, over unit vectors.
 
 Dense scoring meets all rows with a stated query set, the responses of the final documents, in broadcast blocks of at most
-MOST_RESPONSES, which are counted; a comment's scores stay in its row. Text similarity is an inverted-index join within a docket;
+MOST_VALUES numbers, which are counted; a comment's scores stay in its row. Text similarity is an inverted-index join within a docket;
 clusters stand on reduced vectors (`semantic`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +25,9 @@ Z_MARGIN = 1.5
 LEAST_COSINE = 0.05
 Z_FROM = 4
 VOCABULARY = 60_000
-MOST_RESPONSES = 20_000
+#: Numbers in a broadcast block of responses, and scores in a task at a time.
+MOST_VALUES = 4_000_000
+STRIP = 2_000_000
 MOST_MEANS = 2_000_000
 
 
@@ -31,35 +35,73 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+PARTIAL = "comment_id {0}, n long, total double, squares double, best array<struct<below: double, response_id: {1}>>"
+
+
+def _scored(shared, top: int):
+    """What one block of responses, in order of their ids, makes of each comment, a few comments at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = shared.value
+        ids = pa.array(ids)
+        step = max(1, STRIP // max(len(matrix), 1))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                vectors = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                # equal vectors have equal scores, whatever way the product is taken
+                scores = np.round(vectors @ matrix.T, 12)
+                k = min(top, scores.shape[1])
+                # of equal scores the first ids: all that reach the k-th are put in order
+                least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                row, at = np.nonzero(scores >= least[:, None])
+                order = np.lexsort((at, -scores[row, at], row))
+                row, at = row[order], at[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, at = row[first], at[first]
+                best = pa.StructArray.from_arrays([pa.array(-scores[row, at]), ids.take(pa.array(at))], ["below", "response_id"])
+                offsets = pa.array(np.arange(0, len(row) + 1, k), pa.int32())
+                n = pa.array(np.full(part.num_rows, scores.shape[1]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("comment_id"), n, pa.array(scores.sum(axis=1)), pa.array((scores * scores).sum(axis=1)), pa.ListArray.from_arrays(offsets, best)],
+                    ["comment_id", "n", "total", "squares", "best"],
+                )
+
+    return run
+
+
 def _partial(comments: DataFrame, responses: DataFrame, top: int) -> DataFrame:
-    """comment_id, n, total, squares, best: what one block of responses makes of each comment, within its row."""
-    packed = responses.agg(F.collect_list(F.struct("response_id", F.col("vector").alias("r"))).alias("set"))
-    places = F.array_sort(F.transform("set", lambda s: F.struct((-dot(F.col("vector"), s["r"])).alias("below"), s["response_id"].alias("response_id"))))
-    scored = comments.select("comment_id", "vector").join(F.broadcast(packed)).select("comment_id", places.alias("places"))
-    add = lambda f: F.aggregate("places", F.lit(0.0), lambda t, p: t + f(p["below"]))
-    return scored.select("comment_id", F.size("places").alias("n"), (-add(lambda x: x)).alias("total"), add(lambda x: x * x).alias("squares"), F.slice("places", 1, top).alias("best"))
+    """comment_id, n, total, squares, best: of a block of responses, which goes to the tasks as one matrix."""
+    rows = responses.select("response_id", "vector").sort("response_id").collect()
+    shared = comments.sparkSession.sparkContext.broadcast(([r["response_id"] for r in rows], np.array([r["vector"] for r in rows], np.float64)))
+    kinds = (df.schema[c].dataType.simpleString() for df, c in ((comments, "comment_id"), (responses, "response_id")))
+    return comments.select("comment_id", "vector").mapInArrow(_scored(shared, top), PARTIAL.format(*kinds))
 
 
 def link(comments: DataFrame, responses: DataFrame, top: int = 1) -> DataFrame:
     """comment_id, response_id, score, place: the best responses of each comment, as `best_links` gives them, from vectors.
 
-    All rows (comment_id, vector) meet the response set (response_id, vector). A block of at most MOST_RESPONSES, which is
-    counted, is broadcast, and a comment's scores stay in its row: with one block nothing is shuffled, with more only
-    the blocks' sums and first places are. Comment ids are unique; a null vector has no score and no link.
+    All rows (comment_id, vector) meet the response set (response_id, vector). A block of responses has at most MOST_VALUES numbers, which are
+    counted; it is broadcast, and a comment's scores stay in its row: with one block nothing is shuffled, with more only
+    the blocks' sums and first places are. Comment ids are unique, vectors of one length; a null vector has no score and no link.
     """
-    blocks = -(-responses.count() // MOST_RESPONSES) or 1
     comments, responses = (x.where("vector is not null") for x in (comments, responses))
+    values = responses.agg(F.sum(F.size("vector").cast("long"))).first()[0]
+    if not values:
+        kinds = (df.schema[c].dataType.simpleString() for df, c in ((comments, "comment_id"), (responses, "response_id")))
+        return comments.sparkSession.createDataFrame([], "comment_id {}, response_id {}, score double, place int".format(*kinds))
+    blocks = -(-values // MOST_VALUES)
     if blocks == 1:
         found = _partial(comments, responses, top)
     else:
         block = F.pmod(F.xxhash64("response_id"), F.lit(blocks))
-        found = reduce(DataFrame.unionByName, (_partial(comments, responses.where(block == b), top) for b in range(blocks)))
+        found = reduce(DataFrame.unionByName, (_partial(comments, part, top) for b in range(blocks) if (part := responses.where(block == b)).limit(1).count()))
         found = found.groupBy("comment_id").agg(
             F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"),
             F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, top).alias("best"),
         )
     mu = F.col("total") / F.col("n")
-    stats = found.where("n > 0").select("comment_id", "n", mu.alias("mu"), F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("n") - mu * mu)).alias("sd"), "best")
+    stats = found.select("comment_id", "n", mu.alias("mu"), F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("n") - mu * mu)).alias("sd"), "best")
     rows = stats.select("comment_id", "n", "mu", "sd", F.posexplode("best").alias("p", "b"))
     rows = rows.select("comment_id", "n", "mu", "sd", F.col("b.response_id").alias("response_id"), (-F.col("b.below")).alias("score"), (F.col("p") + 1).alias("place"))
     return rows.where((F.col("score") >= LEAST_COSINE) & ~_weak(F.col("n"), F.col("mu"), F.col("sd"))).select("comment_id", "response_id", "score", "place")

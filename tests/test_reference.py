@@ -170,7 +170,7 @@ def test_links_in_blocks_and_of_odd_vectors(spark, sf, monkeypatch):
     scores = e.crossJoin(asked.withColumnRenamed("vector", "r")).select("comment_id", "response_id", linkage.dot(F.col("vector"), F.col("r")).alias("score"))
     whole = rows(linkage.link(e, asked, 3))
     assert whole == rows(linkage.best_links(scores, 3))
-    monkeypatch.setattr(linkage, "MOST_RESPONSES", 3)
+    monkeypatch.setattr(linkage, "MOST_VALUES", 9)
     assert whole == rows(linkage.link(e, asked, 3))
     odd = spark.createDataFrame([(1, None), (2, [0.0, 0.0]), (3, [1.0, 0.0])], "comment_id long, vector array<float>")
     two = odd.select(F.col("comment_id").alias("response_id"), "vector")
