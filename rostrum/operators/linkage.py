@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,9 @@ Z_MARGIN = 1.5
 LEAST_COSINE = 0.05
 Z_FROM = 4
 VOCABULARY = 60_000
+#: Terms of all vocabularies that are broadcast as keys, and dockets whose figures are.
+KEYS = 2_000_000
+DOCKETS = 100_000
 #: Numbers in a broadcast block of responses, and scores in a task at a time.
 MOST_VALUES = 4_000_000
 STRIP = 2_000_000
@@ -158,19 +162,65 @@ def run_summary(units: DataFrame, links: DataFrame, responses: DataFrame, high:
     )
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text its distinct terms and how often it has them."""
+    for batch in batches:
+        size = pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False)
+        term, row = batch.column("terms").flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((term, row))
+        term, row = term[order], row[order]
+        first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (row[1:] != row[:-1]))) if len(term) else np.zeros(0, np.int64)
+        at = pa.array(np.searchsorted(row[first], np.arange(len(size) + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (term[first], np.diff(np.append(first, len(term))))]
+        yield pa.RecordBatch.from_arrays([batch.column("docket_id"), batch.column("id"), *lists], ["docket_id", "id", "terms", "times"])
+
+
+def _among(shared):
+    """Of each text the terms whose keys are in a sorted array; keys tell dockets apart as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            size = pc.list_value_length(batch.column("keys")).to_numpy(zero_copy_only=False)
+            key = batch.column("keys").flatten().to_numpy()
+            keep = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+            left = np.bincount(np.repeat(np.arange(len(size)), size)[keep], minlength=len(size))
+            at = pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(batch.column(c).flatten().to_numpy()[keep])) for c in ("terms", "times")]
+            yield pa.RecordBatch.from_arrays([batch.column("docket_id"), batch.column("id"), *lists], ["docket_id", "id", "terms", "times"])
+
+    return run
+
+
 def tfidf(texts: DataFrame) -> DataFrame:
-    """docket_id, id, term, w (unit length for each id) of (docket_id, id, text): unigrams and bigrams, 1 + log(tf), smooth idf, fitted jointly in each docket."""
+    """docket_id, id, term, w (unit length for each id) of (docket_id, id, text): unigrams and bigrams, 1 + log(tf), smooth idf, fitted jointly in each docket.
+
+    Terms are 64-bit hashes. A docket's vocabulary is its VOCABULARY most frequent terms; those that are tied at the border are left
+    out together. Ids are unique; a null text is empty. A text's terms are counted within its row, and rows of terms are shuffled by their
+    numbers only, those outside the vocabulary not at all if it is counted to fit a broadcast.
+    """
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), 0)
     stop = StopWordsRemover.loadDefaultStopWords("english")
     kept = texts.select("docket_id", "id", F.filter(words, lambda w: ~w.isin(stop)).alias("kept"))
-    pairs = F.zip_with(F.slice("kept", 1, F.greatest(F.size("kept") - 1, F.lit(0))), F.slice("kept", 2, F.size("kept")), lambda a, b: F.concat_ws(" ", a, b))
-    terms = kept.select("docket_id", "id", F.concat("kept", pairs).alias("terms"))
-    counts = terms.select("docket_id", "id", F.explode("terms").alias("term")).groupBy("docket_id", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    sizes = texts.groupBy("docket_id").agg(F.count(F.lit(1)).alias("n"))
-    known = counts.groupBy("docket_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all"))
-    known = known.withColumn("place", F.row_number().over(Window.partitionBy("docket_id").orderBy(F.desc("all"), "term"))).where(F.col("place") <= VOCABULARY)
-    idf = known.join(sizes, "docket_id").select("docket_id", "term", (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = counts.join(idf, ["docket_id", "term"]).select("docket_id", "id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    pairs = F.zip_with(F.slice("kept", 1, F.greatest(F.size("kept") - 1, F.lit(0))), F.slice("kept", 2, F.size("kept")), lambda a, b: F.xxhash64(a, F.lit(" "), b))
+    terms = kept.select("docket_id", "id", F.concat(F.transform("kept", lambda w: F.xxhash64(w)), pairs).alias("terms"))
+    kind = texts.schema["id"].dataType.simpleString()
+    rows = f"docket_id string, id {kind}, terms array<long>, times array<long>"
+    counts = cut(terms.mapInArrow(_counted, rows), "counts")
+    spread = lambda df: df.select("docket_id", "id", F.explode(F.arrays_zip("terms", "times")).alias("t")).select("docket_id", "id", F.col("t.terms").alias("term"), F.col("t.times").alias("tf"))
+    known = spread(counts).groupBy("docket_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all"))
+    # how many terms are that frequent or more, for each frequency: the border is the least one at which they fit
+    often = cut(known.groupBy("docket_id", "all").agg(F.count(F.lit(1)).alias("n")), "frequencies")
+    upto = F.sum("n").over(Window.partitionBy("docket_id").orderBy(F.desc("all")))
+    border = often.withColumn("upto", upto).where(F.col("upto") <= VOCABULARY).groupBy("docket_id").agg(F.min("all").alias("border"))
+    sizes = texts.groupBy("docket_id").agg(F.count(F.lit(1)).alias("n")).join(border, "docket_id")
+    idf = known.join(small(cut(sizes, "dockets"), DOCKETS), "docket_id").where(F.col("all") >= F.col("border"))
+    idf = cut(idf.select("docket_id", "term", (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "vocabulary")
+    if 0 < idf.limit(KEYS + 1).count() <= KEYS:
+        keys = np.sort(idf.select(F.xxhash64("docket_id", "term").alias("key")).toPandas()["key"].to_numpy())
+        keyed = counts.withColumn("keys", F.transform("terms", lambda t: F.xxhash64("docket_id", t)))
+        counts = keyed.mapInArrow(_among(texts.sparkSession.sparkContext.broadcast(keys)), rows)
+    weighted = spread(counts).join(idf, ["docket_id", "term"]).select("docket_id", "id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("docket_id", "id")))
     return weighted.withColumn("w", F.col("w") / norm)
 
