@@ -174,12 +174,19 @@ def learn(stats: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> lis
             out = out & ((F.col("bins")[f] >= b) if above else (F.col("bins")[f] < b))
         return out
 
-    def literals(left: DataFrame, rule: list[tuple[int, bool, int]]) -> list[tuple[float, tuple[int, bool, int], tuple[int, int]]]:
-        """The conditions that could follow, by falling gain, and the (bad, all) rows that each would reject where it is judged."""
-        got = left.where(holds(rule)).select("grow", "bad", F.posexplode("bins").alias("f", "b")).groupBy("grow", "f", "b").agg(F.sum("bad").alias("p"), F.count(F.lit(1)).alias("n")).collect()
-        cells = np.zeros((len(names), max(map(len, edges.values())) + 1, 2, 2), np.int64)
-        for r in got:
-            cells[r["f"], r["b"], int(r["grow"])] = r["p"], r["n"]
+    Literal = tuple[float, tuple[int, bool, int], tuple[int, int]]
+
+    def literals(left: DataFrame, grown: list[list[tuple[int, bool, int]]]) -> list[list[Literal]]:
+        """For each of some conjunctions the conditions that could follow, by falling gain, and the (bad, all) rows that each would
+        reject where it is judged; one grouped count for all of them."""
+        which = F.array_compact(F.array(*(F.when(holds(rule), i) for i, rule in enumerate(grown))))
+        cells_of = left.select("grow", "bad", "bins", F.explode(which).alias("c")).select("c", "grow", "bad", F.posexplode("bins").alias("f", "b"))
+        cells = np.zeros((len(grown), len(names), max(map(len, edges.values())) + 1, 2, 2), np.int64)
+        for r in cells_of.groupBy("c", "grow", "f", "b").agg(F.sum("bad").alias("p"), F.count(F.lit(1)).alias("n")).collect():
+            cells[r["c"], r["f"], r["b"], int(r["grow"])] = r["p"], r["n"]
+        return [follow(c) for c in cells]
+
+    def follow(cells: np.ndarray) -> list[Literal]:
         found = []
         for f, name in enumerate(names):
             below = np.concatenate([np.zeros((1, 2, 2), np.int64), np.cumsum(cells[f], axis=0)])
@@ -196,24 +203,28 @@ def learn(stats: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> lis
         left = binned
         for r in rules:
             left = left.where(~holds(r))
-        tried, rule = set(), []
-        # a rule that doesn't hold where it is judged makes way for one that starts with another feature or direction
-        for _, first, judged in literals(left, []):
-            if first[:2] in tried:
-                continue
-            tried.add(first[:2])
-            grown, worth = [first], [judged]
-            while len(grown) < limits.conditions and (more := literals(left, grown)):
-                grown.append(more[0][1])
-                worth.append(more[0][2])
+        # the best start of each feature and direction; all grow at once, and the first that holds where it is judged becomes the rule
+        starts: dict[tuple[int, bool], tuple[list, list]] = {}
+        for _, first, judged in literals(left, [[]])[0]:
+            starts.setdefault(first[:2], ([first], [judged]))
+        grows = list(starts.values())
+        for _ in range(limits.conditions - 1):
+            if not grows:
+                break
+            more = literals(left, [grown for grown, _ in grows])
+            for (grown, worth), found in zip(grows, more, strict=True):
+                if found:
+                    grown.append(found[0][1])
+                    worth.append(found[0][2])
+            grows = [g for g, found in zip(grows, more, strict=True) if found]
+        for grown, worth in starts.values():
             # pruned to its best head
             fit = [k for k, (p, n) in enumerate(worth) if n >= limits.judged and p >= limits.precision * n]
             if fit:
-                rule = grown[: max(fit, key=lambda k: (2 * worth[k][0] - worth[k][1], -k)) + 1]
+                rules.append(grown[: max(fit, key=lambda k: (2 * worth[k][0] - worth[k][1], -k)) + 1])
                 break
-        if not rule:
+        else:
             break
-        rules.append(rule)
     return [[Condition(names[f], above, float(edges[names[f]][b - 1])) for f, above, b in rule] for rule in rules]
 
 
