@@ -211,7 +211,8 @@ def license_scan(
     share = F.col("common") / F.col("size")
     of = found.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.collect_set(name).alias("more"), F.max(share).alias("share"))
     best = _without_rivals(found.where(F.col("pairs") >= F.ceil(F.lit(ORDERED) * F.col("all_pairs") - 1e-9)), known).groupBy("row").agg(F.collect_set(name).alias("best"))
-    joined = rows.drop("words").join(of, "row", "left").join(best, "row", "left")
+    # matches grow with the documents, so they aren't broadcast however few they look
+    joined = rows.drop("words").join(of.hint("merge"), "row", "left").join(best.hint("merge"), "row", "left")
     none = F.array().cast("array<string>")
     spell = lambda *of: F.array_join(F.array_sort(F.array_distinct(F.concat(*(F.coalesce(c, none) for c in of)))), ",")
     return joined.select(
@@ -300,5 +301,5 @@ def _without_rivals(found: DataFrame, known: list[Template]) -> DataFrame:
     asked = asked.select("row", "t", "k", "common", "share", "u", F.explode(overlapping).alias("v"))
     other = found.select("row", F.col("t").alias("u"), F.col("k").alias("v"), F.col("common").alias("has"), (F.col("common") / F.col("size")).alias("holds"))
     better = (F.col("holds") > F.col("share")) | ((F.col("holds") == F.col("share")) & (F.col("has") > F.col("common")))
-    beaten = asked.join(other, ["row", "u", "v"]).where(better).select("row", "t", "k").distinct()
-    return found.join(beaten, ["row", "t", "k"], "left_anti")
+    beaten = asked.join(other.hint("merge"), ["row", "u", "v"]).where(better).select("row", "t", "k").distinct()
+    return found.join(beaten.hint("merge"), ["row", "t", "k"], "left_anti")
