@@ -1,4 +1,4 @@
-"""Recorded API payloads as tables, attachments as text, and the keyset cursor over a paged listing.
+"""Recorded API payloads as tables, and attachments as text; the paged listing is in `streaming.listing`.
 
 Everything works on files that a connector has saved verbatim; no query talks to the network.
 """
@@ -8,7 +8,7 @@ from __future__ import annotations
 import io
 import itertools
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -20,7 +20,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from rostrum.functions import text as tx
 from rostrum.functions.text import normalize_text
 
-PAGE, PAGES = 250, 20
 LARGEST = 60 << 20
 MARK_UNREACHABLE = "[ATTACHMENT-UNREACHABLE-OR-OVERSIZED]"
 MARK_SCANNED = "[SCANNED-NO-TEXT-LAYER]"
@@ -71,30 +70,6 @@ def pull(listed: DataFrame, have: DataFrame, limit: int | None = None) -> DataFr
     return todo.orderBy("comment_id").limit(limit) if limit is not None else todo
 
 
-def cursor(page: Callable[[str | None, int], list[dict]], size: int = PAGE, pages: int = PAGES) -> Iterator[str]:
-    """Every id of a listing ordered by modification time that shows at most `pages` pages from an anchor on.
-
-    `page(since, number)` gives rows with id and modified. At the wall the anchor moves to the last time seen; ids that come
-    again are skipped; an anchor that doesn't move ends the listing.
-    """
-    seen: set[str] = set()
-    since: str | None = None
-    while True:
-        last = since
-        for number in range(1, pages + 1):
-            rows = page(since, number)
-            for r in rows:
-                last = r["modified"]
-                if r["id"] not in seen:
-                    seen.add(r["id"])
-                    yield r["id"]
-            if len(rows) < size:
-                return
-        if last == since:
-            return
-        since = last
-
-
 # attachments
 
 PDF_PAGES = 1200

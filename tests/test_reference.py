@@ -339,16 +339,6 @@ def test_payloads(spark, tmp_path):
     assert (r.body, r.submitter, r.text_source, r.n_attachments, r.posted_date) == ("See\nattached", "A", "both", 3, datetime(2024, 1, 2, 3, 4, 5))
 
 
-def test_cursor_moves_past_the_wall():
-    rows = [{"id": f"c{i}", "modified": f"{i // 3:04}"} for i in range(50)]
-
-    def page(since, number):
-        part = [r for r in rows if since is None or r["modified"] >= since]
-        return part[(number - 1) * 5 : number * 5]
-
-    assert list(payloads.cursor(page, size=5, pages=2)) == [r["id"] for r in rows]
-
-
 def test_streams(spark, tmp_path):
     calls = "ts timestamp, service string, status int, tokens_in int, tokens_out int"
     batch = [(datetime(2024, 1, 1, h, m), "s", 200, 1, 1) for h in (1, 2, 4) for m in (5, 50)]
