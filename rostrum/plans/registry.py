@@ -463,7 +463,7 @@ def _rule_texts(spark, d):
     """Each document as a rule of two sections, the second of which stands twice."""
     i = F.col("doc_id")
     number = F.concat((1 + i % 9).cast("string"), F.lit("."), (i % 30).cast("string"))
-    text = F.concat(F.lit("Preamble of § 9.9 and more.\nList of Subjects\n§ "), number, F.lit("  Purpose.\n"), F.coalesce("text", F.lit("")), F.lit("\n§ "), number, F.lit("1\nScope.\nShort.\n§ "), number, F.lit("1\nScope.\nLonger text.\n"))
+    text = F.concat(F.lit("Preamble of § 9.9 and more.\nList of Subjects in 32 CFR Part 170\n§ "), number, F.lit("  Purpose.\n"), F.coalesce("text", F.lit("")), F.lit("\n§ "), number, F.lit("1\nScope.\nShort.\n§ "), number, F.lit("1\nScope.\nLonger text.\n"))
     return rel.base(spark, d, "documents").select(i.cast("string").alias("docket_id"), text.alias("text"))
 
 
