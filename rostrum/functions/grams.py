@@ -82,10 +82,9 @@ def hashed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length = ends - starts + 1
         to = np.concatenate([[0], np.cumsum(length)])
         flat = np.full(to[-1], 32, np.uint8)
-        inside = _IN_TOKEN[data]
-        place = np.arange(len(flat))
-        place = np.delete(place, to[1:] - 1) if len(starts) else place
-        flat[place] = data[inside]
+        filled = np.ones(len(flat), bool)
+        filled[to[1:] - 1] = False
+        flat[filled] = data[_IN_TOKEN[data]]
         flat = flat.tobytes()
         upto = to[np.concatenate([[0], np.cumsum(sizes)])]
         digests = [hashlib.sha256(flat[a : max(a, b - 1)]).hexdigest()[:16] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]

@@ -313,7 +313,8 @@ def _(spark, d):
 from (select base.*, coalesce(n, 1) as size from base left join (select docket_id, campaign_id, count(*) as n from dedup where campaign_id is not null group by all) using (docket_id, campaign_id))"""),
 )
 def _(spark, d):
-    return metrics.ledger(rel.metrics_base(spark, d), metrics.campaign_sizes(rel.dedup(spark, d)))
+    own = rel.dedup(spark, d)
+    return metrics.ledger(rel.metrics_base(spark, d, own), metrics.campaign_sizes(own))
 
 
 def _ledger_sql(order: str) -> str:
@@ -325,12 +326,14 @@ from (select base.*, coalesce(n, 1) as size from base left join (select docket_i
 
 @query("W7_ledger_by_weight", _ledger_sql("size desc"))
 def _(spark, d):
-    return metrics.ledger(rel.metrics_base(spark, d), metrics.campaign_sizes(rel.dedup(spark, d)), "weight")
+    own = rel.dedup(spark, d)
+    return metrics.ledger(rel.metrics_base(spark, d, own), metrics.campaign_sizes(own), "weight")
 
 
 @query("W7_ledger_by_significance", _ledger_sql("coalesce(significance, 0) desc"))
 def _(spark, d):
-    return metrics.ledger(rel.metrics_base(spark, d), metrics.campaign_sizes(rel.dedup(spark, d)), "significance")
+    own = rel.dedup(spark, d)
+    return metrics.ledger(rel.metrics_base(spark, d, own), metrics.campaign_sizes(own), "significance")
 
 
 @query(

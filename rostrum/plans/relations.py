@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.functions import text as tx
+from rostrum.operators.campaigns import hashes
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,7 @@ COMMENTS = """comments as (select doc_id as comment_id, source as docket_id, tex
 
 def dedup(spark: SparkSession, d: str) -> DataFrame:
     """Exact families within a docket: the campaign is named after its first comment, which is also its exemplar."""
-    hashed = comments(spark, d).select("docket_id", "comment_id", tx.exact_hash(tx.tokens(F.col("full_text"))).alias("exact_hash"))
+    hashed = hashes(comments(spark, d)).drop("chars")
     families = hashed.groupBy("docket_id", "exact_hash").agg(F.min("comment_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     joined = hashed.join(families, ["docket_id", "exact_hash"])
     return joined.select(
@@ -165,11 +165,11 @@ def with_ctes(names: str, query: str, recursive: bool = False) -> str:
     return f"with {'recursive ' * recursive}" + ",\n".join(CTES[n] for n in names.split()) + (",\n" if not query.lstrip().startswith("select") else "\n") + query
 
 
-def metrics_base(spark: SparkSession, d: str) -> DataFrame:
-    """Units with their analysis, link and response."""
+def metrics_base(spark: SparkSession, d: str, own: DataFrame | None = None) -> DataFrame:
+    """Units with their analysis, link and response; `own`: the `dedup` of these tables, where a query has it."""
     from rostrum.operators import metrics
 
-    return metrics.base(comments(spark, d), dedup(spark, d), analysis(spark, d), linkage(spark, d), responses(spark, d))
+    return metrics.base(comments(spark, d), dedup(spark, d) if own is None else own, analysis(spark, d), linkage(spark, d), responses(spark, d))
 
 
 METRICS_BASE = """base as (select c.comment_id, c.docket_id, c.organization, c.submitter, c.n_chars, c.n_attachments, d.campaign_id, d.is_exemplar,
