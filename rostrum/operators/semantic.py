@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rostrum.operators.graph import components
 from rostrum.operators.ranks import ranked
 from rostrum.storage import cut, discard
 
@@ -33,6 +34,9 @@ RANGE = 1_024
 NEAR_ROWS = 2_048
 CLUSTER_SIZE = 3
 AVERAGE_DISTANCE = 0.35
+#: Average linkage: its first pass takes blocks of so many times the rows, and up to so many clusters are merged within a task.
+LINKED = 4
+WITHIN = 16_384
 #: Cells of a product at a time: their rows, 266 numbers each, stay in a core's cache.
 STRIP = 512
 #: Density where units are equal.
@@ -243,17 +247,21 @@ def _strips(p: dict) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _each_pair(run, names: list[str]):
-    """`run` for each pair of blocks, as rows of `names`."""
+    """`run` for each row, as of a pair of blocks, as rows of `names`."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for i in range(batch.num_rows):
                 p = {}
                 for name, column in zip(batch.schema.names, batch.columns, strict=True):
                     value = column[i]
                     p[name] = value.values.to_numpy(zero_copy_only=False) if isinstance(value, pa.ListScalar) else value.as_py()
                 found = run(p)
-                yield pa.RecordBatch.from_arrays([pa.array([p["docket_id"]] * len(found[0]), pa.string()), *map(pa.array, found)], ["docket_id", *names])
+                if len(found[0]):
+                    rows.append([pa.array([p["docket_id"]] * len(found[0]), pa.string()), *map(pa.array, found)])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*rows, strict=True)], ["docket_id", *names])
 
     return wrapped
 
@@ -481,21 +489,133 @@ def _closest(p: dict) -> list[np.ndarray]:
     return [cluster[fine], other[fine], distance[fine]]
 
 
-def average_linkage(vectors: DataFrame, below: float = AVERAGE_DISTANCE, rows: int = NEAR_ROWS) -> DataFrame:
+def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of each place the smallest one that it is connected with, after the places i and j are as well."""
+    while True:
+        a, b = root[i], root[j]
+        open_ = a != b
+        if not open_.any():
+            return root
+        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _connected(below: float):
+    def run(p: dict) -> list[np.ndarray]:
+        """Of a pair of blocks the vectors that distances under `below` connect there, each with the smallest number of those it is connected with."""
+        a, b = (np.asarray(p[f"v_{s}"], np.float32).reshape(p[f"n_{s}"], -1) for s in "ab")
+        same = p["block_a"] == p["block_b"]
+        number = _numbers(p["block_a"], len(a)) if same else np.concatenate([_numbers(p["block_a"], len(a)), _numbers(p["block_b"], len(b))])
+        root = np.arange(len(number))
+        # a product of 32 bits may err by this; a connection too many does no harm
+        least = np.float32(1 - below - 1.2e-7 * (a.shape[1] + 16))
+        step = max(1, 4_000_000 // len(b))
+        for lo in range(0, len(a), step):
+            i, j = np.divmod(np.flatnonzero(a[lo : lo + step] @ b.T > least), len(b))
+            root = _joined(root, i + lo, j if same else j + len(a))
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return [number[moved], number[root[moved]]]
+
+    return run
+
+
+def _chained(below: float):
+    def run(p: dict) -> list[np.ndarray]:
+        """Each cluster's last one, of clusters in order of their numbers: a chain of closest ones is followed until two are each
+        other's, which are merged. Takes about three products of all means with one for each cluster, and memory for the means."""
+        number, of, total = p["cluster"], np.array(p["of"], np.float64), _matrix(p["v"], p["n"]).copy()
+        mean = total / of[:, None]
+        into, left = np.arange(len(of)), np.ones(len(of), bool)
+        chain, start = [], 0
+        while True:
+            if not chain:
+                while start < len(of) and not left[start]:
+                    start += 1
+                if start == len(of):
+                    break
+                chain.append(start)
+            x = chain[-1]
+            d = np.round(1 - mean @ mean[x], 12)
+            d[x] = np.inf
+            d[~left] = np.inf
+            # of equal ones the smallest number
+            y = int(d.argmin())
+            if len(chain) == 1 and not d[y] < below:
+                # no later cluster is closer than its parts
+                left[x] = False
+                chain.pop()
+                continue
+            if d[y] < below and y not in chain:
+                chain.append(y)
+                continue
+            # it is the last but one; by a rounding it may be another that is as close
+            y = chain[-2]
+            del chain[-2:]
+            lo, hi = min(x, y), max(x, y)
+            total[lo] += total[hi]
+            of[lo] += of[hi]
+            mean[lo] = total[lo] / of[lo]
+            into[hi], left[hi] = lo, False
+        while (into[into] != into).any():
+            into = into[into]
+        return [number, number[into]]
+
+    return run
+
+
+def _copies(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`live` with equal unit vectors of a part, whose distance is 0, as one cluster, and (docket_id, cluster, lo) of those merged."""
+    length = F.aggregate("sum", F.lit(0.0), lambda t, x: t + x * x)
+    keyed = live.withColumn("own", F.when(F.abs(length - 1) < 1e-9, F.lit(-1).cast("long")).otherwise(F.col("cluster")))
+    keys = ["docket_id", "part", "own", "sum"]
+    first = cut(keyed.groupBy(*keys).agg(F.min("cluster").alias("lo"), F.sum("of").alias("of")), "copies")
+    merges = cut(keyed.drop("of").join(first, keys).where("cluster <> lo").select("docket_id", "cluster", "lo"), "merges")
+    return first.select("docket_id", "part", F.col("lo").alias("cluster"), F.transform("sum", lambda x: x * F.col("of")).alias("sum"), "of"), merges
+
+
+def average_linkage(vectors: DataFrame, below: float = AVERAGE_DISTANCE, rows: int = NEAR_ROWS, within: int = WITHIN) -> DataFrame:
     """docket_id, id, cluster_id of (docket_id, id, vector), unit vectors: clusters whose mean cosine distance is under `below` are merged.
 
+    Clusters under that mean have members under it, so one pass over all pairs finds the parts of a docket that such pairs connect, and no cluster
+    goes beyond its part. Parts of up to `within` clusters are merged within a task each; larger ones go through rounds until they are that small.
     Each round merges all pairs that are each other's closest, which gives the tree that merging the closest pair each time does:
     a merged cluster is never closer to others than its parts were. So a cluster whose closest one is too far is
     done and leaves the rounds. Of equal distances the smaller numbers come first.
     """
-    blocks = packed(vectors, rows)
+    blocks = packed(vectors, LINKED * rows)
+    near = _pairs(blocks.select("docket_id", "block", "blocks", "n", F.col("v").cast("array<float>").alias("v")))
+    links = near.mapInArrow(_each_pair(_connected(below), ["node", "other"]), "docket_id string, node long, other long")
+    end = lambda c: F.struct("docket_id", F.col(c).alias("node"))
+    parts = components(cut(links.select(end("node").alias("a"), end("other").alias("b")), "links"))
+    parts = cut(parts.select("node.docket_id", F.col("node.node").alias("cluster"), F.col("root.node").alias("part")), "parts")
     # numbers follow blocks and places; sums of members stand for their means
     size = F.size("ids")
     width = (F.size("v") / size).cast("int")
     members = cut(nodes(blocks).select("docket_id", "id", F.col("node").alias("cluster")), "members")
     each = blocks.select("docket_id", "block", F.posexplode(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.slice("v", i * width + 1, width))).alias("p", "sum"))
-    live = cut(each.select("docket_id", (F.shiftleft("block", 32) + F.col("p")).alias("cluster"), "sum", F.lit(1.0).alias("of")), "live")
+    each = each.select("docket_id", (F.shiftleft("block", 32) + F.col("p")).alias("cluster"), "sum", F.lit(1.0).alias("of"))
+    live = cut(each.join(parts, ["docket_id", "cluster"]), "live")
+    add = lambda c: F.aggregate(F.slice(c, 2, F.size(c)), F.get(c, F.lit(0)), lambda t, x: F.zip_with(t, x, lambda a, b: a + b))
+    into = F.coalesce("lo", "cluster").alias("cluster")
+    moved_to = lambda members, merges: cut(members.join(merges, ["docket_id", "cluster"], "left").select("docket_id", "id", into), "members")
+    ended, first = None, True
     while True:
+        of_part = cut(live.groupBy("docket_id", "part").agg(F.count(F.lit(1)).alias("size")), "sizes")
+        whole = live.join(of_part.where(F.col("size") <= within), ["docket_id", "part"]).groupBy("docket_id", "part").agg(F.sort_array(F.collect_list(F.struct("cluster", "of", "sum"))).alias("s"))
+        whole = whole.select("docket_id", F.size("s").alias("n"), F.col("s.cluster").alias("cluster"), F.col("s.of").alias("of"), F.flatten("s.sum").alias("v"))
+        now = cut(whole.mapInArrow(_each_pair(_chained(below), ["cluster", "lo"]), "docket_id string, cluster long, lo long"), "ended")
+        ended = now if ended is None else ended.unionByName(now)
+        large = of_part.where(F.col("size") > within).select("docket_id", "part")
+        if not large.limit(1).count():
+            break
+        live = live.join(large, ["docket_id", "part"])
+        if first:
+            first = False
+            live, merges = _copies(live)
+            live, members = cut(live, "live"), moved_to(members, merges)
+            continue
         sizes = live.groupBy("docket_id").agg(F.ceil(F.count(F.lit(1)) / rows).alias("blocks"))
         dealt = live.join(sizes, "docket_id").withColumn("block", F.pmod(F.xxhash64("cluster"), F.col("blocks")))
         now = dealt.groupBy("docket_id", "block", "blocks").agg(F.sort_array(F.collect_list(F.struct("cluster", "of", "sum"))).alias("s"))
@@ -507,12 +627,9 @@ def average_linkage(vectors: DataFrame, below: float = AVERAGE_DISTANCE, rows: i
         merges = cut(merges, "merges")
         if not merges.limit(1).count():
             break
-        into = F.coalesce("lo", "cluster").alias("cluster")
-        moved = live.join(best.select("docket_id", "cluster"), ["docket_id", "cluster"], "left_semi").join(merges, ["docket_id", "cluster"], "left").select("docket_id", into, "sum", "of")
-        add = lambda c: F.aggregate(F.slice(c, 2, F.size(c)), F.get(c, F.lit(0)), lambda t, x: F.zip_with(t, x, lambda a, b: a + b))
-        old, before = live, members
-        live = cut(moved.groupBy("docket_id", "cluster").agg(F.collect_list("sum").alias("sums"), F.sum("of").alias("of")).select("docket_id", "cluster", add("sums").alias("sum"), "of"), "live")
-        members = cut(members.join(merges, ["docket_id", "cluster"], "left").select("docket_id", "id", into), "members")
-        discard(old)
+        moved = live.join(best.select("docket_id", "cluster"), ["docket_id", "cluster"], "left_semi").join(merges, ["docket_id", "cluster"], "left").select("docket_id", "part", into, "sum", "of")
+        before = members
+        live = cut(moved.groupBy("docket_id", "part", "cluster").agg(F.collect_list("sum").alias("sums"), F.sum("of").alias("of")).select("docket_id", "part", "cluster", add("sums").alias("sum"), "of"), "live")
+        members = moved_to(members, merges)
         discard(before)
-    return _named(vectors, members.withColumnRenamed("cluster", "label"))
+    return _named(vectors, moved_to(members, ended).withColumnRenamed("cluster", "label"))

@@ -618,7 +618,9 @@ def _(spark, d):
     """On the given vectors, a docket for each label."""
     e = rel.base(spark, d, "embeddings").select(F.col("label").cast("string").alias("docket_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
-    return semantic.average_linkage(e.withColumn("vector", F.transform("vector", lambda x: x.cast("double") / length)))
+    # reckoned once for a vector: within a lambda it would be for each number
+    lengths = F.array_repeat(length, F.size("vector"))
+    return semantic.average_linkage(e.withColumn("vector", F.zip_with("vector", lengths, lambda x, n: x.cast("double") / n)))
 
 
 # parsing

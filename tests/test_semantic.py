@@ -153,6 +153,51 @@ def test_average_linkage(spark, rows):
     assert semantic.average_linkage(frame(spark, dockets).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("within", [16_384, 5])
+def test_average_linkage_of_large_parts(spark, within):
+    """Parts within a task and by rounds; equal units, units of length 0, which are near nothing, and single ones as well."""
+    a = clouds(21, [25, 20], spread=0.25)
+    dockets = {"a": np.concatenate([a, np.repeat(a[:1], 9, axis=0), np.repeat(a[30:31], 3, axis=0)]), "b": np.zeros((8, 6)), "c": clouds(22, [12, 9]), "d": np.repeat(a[2:3], 11, axis=0)}
+    got = by_docket(semantic.average_linkage(frame(spark, dockets), rows=8, within=within).collect())
+    for d, x in dockets.items():
+        same_sets(got[d], plain_average(x, 0.35))
+    assert len(set(got["b"])) == 8 and set(got["d"]) == {0} and 1 < len(set(got["a"])) < 50
+
+
+def test_average_linkage_writes_as_often_for_large_groups(spark, monkeypatch):
+    """A group of near copies takes one after the other in; that was a round, and five written tables, for each."""
+    written, write = [], semantic.cut
+    monkeypatch.setattr(semantic, "cut", lambda df, label: written.append(label) or write(df, label))
+    rng = np.random.Generator(np.random.PCG64(31))
+    center, took = np.eye(24)[0], {}
+    for n in (4, 40):
+        x = center + 0.01 * rng.standard_normal((n, 24))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        written.clear()
+        got = by_docket(semantic.average_linkage(frame(spark, {"a": x})).collect())["a"]
+        same_sets(got, plain_average(x, 0.35))
+        took[n] = len(written)
+    assert took[40] <= took[4]
+
+
+def test_connected_is_the_components_of_near_pairs():
+    x = clouds(33, [20, 15, 10], width=5, spread=0.3)
+    near = 1 - x @ x.T < 0.2
+    want = np.arange(len(x))
+    for _ in x:
+        want = np.array([want[near[i]].min() for i in range(len(x))])
+    for cut_at in (0, 17):
+        p = {"block_a": 0, "block_b": 1 if cut_at else 0, "n_a": cut_at or len(x), "n_b": len(x) - cut_at, "v_a": x[: cut_at or len(x)].ravel(), "v_b": x[cut_at:].ravel()}
+        node, other = semantic._connected(0.2)(p)
+        place = lambda n: (n >> 32) * cut_at + (n & 0xFFFFFFFF)
+        got = np.arange(len(x))
+        got[place(node)] = place(other)
+        if not cut_at:
+            assert got.tolist() == want.tolist()
+        # pairs of one side are told by that side's own pair of blocks
+        assert all(want[i] == want[got[i]] for i in range(len(x))) and all(got[i] == got[j] for i in range(cut_at) for j in range(cut_at, len(x)) if near[i, j])
+
+
 def test_clusters_have_a_medoid_each(spark):
     rng = random.Random(4)
     vocabulary = [f"word{i}" for i in range(90)]
