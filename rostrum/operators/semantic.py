@@ -8,7 +8,8 @@ their own rows is ever moved. A docket of one block runs all its rounds within i
 Neighbours are exact: blocks of NEAR_ROWS vectors meet in pairs as matrix products, and a pair returns a row for each vector or
 component, never one for each pair of vectors. The products grow with the square of a docket's units, as the exact
 methods do; what is written and shuffled is linear but for a block's vectors, which go to each block of its docket.
-Merging components and cutting the tree take a docket's edges, three numbers for a unit, in one task.
+Merging components and cutting the tree take a docket's edges, three numbers for a unit, in one task. Average linkage takes up to
+WITHIN connected clusters in one task, with time by the square of their number.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ CLUSTER_SIZE = 3
 AVERAGE_DISTANCE = 0.35
 #: Average linkage: its first pass takes blocks of so many times the rows, and up to so many clusters are merged within a task.
 LINKED = 4
-WITHIN = 16_384
+WITHIN = 65_536
 #: Cells of a product at a time: their rows, 266 numbers each, stay in a core's cache.
 STRIP = 512
 #: Density where units are equal.
@@ -526,15 +527,18 @@ def _chained(below: float):
         """Each cluster's last one, of clusters in order of their numbers: a chain of closest ones is followed until two are each
         other's, which are merged. Takes about three products of all means with one for each cluster, and memory for the means."""
         number, of, total = p["cluster"], np.array(p["of"], np.float64), _matrix(p["v"], p["n"]).copy()
-        mean = total / of[:, None]
+        # rows of the clusters that may still be merged, and which they are; they stay in order of numbers
+        mean, at = total / of[:, None], np.arange(len(of))
         into, left = np.arange(len(of)), np.ones(len(of), bool)
         chain, start = [], 0
         while True:
             if not chain:
-                while start < len(of) and not left[start]:
+                while start < len(at) and not left[start]:
                     start += 1
-                if start == len(of):
+                if start == len(at):
                     break
+                if 2 * np.count_nonzero(left) < len(at):
+                    mean, total, of, at, left, start = mean[left], total[left], of[left], at[left], left[left], 0
                 chain.append(start)
             x = chain[-1]
             d = np.round(1 - mean @ mean[x], 12)
@@ -557,7 +561,7 @@ def _chained(below: float):
             total[lo] += total[hi]
             of[lo] += of[hi]
             mean[lo] = total[lo] / of[lo]
-            into[hi], left[hi] = lo, False
+            into[at[hi]], left[hi] = at[lo], False
         while (into[into] != into).any():
             into = into[into]
         return [number, number[into]]
