@@ -39,3 +39,36 @@ def test_campaigns_move_neither_texts_nor_shingles_of_one_text(spark, sf, monkey
     assert written and not any("full_text" in df.columns for df in written)
     sets = [df.select("docket_id", F.explode("s").alias("s")) for df in written if "s" in df.columns]
     assert sets and all(df.groupBy("docket_id", "s").count().where("count = 1").count() == 0 for df in sets)
+
+
+def test_campaigns_count_shingles_by_parts_and_verify_few_candidates(spark, monkeypatch):
+    """Texts put together from passages of eight others share rare shingles with each, and are near none."""
+    rng = random.Random(3)
+    plain = [[f"w{i}x{j}" for j in range(100)] for i in range(40)]
+    mixed = [[w for i in range(8 * k, 8 * k + 8) for w in plain[i][20:50]] for k in range(1, 4)]
+    near = [[*plain[i][:97], "other", "words", "here"] for i in range(4)]
+    rows = [("d", f"c{i:03}", " ".join(t)) for i, t in enumerate(plain + mixed + near)]
+    rng.shuffle(rows)
+    verified, labels = [], []
+    real, cut = campaigns.linked, campaigns.cut
+
+    def linked(left, right, verify, *more):
+        def counted(pairs):
+            verified.append(pairs.count())
+            return verify(pairs)
+
+        return real(left, right, counted, *more)
+
+    def written(df, label):
+        out = cut(df, label)
+        labels.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(campaigns, "linked", linked)
+    monkeypatch.setattr(campaigns, "cut", written)
+    got = campaigns.connected(spark.createDataFrame(rows, "docket_id string, rep_id string, full_text string")).collect()
+    assert {(r.rep_id, r.root) for r in got} == {x for i in range(4) for x in ((f"c{i:03}", f"c{i:03}"), (f"c{43 + i:03}", f"c{i:03}"))}
+    # a mixed text has most of its shingles from others, but is longer than each: it is in none, and none of them is mostly in it
+    assert verified[1] == 0
+    shared = [n for label, n in labels if label == "shared"]
+    assert len(shared) == campaigns.SHINGLE_PARTS and max(shared) < 0.5 * sum(shared)
