@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rostrum.operators import linkage, semantic
+from rostrum.plans import registry
 
 
 def clouds(seed, sizes, width=6, spread=0.15):
@@ -214,3 +215,44 @@ def test_clusters_have_a_medoid_each(spark):
             best = [r.id for r in mine if r.is_medoid]
             assert len(best) == 1 and vectors[d, best[0]] @ mean >= max(vectors[d, r.id] @ mean for r in mine) - 1e-6
     assert {r.docket_id for r in linkage.clusters(weights, df.select("docket_id", "id")).where(F.col("is_medoid")).collect()} >= {"a", "b"}
+
+
+def test_reduction_writes_a_row_for_a_text_and_none_for_a_term(spark, sf, monkeypatch):
+    written = []
+    for module in (linkage, semantic, registry):
+        monkeypatch.setattr(module, "cut", lambda df, label, real=module.cut: written.append(real(df, label)) or written[-1])
+    got = registry.QUERIES["M1_reduced_vectors"](spark, sf)
+    assert got.count() and not any({"id", "term"} <= set(df.columns) for df in written)
+
+
+@pytest.mark.parametrize("keys", [linkage.KEYS, 1])
+def test_rows_of_terms_are_those_of_tfidf(spark, monkeypatch, keys):
+    monkeypatch.setattr(linkage, "VOCABULARY", 30)
+    monkeypatch.setattr(linkage, "KEYS", keys)
+    rng = random.Random(8)
+    # few words often, many seldom: the border has ties, and one docket has no word that often
+    texts = [(d, f"{d}{i:02}", " ".join(rng.choices([f"word{int(40 * rng.random() ** 3)}" for _ in range(9)], k=12))) for d in "ab" for i in range(20)]
+    df = spark.createDataFrame([*texts, ("a", "a98", None), ("c", "c0", " ".join(f"once{i}" for i in range(50)))], "docket_id string, id string, text string")
+    pairs = linkage.tfidf(df).collect()
+    want, terms = {}, {}
+    for r in sorted(pairs, key=lambda r: r.term):
+        no = terms.setdefault(r.docket_id, {}).setdefault(r.term, len(terms.get(r.docket_id, ())))
+        want.setdefault((r.docket_id, r.id), []).append((no, r.w))
+    got = {(r.docket_id, r.id): list(zip(r.terms, r.weights, strict=True)) for r in linkage.tfidf_rows(df).collect()}
+    assert set(got) == set(want) and {d for d, _ in got} == {"a", "b"}
+    assert all([n for n, _ in got[k]] == [n for n, _ in want[k]] and np.allclose([w for _, w in got[k]], [w for _, w in want[k]]) for k in got)
+
+
+def test_density_clusters_by_parts_of_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(semantic, "COPIES", 2)
+    dockets = {"a": clouds(1, [60, 40, 30, 25]), "c": clouds(3, [4, 3])}
+    df = frame(spark, dockets)
+    blocks = semantic.packed(df, 20)
+    parts = semantic.pair_parts(blocks)
+    copies = [semantic._pairs(blocks, i, parts).select("docket_id", "block_a", "block_b").collect() for i in range(parts)]
+    n = blocks.where("docket_id = 'a'").count()
+    assert parts >= 4 and max(map(len, copies)) < sum(map(len, copies)) / 2
+    assert sorted((r.block_a, r.block_b) for c in copies for r in c if r.docket_id == "a") == [(i, j) for i in range(n) for j in range(i, n)]
+    got = by_docket(semantic.density_clusters(df, rows=20).collect())
+    for d, x in dockets.items():
+        same_sets(got[d], plain_hdbscan(x))
